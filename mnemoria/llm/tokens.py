@@ -27,16 +27,22 @@ MEMO_CHARS = 40
 
 _RUNS = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+|\s")
 _SOLID = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
-#: Python and the tokenizer class these differently, or a cut at a space is not exact.
-_CONTROL = re.compile(r"[\x1c-\x1f\x85᠎]")
-_ODD = re.compile(r"\s\s|^\s|\s$")
+#: Python and the tokenizer class these differently.
+_CONTROL = re.compile("[\x1c-\x1f\x85\u180e]")
+
+#: How byte-level vocabularies write a byte. Printable Latin-1 bytes stand for themselves,
+#: the others for the characters from 256 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+_BYTE_CHARS = {**{b: chr(b) for b in _PRINTED}, **{b: chr(256 + k) for k, b in enumerate(_OTHERS)}}
+_SPACE = _BYTE_CHARS[0x20]
 
 
 class PieceEncoder:
     """Encodes texts to little-endian ids of 16 bits (both vocabularies are below 65,536).
 
     keep_space: a piece carries the space before it (byte-level vocabulary) or not (word vocabulary,
-    which drops white space, so that every space is a boundary).
+    which drops white space and case, so that every space is a boundary).
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -44,14 +50,11 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.joined = Tokenizer.from_file(path)  # here a special token between two runs keeps them apart
-        for t in (self.tokenizer, self.joined):
-            t.no_truncation()
-            t.no_padding()
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("this encoder keeps ids in 16 bits")
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.joined.token_to_id(self.mark)
+        self.merges = self.tokenizer.model.tokenize
         self.keep_space = keep_space
         self.pieces: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
@@ -64,29 +67,41 @@ class PieceEncoder:
         return out
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """As _encode, many runs at a time; no run holds the mark, which is made of three runs itself."""
-        out = []
-        for k in range(0, len(runs), 2048):
-            part = runs[k : k + 2048]
-            ids = np.asarray(self.joined.encode(self.mark.join(part), add_special_tokens=False).ids, dtype="<u2")
-            ends = [*(2 * np.flatnonzero(ids == self.mark_id)).tolist(), 2 * len(ids)]
-            raw, start = ids.tobytes(), 0
-            for end in ends:
-                out.append(raw[start:end])
-                start = end + 2
+        """A run of letters is one word for the vocabulary's merges; other runs take the whole way."""
+        merges, out, rest = self.merges, [], []
+        for k, run in enumerate(runs):
+            word = run[1:] if run[:1] == " " else run
+            if word.isalpha() and (self.keep_space or "Σ" not in word):
+                if not self.keep_space:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+                if run[:1] == " ":
+                    word = _SPACE + word
+                out.append(b"".join([t.id.to_bytes(2, "little") for t in merges(word)]))
+            else:
+                out.append(b"")
+                rest.append(k)
+        for k, ids in zip(rest, self._encode([runs[k] for k in rest]), strict=True):
+            out[k] = ids
         return out
 
     def _split(self, text: str) -> list[str] | None:
-        """Pieces between single spaces; None: the text must be encoded whole."""
-        if _CONTROL.search(text) or self.keep_space and _ODD.search(text):
+        """Pieces between single spaces; None: the text must be encoded whole.
+
+        With spaces kept, all white space must be single spaces and line feeds between other signs.
+        """
+        if self.keep_space and (len(text.split()) - 1 != text.count(" ") + text.count("\n") or "\u180e" in text):
             return None
+        if not self.keep_space and (text.isascii() or "\u03a3" not in text and "\u0130" not in text):
+            text = text.lower()  # as the vocabulary does; these two letters depend on their surroundings
         return text.split(" ")
 
     def _plain(self, piece: str) -> bool:
         """Whether the runs of a piece can be encoded one by one."""
-        if "'" in piece:
+        if "'" in piece or _CONTROL.search(piece):
             return False
-        return self.keep_space or piece.isascii() or "İ" not in piece and unicodedata.is_normalized("NFC", piece)
+        return self.keep_space or piece.isascii() or "\u0130" not in piece and unicodedata.is_normalized("NFC", piece)
 
     @staticmethod
     def _look_up(keys: set[str], memo: dict[str, bytes], work) -> None:
@@ -98,15 +113,15 @@ class PieceEncoder:
     def _by_runs(self, pieces: list[str]) -> list[bytes]:
         runs, find, plain = self.runs, (_RUNS if self.keep_space else _SOLID).findall, self._plain
         cut = [find(p) if plain(p) else None for p in pieces]
-        self._look_up(set().union(*(c for c in cut if c)), runs, self._encode_runs)
-        return [b"".join([runs[r] for r in c]) if c is not None else self._encode([p])[0] for c, p in zip(cut, pieces, strict=True)]
+        self._look_up({r for c in cut if c for r in c}, runs, self._encode_runs)
+        return [runs[c[0]] if c and len(c) == 1 else b"".join([runs[r] for r in c]) if c is not None else self._encode([p])[0] for c, p in zip(cut, pieces, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
         split, memo = [self._split(t) for t in texts], self.pieces
         if not self.keep_space:
-            self._look_up(set().union(*(s for s in split if s is not None)), memo, self._by_runs)
-            out = [self._encode([t])[0] if s is None else b"".join([memo[p] for p in s]) for t, s in zip(texts, split, strict=True)]
+            self._look_up(set().union(*split), memo, self._by_runs)
+            out = [b"".join([memo[p] for p in s]) for s in split]
         else:
             # the key is the piece, the value is of the piece with its space; a text's first piece has none
             heads = {s[0] for s in split if s is not None}
@@ -114,9 +129,10 @@ class PieceEncoder:
             tails = [s and s[1:] for s in split]
             self._look_up(set().union(*(s for s in tails if s)), memo, lambda new: self._by_runs([" " + p for p in new]))
             out = [self._encode([t])[0] if s is None else head[s[0]] + b"".join([memo[p] for p in rest]) for t, s, rest in zip(texts, split, tails, strict=True)]
-        if len(memo) > MEMO_PIECES or len(texts) and max(map(len, texts)) > MEMO_LONG_TEXT:
+        long = bool(texts) and max(map(len, texts)) > MEMO_LONG_TEXT
+        if len(memo) > MEMO_PIECES or long:
             memo.clear()
-        if len(self.runs) > MEMO_RUNS or len(texts) and max(map(len, texts)) > MEMO_LONG_TEXT:
+        if len(self.runs) > MEMO_RUNS or long:
             self.runs.clear()
         return out
 
