@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_stream, materialize, read, texts_of
+from .common import arrow_stream, materialize, read, texts_of
 from .tokens import encoder
 
 END_ID = 0
@@ -33,9 +33,9 @@ END_ID = 0
 SCALE_BITS = 22
 #: Ids after which a block is closed; the document that crosses it is kept whole.
 BLOCK_IDS = 1 << 19
-LANES = 512
+LANES = 1024
 #: Steps (of one id for each lane) from one checkpoint to the next.
-CHECKPOINT_STEPS = 512
+CHECKPOINT_STEPS = 256
 
 _HEAD = struct.Struct("<4sIQIIQI")
 _LOW = 1 << 31
@@ -131,28 +131,28 @@ class Coder:
 
 
 def token_rows(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary): ids of 16 bits with the end id."""
+    """(doc_id, ids, counts): ids of 16 bits with the end id.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        end = np.asarray([END_ID], "<u2").tobytes()
-        ids = [x + end for x in encoder(tokenizer_path, keep_space=True).encode(texts_of(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary")
-
-
-def count_ids(rows: DataFrame) -> np.ndarray:
-    """How often each of the 65,536 possible ids occurs."""
+    Each task ends with a row that has counts alone: how often each possible id occurs in its rows.
+    """
+    names = ["doc_id", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        end, total = np.asarray([END_ID], "<u2").tobytes(), np.zeros(1 << 16, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+            ids = [x + end for x in encoder(tokenizer_path, keep_space=True).encode(texts_of(batch.column(1)))]
+            total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tolist()], pa.list_(pa.int64()))], names)
+
+    return arrow_stream(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, ids binary, counts array<long>")
 
+
+def count_ids(rows: DataFrame) -> np.ndarray:
+    """How often each of the 65,536 possible ids occurs, from the tasks' counts."""
+    each = rows.filter("counts is not null").select(F.posexplode("counts").alias("id", "n")).filter("n > 0")
     counts = np.zeros(1 << 16, np.int64)
-    for r in arrow_stream(rows.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in each.groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
 
@@ -213,7 +213,7 @@ def store_tokens(docs: DataFrame, tokenizer_path: str) -> tuple[DataFrame, np.nd
     """Tokenise, count, write: the blocks and the shared table."""
     rows = materialize(token_rows(docs, tokenizer_path), "ids")
     freq = frequency_table(count_ids(rows))
-    return write_blocks(rows, freq), freq
+    return write_blocks(rows.filter("ids is not null").select("doc_id", "ids"), freq), freq
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

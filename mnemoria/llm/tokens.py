@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: A memo of pieces or of runs is emptied after a batch that leaves more entries in it.
-MEMO_PIECES, MEMO_RUNS = 300_000, 700_000
+MEMO_PIECES, MEMO_RUNS = 1_000_000, 1_000_000
 #: Both are emptied after a batch with a text of more characters, whose pieces may be long.
 MEMO_LONG_TEXT = 4_000_000
 
@@ -55,6 +55,7 @@ class PieceEncoder:
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("this encoder keeps ids in 16 bits")
         self.merges = self.tokenizer.model.tokenize
+        self.two_bytes = [k.to_bytes(2, "little") for k in range(1 << 16)]
         self.keep_space = keep_space
         self.pieces: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
@@ -68,7 +69,7 @@ class PieceEncoder:
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
         """A run of letters is one word for the vocabulary's merges; other runs take the whole way."""
-        merges, out, rest = self.merges, [], []
+        merges, two, out, rest = self.merges, self.two_bytes, [], []
         for k, run in enumerate(runs):
             word = run[1:] if run[:1] == " " else run
             if word.isalpha() and (self.keep_space or "Σ" not in word):
@@ -78,7 +79,7 @@ class PieceEncoder:
                     word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
                 if run[:1] == " ":
                     word = _SPACE + word
-                out.append(b"".join([t.id.to_bytes(2, "little") for t in merges(word)]))
+                out.append(b"".join([two[t.id] for t in merges(word)]))
             else:
                 out.append(b"")
                 rest.append(k)
@@ -111,10 +112,11 @@ class PieceEncoder:
             memo.update(zip(fresh, work(fresh), strict=True))
 
     def _by_runs(self, pieces: list[str]) -> list[bytes]:
-        runs, find, plain = self.runs, (_RUNS if self.keep_space else _SOLID).findall, self._plain
-        cut = [find(p) if plain(p) else None for p in pieces]
-        self._look_up({r for c in cut if c for r in c}, runs, self._encode_runs)
-        return [runs[c[0]] if c and len(c) == 1 else b"".join([runs[r] for r in c]) if c is not None else self._encode([p])[0] for c, p in zip(cut, pieces, strict=True)]
+        runs, find, plain, n = self.runs, (_RUNS if self.keep_space else _SOLID).findall, self._plain, int(self.keep_space)
+        whole = {p for p in pieces if p.isascii() and p[n:].isalpha()}  # most are one run of letters, with its space
+        cut = {p: find(p) if plain(p) else None for p in pieces if p not in whole}
+        self._look_up(whole.union(*(c for c in cut.values() if c)), runs, self._encode_runs)
+        return [runs[p] if p in whole else b"".join([runs[r] for r in c]) if (c := cut[p]) is not None else self._encode([p])[0] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
