@@ -32,8 +32,8 @@ END_ID = 0
 #: Precision of the table: frequencies add up to 2 ** SCALE_BITS.
 SCALE_BITS = 22
 #: Ids after which a block is closed; the document that crosses it is kept whole.
-BLOCK_IDS = 1 << 19
-LANES = 1024
+BLOCK_IDS = 1 << 20
+LANES = 2048
 #: Steps (of one id for each lane) from one checkpoint to the next.
 CHECKPOINT_STEPS = 256
 

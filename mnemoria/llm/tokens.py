@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: A memo of pieces or of runs is emptied after a batch that leaves more entries in it.
-MEMO_PIECES, MEMO_RUNS = 1_000_000, 1_000_000
+MEMO_PIECES, MEMO_RUNS = 1_600_000, 1_200_000
 #: Both are emptied after a batch with a text of more characters, whose pieces may be long.
 MEMO_LONG_TEXT = 4_000_000
 
