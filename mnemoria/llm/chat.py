@@ -59,12 +59,15 @@ def jump_pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     # what a message has gathered so far: `far` is the next ancestor not yet counted in
     state = messages.select("conv_id", "node", F.col("parent").alias("far"), F.lit(0).cast("long").alias("depth"), "score", F.col("node").alias("top"))
     state = materialize(state, "state")
+    done, active = [state.filter("far is null")], state.filter("far is not null")
     # without circles a path is no longer than the number of messages
     for _ in range(max(1, messages.count()).bit_length() + 1):
-        if state.filter("far is not null").isEmpty():
+        if active.isEmpty():
             break
-        b = state.select(F.col("conv_id").alias("c2"), F.col("node").alias("n2"), F.col("far").alias("far2"), F.col("depth").alias("d2"), F.col("score").alias("s2"), F.col("top").alias("t2"))
-        found = state.join(b, state["conv_id"].eqNullSafe(b["c2"]) & (state["far"] == b["n2"]), "left")
+        # only messages that have not reached their root move on; they look up all others
+        every = reduce(DataFrame.union, done, active)
+        b = every.select(F.col("conv_id").alias("c2"), F.col("node").alias("n2"), F.col("far").alias("far2"), F.col("depth").alias("d2"), F.col("score").alias("s2"), F.col("top").alias("t2"))
+        found = active.join(b, active["conv_id"].eqNullSafe(b["c2"]) & (active["far"] == b["n2"]), "left")
         state = found.select(
             "conv_id", "node",
             F.when(F.col("n2").isNotNull(), F.col("far2")).alias("far"),
@@ -73,10 +76,12 @@ def jump_pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             F.coalesce("t2", "top").alias("top"),
         )
         state = materialize(state, "state")
+        done.append(state.filter("far is null"))
+        active = state.filter("far is not null")
         last = levels[-1]
         up = last.select(F.col("conv_id").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("up2"))
         levels.append(materialize(last.join(up, last["conv_id"].eqNullSafe(up["c2"]) & (last["up"] == up["n2"])).select("conv_id", "node", F.col("up2").alias("up")), "jump"))
-    return levels, state.filter("far is null")
+    return levels, reduce(DataFrame.union, done)
 
 
 def best_paths(messages: DataFrame, per_root: int = 1) -> DataFrame:
