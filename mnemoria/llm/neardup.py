@@ -162,7 +162,7 @@ def _pivots(members: DataFrame, low: int, high: int) -> DataFrame:
 def links(prof: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
     """(node, component) over the classes' representatives; None if no two texts share a bucket."""
     classes = prof.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    reps = prof.join(classes.select("doc_id").distinct(), "doc_id", "left_semi")
+    reps = prof.join(classes.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     banded = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(banded.join(shared, "bucket"), "members")
@@ -172,8 +172,9 @@ def links(prof: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str
     if largest is None:
         return None
     sought = members.select(F.col("doc").alias("doc_id")).distinct()
-    sigs = materialize(prof.join(sought, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.min("n_shingles").alias("n")), "sigs")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sought, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # the same plan at every size: a small list of ids is not broadcast where a large one would not be
+    sigs = materialize(prof.join(sought.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.min("n_shingles").alias("n")), "sigs")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sought.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = materialize(texts, "texts")
 
     tested = edges = comps = None
