@@ -33,9 +33,9 @@ FAMILIES = {
     "ru": "slavic", "pl": "slavic", "cs": "slavic", "uk": "slavic", "bg": "slavic", "sk": "slavic",
 }
 #: Features: a power of two.
-DIMENSIONS = 1 << 13
+DIMENSIONS = 1 << 12
 #: Labelled rows that the models are fitted on, at most, over all languages.
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS = 1600
 EPOCHS = 30
 UND = "und"
 
@@ -56,12 +56,12 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / counts.sum())
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = EPOCHS, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (hinge loss, averaged stochastic sub-gradient); y is +1 or -1.
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = EPOCHS, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (hinge loss, averaged stochastic sub-gradient) on some rows of x.
 
-    Both classes weigh the same. The result is (weights, bias); the bias is a constant feature.
+    The last feature is the constant 1; y is +1 or -1 for each of the rows. Both classes weigh the same.
+    The result is (weights, bias). Rows are taken from x a few at a time, never copied as a whole.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
     w, mean, steps = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     rng = np.random.default_rng(seed)
@@ -69,10 +69,10 @@ def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 0, epochs: int = EPOCHS, p
         for k in np.array_split(rng.permutation(len(y)), max(1, len(y) // 16)):
             steps += 1
             rate = 4.0 / (1 + 0.01 * steps)
-            bad = k[y[k] * (x[k] @ w) < 1]
+            bad = k[y[k] * (x[rows[k]] @ w) < 1]
             w *= 1 - rate * penalty
             if len(bad):
-                w += rate / len(k) * (weight[bad] * y[bad]) @ x[bad]
+                w += rate / len(k) * (weight[bad] * y[bad]) @ x[rows[bad]]
             if epoch >= epochs // 2:
                 mean += (w - mean) / (steps - (epochs // 2) * max(1, len(y) // 16))
     return mean[:-1].astype(np.float32), float(mean[-1])
@@ -82,18 +82,19 @@ class Model:
     """Family machines (one against the rest) and, inside each family, one machine for each pair."""
 
     def __init__(self, x: np.ndarray, labels: list[str]):
+        """x: features and a last column of ones."""
         lang = np.asarray(labels, object)
         self.langs = sorted(set(labels))
         family = {c: FAMILIES.get(c, c) for c in self.langs}
         self.families = sorted(set(family.values()))
         self.members = {f: [c for c in self.langs if family[c] == f] for f in self.families}
         of = np.asarray([family[c] for c in labels], object)
-        self.family_machines = [] if len(self.families) < 2 else [fit_svm(x, np.where(of == f, 1, -1)) for f in self.families]
+        self.family_machines = [] if len(self.families) < 2 else [fit_svm(x, np.arange(len(x)), np.where(of == f, 1, -1)) for f in self.families]
         self.pairs = {}
         for members in self.members.values():
             for a, b in combinations(members, 2):
-                k = (lang == a) | (lang == b)
-                self.pairs[a, b] = fit_svm(x[k], np.where(lang[k] == a, 1, -1))
+                k = np.flatnonzero((lang == a) | (lang == b))
+                self.pairs[a, b] = fit_svm(x, k, np.where(lang[k] == a, 1, -1))
 
     def predict(self, v: np.ndarray) -> tuple[str, float]:
         """The language and a score from 0 to 1."""
@@ -139,10 +140,15 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
         kept = [(c, features(t).tobytes()) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _LETTER.search(t)]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.string()), pa.array([v for _, v in kept], pa.binary())], ["lang", "v"])
 
-    found = sorted((r["lang"], bytes(r["v"])) for r in arrow_map(sample, run, "lang string, v binary").collect())
-    if not found:
+    found = arrow_map(sample, run, "lang string, v binary").toArrow()
+    labels, vectors = found.column("lang").to_pylist(), found.column("v").to_pylist()
+    if not labels:
         return None
-    return Model(np.stack([np.frombuffer(v, np.float32) for _, v in found]), [c for c, _ in found])
+    order = sorted(range(len(labels)), key=lambda k: (labels[k], vectors[k]))  # whatever order the rows came in
+    x = np.ones((len(order), DIMENSIONS + 1), np.float32)
+    for row, k in zip(x, order, strict=True):
+        row[:-1] = np.frombuffer(vectors[k], np.float32)
+    return Model(x, [labels[k] for k in order])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
