@@ -36,7 +36,7 @@ PIVOTS = (1, 16, 256)
 #: Salts that the pivots of a bucket are first looked for in.
 SALTS = 16
 #: Words whose hashes a worker keeps.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 
 #: A memo of pieces or of runs is emptied after a batch that leaves more entries in it.
-MEMO_PIECES, MEMO_RUNS = 1_600_000, 1_200_000
+MEMO_ENTRIES = {True: (1_600_000, 1_200_000), False: (300_000, 600_000)}  # by keep_space: most entries of pieces, of runs
 #: Both are emptied after a batch with a text of more characters, whose pieces may be long.
 MEMO_LONG_TEXT = 4_000_000
 
@@ -57,6 +57,7 @@ class PieceEncoder:
         self.merges = self.tokenizer.model.tokenize
         self.two_bytes = [k.to_bytes(2, "little") for k in range(1 << 16)]
         self.keep_space = keep_space
+        self.most_pieces, self.most_runs = MEMO_ENTRIES[keep_space]
         self.pieces: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -132,9 +133,9 @@ class PieceEncoder:
             self._look_up(set().union(*(s for s in tails if s)), memo, lambda new: self._by_runs([" " + p for p in new]))
             out = [self._encode([t])[0] if s is None else head[s[0]] + b"".join([memo[p] for p in rest]) for t, s, rest in zip(texts, split, tails, strict=True)]
         long = bool(texts) and max(map(len, texts)) > MEMO_LONG_TEXT
-        if len(memo) > MEMO_PIECES or long:
+        if len(memo) > self.most_pieces or long:
             memo.clear()
-        if len(self.runs) > MEMO_RUNS or long:
+        if len(self.runs) > self.most_runs or long:
             self.runs.clear()
         return out
 
