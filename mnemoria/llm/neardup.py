@@ -3,10 +3,14 @@
 Words are runs without ASCII white space, A-Z lower-cased. A document's set holds its distinct shingles
 (as 64-bit hashes); a shorter text is one shingle; no words, no set. Texts of one word sequence are one
 class, stood for by its smallest id. Classes that agree on all rows of a band share a bucket. Inside
-buckets, pairs are tried in rounds: pivots (the members that share most buckets) against members of
-other components; a bucket whose members are all of one component needs no more pairs, and else the
-number of pivots grows until every pair of a bucket is tried or linked. A pair is first held against
-its signatures, then confirmed on the full sets.
+buckets, the pivot (the member that shares most buckets) is tried against every other member; this
+settles most groups with as many pairs as they have members. A bucket whose members are all of one
+component then needs no more pairs. Members of the other buckets are open: their shingles are put in
+one order, rarest first, and only open texts of different components that share a shingle among the
+first few of both are tried. How few follows from the threshold: a linked pair cannot miss all of
+them, nor have them so late that what comes after is too little. So no link between open texts is
+lost, and texts just below the threshold, whose rare shingles differ, are not tried pair by pair. A
+pair is first held against its signatures, then confirmed on the full sets.
 
 With 32 bands of 5 rows a pair at the threshold shares no bucket with probability 3e-6.
 
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, arrow_stream, bytes_of, materialize, read
@@ -31,10 +35,8 @@ from .components import connected_components
 BANDS, ROWS = 32, 5
 #: A pair whose signatures agree on less than threshold - SIGMAS standard deviations is dropped.
 SIGMAS = 5.5
-#: Pivots of a bucket up to the end of each round; from the last on they grow sixteenfold.
-PIVOTS = (1, 16, 256)
-#: Salts that the pivots of a bucket are first looked for in.
-SALTS = 16
+#: Shingles in one Arrow batch, or one text's.
+SHINGLES_PER_BATCH = 100_000
 #: Words whose hashes a worker keeps.
 MEMO_WORDS = 200_000
 
@@ -148,15 +150,71 @@ def _exact_filter(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return arrow_stream(pairs, run, "u long, v long")
 
 
-def _pivots(members: DataFrame, low: int, high: int) -> DataFrame:
-    """(bucket, pivot): members of rank low (exclusive) to high by degree; first looked for in salts."""
-    if high == 1:
-        return members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc")).alias("neg"))).alias("top")).select("bucket", (-F.col("top.neg")).alias("pivot"))
-    order = [F.desc("degree"), F.asc("doc")]
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
-    some = salted.withColumn("r", F.row_number().over(Window.partitionBy("bucket", "salt").orderBy(*order))).filter(F.col("r") <= high)
-    ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter((F.col("r") > low) & (F.col("r") <= high))
-    return ranked.select("bucket", F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp"))
+def _exploded(texts: DataFrame, size: int) -> DataFrame:
+    """(doc, n, shingle): one row for each shingle of each text; n is the size of its set."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        docs, sets, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            n = np.array([len(s) for s in sets], np.int64)
+            doc = np.repeat(np.array(docs, np.int64), n)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], ["doc", "n", "shingle"])
+
+        for doc, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
+            docs.append(doc)
+            sets.append(shingle_set(words_of(raw), size))
+            held += len(sets[-1])
+            if held > SHINGLES_PER_BATCH:
+                yield out()
+                docs, sets, held = [], [], 0
+        if docs:
+            yield out()
+
+    return arrow_map(texts.select("doc_id", "text"), run, "doc long, n long, shingle long")
+
+
+def _prefixes(exploded: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, shingle, pos): shingles of two texts at least, rarest first, as far as a linked pair needs.
+
+    A linked pair shares percent of each of its sets, so its first common shingle has at least that much
+    of either set at or after it. Shingles of one text come first of all and take part in no pair.
+    """
+    shared = exploded.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("doc")
+    placed = exploded.join(shared, "shingle").withColumn("pos", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1)
+    return placed.filter(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")).select("doc", "n", "shingle", "pos")
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """(shingle, main, least): shingles of several components, the one of most entries, the smallest set's size."""
+    each = entries.groupBy("shingle", "comp").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    found = each.groupBy("shingle").agg(F.max(F.struct("k", "comp")).alias("top"), F.min("least").alias("least"), F.count("*").alias("comps"))
+    return found.filter("comps > 1").select("shingle", F.col("top.comp").alias("main"), "least")
+
+
+def _prefix_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of different components that share a shingle of (doc, comp, n, shingle, pos) early enough.
+
+    The common part holds at least percent / (100 + percent) of the sizes' sum and lies at or after the
+    first common shingle. Of two components one at least is not the shingle's main one, so the members
+    of the main component are never held against each other.
+    """
+
+    def enough(rest: Column, sizes: Column) -> Column:
+        return rest * (100 + percent) >= sizes * percent
+
+    other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    early = entries.join(_mixed(entries), "shingle").filter(enough(F.col("n") - F.col("pos"), F.col("n") + other))
+    early = materialize(early.select(*entries.columns), "early")
+    both = early.join(_mixed(early), "shingle")
+    a, b = both.filter("comp <> main").alias("a"), both.alias("b")
+    same = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") != F.col("b.comp"))
+    once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.doc") < F.col("b.doc"))
+    near = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
+    joined = a.join(b, same & once & near & enough(rest, F.col("a.n") + F.col("b.n")))
+    return joined.select(F.least("a.doc", "b.doc").alias("u"), F.greatest("a.doc", "b.doc").alias("v")).distinct()
 
 
 def links(prof: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
@@ -166,55 +224,43 @@ def links(prof: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str
     banded = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(banded.join(shared, "bucket"), "members")
-    degree = members.groupBy("doc").agg(F.sum("n").alias("degree"))
-    members = materialize(members.join(degree, "doc").select("bucket", "doc", "n", "degree"), "members")
-    largest = members.agg(F.max("n")).first()[0]
-    if largest is None:
+    if members.isEmpty():
         return None
+    degree = members.groupBy("doc").agg(F.sum("n").alias("degree"))
+    members = materialize(members.join(degree, "doc").select("bucket", "doc", "degree"), "members")
     sought = members.select(F.col("doc").alias("doc_id")).distinct()
     # the same plan at every size: a small list of ids is not broadcast where a large one would not be
     sigs = materialize(prof.join(sought.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.min("n_shingles").alias("n")), "sigs")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sought.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = materialize(texts, "texts")
 
-    tested = edges = comps = None
-    low, step = 0, 0
-    while low < largest:
-        high = PIVOTS[step] if step < len(PIVOTS) else low * 16
-        step += 1
-        if comps is None:
-            current = members.withColumn("comp", F.col("doc"))
-        else:
-            current = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-            mixed = current.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket")
-            current = materialize(current.select("bucket", "doc", "degree", "comp").join(mixed, "bucket", "left_semi"), "open")
-        piv = _pivots(current, low, high)
-        joined = current.join(piv, "bucket").filter("doc <> pivot")
-        if "pivot_comp" in piv.columns:
-            joined = joined.filter("comp <> pivot_comp")
-        # the pivot is v: rows of one pivot come together when the texts are joined
-        pairs = joined.select(F.least("doc", "pivot").alias("x"), F.greatest("doc", "pivot").alias("y"), "pivot").groupBy("x", "y").agg(F.max("pivot").alias("v")).select("x", "y", F.when(F.col("v") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("u"), "v")
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs.select("x", "y") if tested is None else tested.union(pairs.select("x", "y"))
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The linked ones of the pairs (u, v), by signatures and then by full sets."""
         s = sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("su"), F.col("n").alias("nu"))
         t = sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv"), F.col("n").alias("nv"))
         likely = pairs.join(s, "u").join(t, "v").filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
         likely = _signature_filter(likely.select("u", "v", "su", "sv"), percent)
         a = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("tu"))
         b = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("tv"))
-        found = _exact_filter(likely.join(a, "u").join(b, "v").select("u", "v", "tu", "tv"), size, percent)
-        new = materialize(found, "links")
-        if not new.isEmpty() or comps is None:
-            edges = new if edges is None else edges.union(new)
-            comps = connected_components(edges)
-        low = high
-        if low < largest and low > 1:
-            # what is left: the largest bucket that still holds more than one component
-            left = current.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-            largest = min(largest, left or 0)
-    return comps
+        return materialize(_exact_filter(likely.join(a, "u").join(b, "v").select("u", "v", "tu", "tv"), size, percent), "links")
+
+    top = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("doc")).alias("neg"))).alias("top"))
+    pivots = top.select("bucket", (-F.col("top.neg")).alias("pivot"))
+    # the pivot is v: rows of one pivot come together when the texts are joined
+    tried = members.join(pivots, "bucket").filter("doc <> pivot").select(F.col("doc").alias("u"), F.col("pivot").alias("v")).distinct()
+    edges = linked(tried)
+    comps = connected_components(edges)
+
+    current = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("comp"))
+    mixed = current.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("bucket")
+    left = materialize(current.join(mixed.hint("merge"), "bucket", "left_semi").select("doc", "comp").distinct(), "open")
+    if left.isEmpty():
+        return comps
+    sought = left.select(F.col("doc").alias("doc_id")).hint("merge")
+    exploded = materialize(_exploded(texts.join(sought, "doc_id", "left_semi"), size), "shingles")
+    entries = materialize(_prefixes(exploded, percent).join(left.hint("merge"), "doc"), "prefixes")
+    more = linked(materialize(_prefix_pairs(entries, percent), "pairs"))
+    return comps if more.isEmpty() else connected_components(edges.union(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
