@@ -172,6 +172,31 @@ def test_near_duplicates_in_a_crowd(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == _components(sets)
 
 
+@pytest.mark.parametrize("size", [4, 5])
+def test_prefixes_lose_no_link(spark, size):
+    """Copies of copies of unequal lengths around the threshold: every linked pair is tried, far fewer than all are."""
+    rng = random.Random(11)
+    texts = [[f"b{k}" for k in range(60)]]
+    for _ in range(70):
+        w = list(rng.choice(texts))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1, 1, 2))] = [f"x{rng.randrange(40)}" for _ in range(rng.choice((0, 1, 1)))]
+        texts.append(w)
+    texts += [["a"], ["a", "b", "c", "d"], []]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    sets = {k: {tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))} if w else set() for k, w in enumerate(texts)}
+    exploded = neardup._exploded(spark.createDataFrame(rows, "doc_id long, text string"), size)
+    assert exploded.count() == sum(map(len, sets.values()))
+    entries = neardup._prefixes(exploded, 80)
+    linked = {(a, b) for a in sets for b in sets if a < b and _linked(sets[a], sets[b])}
+    tried = {(r["u"], r["v"]) for r in neardup._prefix_pairs(entries.withColumn("comp", F.col("doc")), 80).collect()}
+    assert linked <= tried and len(tried) < 0.5 * len(sets) * (len(sets) - 1) / 2
+    comp = F.pmod("doc", F.lit(3)).cast("long")
+    tried = {(r["u"], r["v"]) for r in neardup._prefix_pairs(entries.withColumn("comp", comp), 80).collect()}
+    assert {(a, b) for a, b in linked if a % 3 != b % 3} <= tried and all(a % 3 != b % 3 for a, b in tried)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 30)] + [(100, k) for k in range(101, 120)] + [(5, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
