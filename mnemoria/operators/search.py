@@ -42,6 +42,30 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return few.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
 
 
+def ann_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """For each query its k nearest by Euclidean distance among the vectors that share one of four buckets.
+
+    Buckets are of random projections. There is no radius: on unit vectors the order is that of the
+    cosine. A query with fewer than k candidates is compared with all vectors.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    features = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
+    v, q = vectors.select("vec_id", features), queries.select("query_id", features)
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=4, seed=7).fit(v)
+    near = model.approxSimilarityJoin(v, q, float("inf"), "distance").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    enough = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    short = queries.select("query_id", F.col("embedding").alias("q")).join(enough, "query_id", "left_anti")
+    square = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, x: t + x)
+    exact = vectors.crossJoin(F.broadcast(short)).select("query_id", "vec_id", F.round(F.sqrt(square), 6).alias("distance"))
+    found = near.join(enough, "query_id", "left_semi").union(exact)
+    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy("distance", "vec_id")
+    few = found.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).drop("r")
+    return few.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
+
+
 def search_bm25(mem: DataFrame, terms: list[str], k: int | None = 20, where: Column | None = None) -> DataFrame:
     """Phrases as substrings over content, wing and room; (id, content, bm25, score_compat, rank).
 

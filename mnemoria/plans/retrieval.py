@@ -125,14 +125,8 @@ def _(s, d):
 @query("ann_lsh", None)
 def _(s, d):
     """Approximate neighbours by bucketed random projection, in place of a graph index."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = table(s, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=4, seed=7).fit(v)
-    q = v.filter("vec_id % 50 = 0")
-    near = model.approxSimilarityJoin(v, q, 0.6, "distance")
-    return near.select(F.col("datasetB.vec_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
+    v = table(s, d, "embeddings")
+    return search.ann_knn(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
 @query("embed_text", None)
