@@ -13,6 +13,7 @@ repeated rows are packed as often as they occur; other columns of the input are
 from __future__ import annotations
 
 import bisect
+import random
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +27,10 @@ from .tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
-#: Nodes of the search for completions, over all sequences; then the best solution so far stands.
+#: Nodes of the search over sequences; then the best solution so far stands.
 SEARCH_NODES = 200_000
-#: Nodes of the search for the completions of one sequence.
-FILL_NODES = 400
+#: Nodes of all enumerations of fillings together; as above.
+FILL_NODES = 4_000_000
 #: Rows that one task ranks, about.
 RANK_ROWS = 20_000
 
@@ -72,50 +73,110 @@ def best_fit(counts: dict[int, int], capacity: int) -> Groups:
     return done + [g for gs in open_groups.values() for g in gs]
 
 
-def completions(lengths: list[int], counts: dict[int, int], room: int, nodes: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated fillings of `room`, as (waste, filling), least waste first.
+class Remainders:
+    """What is left to pack: copies by length, the lengths in ascending order, and a number for the state."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = dict(counts)
+        self.lengths = sorted(counts)
+        self.bits = sum(1 << x for x in counts)
+        rng = random.Random(0)
+        self.codes = {x: rng.getrandbits(128) for x in self.lengths}
+        self.state = sum(self.codes[x] * n for x, n in counts.items()) & _STATE
+        #: for each length the sums up to the capacity that it and shorter ones can make, as bits
+        self.sums: dict[int, int] = {}
+        sums, mask = 1, (1 << (capacity + 1)) - 1
+        for x in self.lengths:
+            n, k = min(counts[x], capacity // x), 1
+            while n > 0:
+                k = min(k, n)
+                sums |= sums << (x * k) & mask
+                n, k = n - k, 2 * k
+            self.sums[x] = sums
+
+    def add(self, x: int, n: int) -> None:
+        """Put n copies of x back, or take them out if n is negative."""
+        before = self.left[x]
+        self.left[x] = before + n
+        self.state = (self.state + self.codes[x] * n) & _STATE
+        if (before == 0) != (before + n == 0):
+            self.bits ^= 1 << x
+            if before:
+                self.lengths.pop(bisect.bisect_left(self.lengths, x))
+            else:
+                bisect.insort(self.lengths, x)
+
+
+_STATE = (1 << 128) - 1
+
+
+def _dominated(rest: Remainders, chosen: tuple[tuple[int, int], ...], waste: int) -> bool:
+    """Whether a length that is left can take the place of some chosen ones (or of none) that sum up to at most it."""
+
+    def hit(items: tuple[tuple[int, int], ...], lengths: int) -> bool:
+        sums = 1
+        for x, n in items:
+            k = 1
+            while n > 0:
+                k = min(k, n)
+                sums |= sums << (x * k)
+                n, k = n - k, 2 * k
+        width = 1
+        while width <= waste:  # every sum and up to `waste` more
+            step = min(width, waste + 1 - width)
+            sums |= sums << step
+            width += step
+        return bool(sums & lengths)
 
-    Lengths are tried from the largest, so of two fillings with one total the one with the larger
-    items comes first; it dominates the other, which is dropped. A branch is cut when what is left
-    for it cannot beat the least waste, or when nothing fits.
+    if hit(chosen, rest.bits & ~sum(1 << x for x, _ in chosen)):
+        return True
+    return any(rest.left[x] > n and hit(tuple(c for c in chosen if c[0] != x), 1 << x) for x, n in chosen)
+
+
+def fillings(rest: Remainders, room: int, low: int, high: int, nodes: list[int]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """All undominated fillings of `room` that waste more than `low` and at most `high`, as (waste, filling).
+
+    A filling is dominated (Martello and Toth) if the items of another one can take in all of its items,
+    some of them several. It is enough to look for one length that is left and could replace a part of the
+    filling. nodes[0] is counted down; at 0 the enumeration ends early.
     """
-    found: dict[int, tuple[tuple[int, int], ...]] = {}
-    smallest = lengths[-1] if lengths else room + 1
-    left_nodes = nodes
-
-    def go(k: int, left: int, chosen: tuple[tuple[int, int], ...]) -> bool:
-        nonlocal left_nodes
-        left_nodes -= 1
-        if left < smallest or left_nodes <= 0:
-            found.setdefault(left, chosen)
-            return left == 0 or left_nodes <= 0
-        k = max(k, bisect.bisect_left(lengths, -left, key=lambda x: -x))
-        maximal = True
-        for i in range(k, len(lengths)):
-            x = lengths[i]
-            most = min(counts[x], left // x)
-            if not most:
-                continue
-            maximal = False
-            for n in range(most, 0, -1):
-                if go(i + 1, left - n * x, (*chosen, (x, n))):
-                    return True
-            if left_nodes <= 0:
-                return True
-        if maximal:
-            found.setdefault(left, chosen)
-        return False
-
-    go(0, room, ())
-    return sorted(found.items())[:4] or [(room, ())]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, search_nodes: int = SEARCH_NODES) -> Groups:
+
+    def go(end: int, left: int, chosen: tuple[tuple[int, int], ...]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+        nodes[0] -= 1
+        if nodes[0] < 0:
+            return
+        if low < left <= high and not _dominated(rest, chosen, left):
+            yield left, chosen
+        least = max(0, left - high)
+        for j in range(min(end, bisect.bisect_right(rest.lengths, left)) - 1, -1, -1):
+            x = rest.lengths[j]
+            if not (rest.sums[x] & ((1 << (left + 1)) - 1)) >> least:
+                return  # this and shorter ones cannot fill enough
+            for n in range(min(rest.left[x], left // x), 0, -1):
+                yield from go(j, left - n * x, (*chosen, (x, n)))
+                if nodes[0] < 0:
+                    return
+
+    yield from go(len(rest.lengths), room, ())
+
+
+def completions(rest: Remainders, room: int, slack: int, nodes: list[int]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """All undominated fillings of `room` that waste at most `slack`, in bands of rising waste."""
+    low, high, slack = -1, 0, min(slack, room)
+    while low < slack and nodes[0] >= 0:
+        yield from fillings(rest, room, low, high, nodes)
+        low, high = high, min(slack, 2 * high + 1)
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, search_nodes: int = SEARCH_NODES, fill_nodes: int = FILL_NODES) -> Groups:
     """Branch and bound over completions of the sequence around the largest remaining length.
 
-    The waste that a better solution may have is (incumbent - 1) * capacity - total; a branch that
-    wastes more is left for the next filling of an earlier sequence. The first incumbent is best fit;
-    reaching the bound ceil(total / capacity) ends the search.
+    A level fills n sequences alike: every undominated filling is tried, each with the greatest number of
+    copies first and then with fewer, down to one. The waste that a better solution may have is
+    (incumbent - 1) * capacity - total; a branch that wastes more is left. So is a state that was reached
+    before with as few sequences. The first incumbent is best fit; reaching the bound
+    ceil(total / capacity) ends the search. Within the two numbers of nodes the result is optimal; when
+    one is used up, the best solution so far stands.
     """
     counts = {k: n for k, n in counts.items() if n > 0}
     if not counts:
@@ -124,47 +185,55 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, search_node
     bound = -(-total // capacity)
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
-    left = dict(counts)
-    lengths = sorted(left, reverse=True)
+    if used == bound:
+        return best
+    rest, nodes = Remainders(counts, capacity), [fill_nodes]
+    seen: dict[int, int] = {}  # state: fewest sequences that led to it
     stack: list[dict] = []  # one level for each filling that is in use
     wasted, bins = 0, 0
-    while search_nodes > 0 and used > bound:
+    while search_nodes > 0 and nodes[0] >= 0 and used > bound:
+        search_nodes -= 1
         allowed = (used - 1) * capacity - total
-        if lengths and wasted <= allowed:
-            search_nodes -= 1
-            top = lengths[0]
-            left[top] -= 1
-            rest = [x for x in lengths if left[x]]
-            options = completions(rest, left, capacity - top, FILL_NODES)
-            left[top] += 1
-            stack.append({"options": [(w, ((top, 1), *f)) for w, f in options], "next": 0, "n": 0})
-        elif not lengths and bins < used:
-            best, used = [(s["filling"], s["n"]) for s in stack], bins
+        if not rest.lengths:
+            if bins < used:
+                best, used = [(s["filling"], s["n"]) for s in stack], bins
+        elif wasted <= allowed and seen.get(rest.state, bins + 1) > bins:
+            seen[rest.state] = bins
+            top = rest.lengths[-1]
+            stack.append({"top": top, "options": completions(rest, capacity - top, allowed - wasted, nodes), "n": 0})
         while stack:
             level = stack[-1]
-            if level["n"]:  # undo
+            n = level["n"]
+            if n:  # undo
                 for x, k in level["filling"]:
-                    left[x] += k * level["n"]
-                wasted -= level["waste"] * level["n"]
-                bins -= level["n"]
-                level["n"] = 0
-            if level["next"] >= len(level["options"]):
-                stack.pop()
-                search_nodes -= 1
-                lengths = sorted((x for x in left if left[x]), reverse=True)
-                continue
-            waste, filling = level["options"][level["next"]]
-            level["next"] += 1
-            merged: dict[int, int] = {}
-            for x, k in filling:
-                merged[x] = merged.get(x, 0) + k
-            n = min(left[x] // k for x, k in merged.items())
-            level |= {"filling": tuple(merged.items()), "waste": waste, "n": n}
-            for x, k in merged.items():
-                left[x] -= k * n
-            wasted += waste * n
+                    rest.add(x, k * n)
+                wasted -= level["waste"] * n
+                bins -= n
+            if n > 1:
+                n -= 1
+            else:
+                top = level["top"]
+                rest.add(top, -1)  # the options are those of what is left besides it
+                option = next(level["options"], None)
+                rest.add(top, 1)
+                if option is None:
+                    stack.pop()
+                    continue
+                merged = {top: 1}
+                for x, k in option[1]:
+                    merged[x] = merged.get(x, 0) + k
+                level |= {"filling": tuple(merged.items()), "waste": option[0]}
+                n = min(rest.left[x] // k for x, k in merged.items())
+                if level["waste"]:  # more copies than the allowed waste has room for lead nowhere
+                    n = min(n, ((used - 1) * capacity - total - wasted) // level["waste"])
+                if n < 1:
+                    level["n"] = 0
+                    continue
+            level["n"] = n
+            for x, k in level["filling"]:
+                rest.add(x, -k * n)
+            wasted += level["waste"] * n
             bins += n
-            lengths = sorted((x for x in left if left[x]), reverse=True)
             break
         if not stack:
             break
