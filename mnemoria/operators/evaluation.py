@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def retrieval_metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -24,15 +29,60 @@ def group_metrics(scores: DataFrame, by: list[str], threshold: float = 0.5) -> D
     return scores.groupBy(*by).agg(F.count("*").alias("total"), ok.alias("correct"), F.round(100.0 * ok / F.count("*"), 6).alias("accuracy"), F.round(100.0 * F.avg("score"), 6).alias("avg_score"))
 
 
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs i < j with ranks[i] > ranks[j], in O(n log n) for each bit of the ranks.
+
+    From the highest bit down, places are kept grouped by the bits above it and in order within a group; a
+    pair is counted at the highest bit in which its ranks differ.
+    """
+    total, at = 0, np.asarray(ranks, np.int64)
+    for bit in range(int(at.max(initial=0)).bit_length() - 1, -1, -1):
+        at = at[np.argsort(at >> (bit + 1), kind="stable")]
+        one = (at >> bit) & 1
+        group = at >> (bit + 1)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        before = np.cumsum(one) - one  # ones before each place, less those before its group
+        before = before - np.repeat(before[first], np.diff(np.append(first, len(at))))
+        total += int(before[one == 0].sum())
+    return total
+
+
+def _tied(*keys: np.ndarray) -> int:
+    """Pairs that are equal in all keys."""
+    if not len(keys[0]):
+        return 0
+    n = np.unique(np.stack(keys, axis=1), axis=0, return_counts=True)[1].astype(np.int64)
+    return int((n * (n - 1) // 2).sum())
+
+
+def _tau(p: np.ndarray, r: np.ndarray) -> float:
+    """tau-b of two orders; masked places differ from none, as nulls in SQL."""
+    p, r = np.ma.asarray(p), np.ma.asarray(r)
+    pairs = lambda n: n * (n - 1) // 2
+    known_p, known_r = (x.compressed() for x in (p, r))
+    n_p, n_r = (pairs(len(x)) - _tied(x) for x in (known_p, known_r))
+    if not n_p or not n_r:
+        return 0.0
+    both = ~(np.ma.getmaskarray(p) | np.ma.getmaskarray(r))
+    p, r = (np.unique(np.asarray(x[both]), return_inverse=True)[1].astype(np.int64) for x in (p, r))
+    discordant = inversions(p[np.lexsort((p, r))])  # equal r are in the order of p: no inversion
+    untied = pairs(len(p)) - _tied(p) - _tied(r) + _tied(p, r)
+    return (untied - 2 * discordant) / (math.sqrt(n_p) * math.sqrt(n_r))
+
+
 def kendall_tau_b(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows (by..., item, p, r): tau-b of two orders; fewer than two items give 0."""
-    a = rows.select(*by, F.col("item").alias("i1"), F.col("p").alias("p1"), F.col("r").alias("r1"))
-    b = rows.select(*by, F.col("item").alias("i2"), F.col("p").alias("p2"), F.col("r").alias("r2"))
-    sign = F.signum((F.col("p1") - F.col("p2")).cast("double")) * F.signum((F.col("r1") - F.col("r2")).cast("double"))
-    pairs = a.join(b, by).filter("i1 < i2").groupBy(*by).agg(F.sum(sign).alias("s"), F.count_if(F.col("p1") != F.col("p2")).alias("np"), F.count_if(F.col("r1") != F.col("r2")).alias("nr"))
-    tau = F.col("s") / F.sqrt(F.col("np").cast("double") * F.col("nr"))
-    groups = rows.select(*by).distinct()
-    return groups.join(pairs, by, "left").select(*by, F.round(F.coalesce(F.when((F.col("np") > 0) & (F.col("nr") > 0), tau), F.lit(0.0)), 6).alias("tau"))
+    """rows (by..., item, p, r): tau-b of two orders; fewer than two items give 0.
+
+    Items are distinct within a group. A group meets in one task, as two arrays of numbers; no pairs are made.
+    """
+    keys = rows.select(*by).schema
+
+    def run(group: pa.Table) -> pa.Table:
+        p, r = (np.ma.array(c.fill_null(0).to_numpy(), mask=c.is_null().to_numpy()) for c in (group["p"], group["r"]))
+        return pa.table({**{k: group[k].slice(0, 1) for k in by}, "tau": pa.array([_tau(p, r)])})
+
+    out = T.StructType([*keys.fields, T.StructField("tau", T.DoubleType())])
+    return rows.select(*by, "p", "r").groupBy(*by).applyInArrow(run, out).withColumn("tau", F.round("tau", 6))
 
 
 def exact_percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -68,6 +68,15 @@ def _(s, d):
     return ev.kendall_tau_b(t, ["lang"])
 
 
+_TAU_ALL = "t AS (SELECT lang, doc_id AS item, n_chars AS p, doc_id AS r FROM documents)"
+
+
+@query("kendall_tau_b_all", f"WITH {_TAU_ALL} SELECT a.lang, round(sum(sign(a.p - b.p) * sign(a.r - b.r)) / sqrt(count(*) FILTER (a.p <> b.p)::DOUBLE * count(*) FILTER (a.r <> b.r)), 6) AS tau FROM t a JOIN t b ON a.lang = b.lang AND a.item < b.item GROUP BY 1")
+def _(s, d):
+    """All documents of a language; kendall_tau_b is cut to 30 as its SQL is."""
+    return ev.kendall_tau_b(table(s, d, "documents").select("lang", F.col("doc_id").alias("item"), F.col("n_chars").alias("p"), F.col("doc_id").alias("r")), ["lang"])
+
+
 @query("nugget_clamp", "SELECT event_type, round(avg(CASE WHEN value / 100 >= 0.75 THEN 1.0::DOUBLE WHEN value / 100 >= 0.25 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score FROM events GROUP BY 1")
 def _(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.round(F.avg(ev.nugget_clamp(F.col("value") / 100)), 6).alias("score"))

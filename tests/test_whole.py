@@ -1,8 +1,12 @@
 """The whole job: queries against exact results over all rows."""
 
+import collections
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from mnemoria.operators import search
+from mnemoria.operators import evaluation, search
 from mnemoria.plans import catalog
 from mnemoria.sources.tables import table
 
@@ -27,3 +31,26 @@ def test_ann_falls_back(spark):
     v = spark.createDataFrame([(k, [1000.0 * k, -500.0 * k]) for k in range(6)], "vec_id long, embedding array<double>")
     q = v.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     assert [r["vec_id"] for r in search.ann_knn(v, q, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def _tau(rows):
+    sign = lambda x: (x > 0) - (x < 0)
+    pairs = [(sign(a[0] - b[0]), sign(a[1] - b[1])) for k, a in enumerate(rows) for b in rows[:k]]
+    n = math.sqrt(sum(p != 0 for p, _ in pairs) * sum(r != 0 for _, r in pairs))
+    return round(sum(p * r for p, r in pairs) / n, 6) if n else 0.0
+
+
+def test_tau_of_ties(spark):
+    rng = random.Random(6)
+    groups = {f"g{k}": [(rng.randint(0, m), rng.randint(0, m)) for _ in range(n)] for k, (m, n) in enumerate([(3, 40), (30, 70), (900, 90), (0, 5), (5, 1), (5, 2)])}
+    rows = [(g, k, *x) for g, xs in groups.items() for k, x in enumerate(xs)]
+    got = evaluation.kendall_tau_b(spark.createDataFrame(rows, "g string, item long, p long, r long"), ["g"])
+    assert {r["g"]: r["tau"] for r in got.collect()} == {g: _tau(xs) for g, xs in groups.items()}
+
+
+def test_tau_of_all_documents(spark):
+    groups = collections.defaultdict(list)
+    for r in table(spark, SF, "documents").select("lang", "n_chars", "doc_id").collect():
+        groups[r["lang"]].append((r["n_chars"], r["doc_id"]))
+    assert max(map(len, groups.values())) > 30
+    assert {r["lang"]: r["tau"] for r in catalog.queries()["kendall_tau_b_all"](spark, SF).collect()} == {g: _tau(xs) for g, xs in groups.items()}
