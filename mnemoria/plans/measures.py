@@ -109,6 +109,14 @@ def _(s, d):
     return memories(s, d).groupBy(F.col("room").alias("source")).agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"]), "\n").cast("binary")).alias("h"))
 
 
+@query("chronological_context_whole", "SELECT source, md5(string_agg(md5(concat('[', strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%d'), '] ', text)), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1")
+def _(s, d):
+    """Whole texts, each line as its hash so that a source stays small; chronological_context is cut as its SQL is."""
+    line = F.concat(F.lit("["), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd"), F.lit("] "), F.coalesce("content", F.lit("")))
+    hashed = memories(s, d).select(F.col("room").alias("source"), F.struct("id", F.md5(line.cast("binary")).alias("l")).alias("x"))
+    return hashed.groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").cast("binary")).alias("h"))
+
+
 @query("resume_checkpoint", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(s, d):
     return memories(s, d).select("id").join(table(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")

@@ -1,6 +1,7 @@
 """The whole job: queries against exact results over all rows."""
 
 import collections
+import hashlib
 import math
 import random
 
@@ -54,3 +55,14 @@ def test_tau_of_all_documents(spark):
         groups[r["lang"]].append((r["n_chars"], r["doc_id"]))
     assert max(map(len, groups.values())) > 30
     assert {r["lang"]: r["tau"] for r in catalog.queries()["kendall_tau_b_all"](spark, SF).collect()} == {g: _tau(xs) for g, xs in groups.items()}
+
+
+def test_context_has_whole_texts(spark, tmp_path):
+    """A changed tail, far beyond 40 characters, changes the context of its source and no other."""
+    for name, tail in (("a", "end"), ("b", "END")):
+        rows = [(1, "x" * 500 + tail, "en", "s1", 503), (2, "short", "en", "s1", 5), (3, "y" * 90, "en", "s2", 90), (4, None, "en", "s2", None)]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / name / "documents.parquet"))
+    a, b = ({r["source"]: r["h"] for r in catalog.queries()["chronological_context_whole"](spark, str(tmp_path / k)).collect()} for k in ("a", "b"))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert a["s1"] == md5("\n".join(map(md5, ["[2024-01-01] " + "x" * 500 + "end", "[2024-01-01] short"])))
+    assert a["s1"] != b["s1"] and a["s2"] == b["s2"]
