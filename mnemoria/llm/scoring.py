@@ -5,9 +5,9 @@ decision) is a node with a Krichevsky-Trofimov estimator. Weighting is done exac
 counts of the whole training part: P_w = (P_e + product of the children's P_w) / 2. To score, the
 estimates of a byte's contexts are mixed along the path with the weights P_e / (2 P_w); a node never
 seen predicts 1/2. Contexts of the last two bytes are kept together, so that each task weights whole
-subtrees. For scoring, the nodes of depth 2 and more are added up in a table of SLOTS places, whatever
-the corpus, so that what is broadcast has a fixed size; places that share nodes blur their estimates,
-but the probabilities of a decision still add up to 1.
+subtrees. The weighted nodes of depth 2 and more stay in a table, by bucket of the last two bytes; those
+of depths 0 and 1 (65,536 at most for each) are broadcast. A block of documents asks for its distinct
+codes, bucket by bucket, and adds up the answers along its texts, which it carries compressed.
 
 Words are known by 64-bit hashes. Counts of words that make up more than a HOT_WORDS-th of all tokens
 (HOT_WORDS words at most) are broadcast; all others are looked up where their bucket of the vocabulary
@@ -35,8 +35,9 @@ from .blobs import SCHEMA, add_up, merge, pack, unpack
 from .common import arrow_map, arrow_stream, bytes_of, id_bucket, materialize, read
 
 DEPTH = 4
-SLOT_BITS = 22
 HOT_WORDS = 200_000
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 4_000_000
 #: Ends a text; no UTF-8 text has this byte.
 END = b"\xff"
 #: Elements that a task gathers before it adds them up.
@@ -121,19 +122,34 @@ def weigh(codes: np.ndarray, n: np.ndarray, down_to: int) -> tuple[list[tuple[in
     return levels, (keys, vals)
 
 
-def _slots(keys: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    return _mix(keys + (_U(depth) << _U(56))) >> _U(64 - bits)
+def _code_bucket(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The last two bytes of the context keep a subtree together."""
+    return (_mix((codes >> _U(8)) & _U(0xFFFF)) >> _U(64 - bits)).astype(np.int64)
+
+
+Levels = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 class Tree:
-    """What scoring needs: P(1) and weight for all nodes of depth 0 and 1, and for the slots."""
+    """What scoring needs: P(1) and weight for all nodes of depth 0 and 1, and the table of the others."""
+
+    def __init__(self, top_p: np.ndarray, top_w: np.ndarray, bits: int, nodes: DataFrame | None):
+        self.top_p, self.top_w, self.bits, self.nodes = top_p, top_w, bits, nodes
 
-    def __init__(self, top_p: np.ndarray, top_w: np.ndarray, p: np.ndarray, w: np.ndarray):
-        self.top_p, self.top_w, self.p, self.w = top_p, top_w, p, w
-        self.bits = int(len(p)).bit_length() - 1
+    def without_nodes(self) -> Tree:
+        return Tree(self.top_p, self.top_w, self.bits, None)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of each code's byte after its context."""
+        """log10 of each code's byte after its context; for few codes, reads their buckets' nodes."""
+        out, bucket = np.zeros(len(codes)), _code_bucket(codes, self.bits)
+        for b in np.unique(bucket).tolist():
+            rows = self.nodes.filter(F.col("bucket") == b).select("kind", "keys", "vals").collect()
+            levels = {int(r["kind"][1:]): unpack(bytes(r["keys"]), bytes(r["vals"])) for r in rows}
+            out[bucket == b] = self.log10_in(levels, codes[bucket == b])
+        return out
+
+    def log10_in(self, levels: Levels, codes: np.ndarray) -> np.ndarray:
+        """log10 for codes of one bucket: levels has the keys and (P(1), weight) of its nodes by depth."""
         total = np.zeros(len(codes))
         context = codes >> _U(8)
         for node, bit in _decisions(codes):
@@ -141,12 +157,15 @@ class Tree:
             p = np.full(len(codes), 0.5)
             for depth in range(DEPTH, -1, -1):
                 k = key & _U((1 << 8 * (depth + 1)) - 1)
-                if depth > 1:
-                    s = _slots(k, depth, self.bits)
-                    q, w = self.p[s], self.w[s]
-                else:
+                if depth < 2:
                     k = k + _U(depth << 16)
                     q, w = self.top_p[k], self.top_w[k]
+                elif depth in levels and len(levels[depth][0]):
+                    keys, vals = levels[depth]
+                    at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    q, w = vals[at, 0], np.where(keys[at] == k, vals[at, 1], 0.0)
+                else:
+                    continue
                 p = w * q + (1 - w) * p
             total += np.log10(np.where(bit == 1, p, 1 - p))
         return total
@@ -175,8 +194,7 @@ def _train_rows(docs: DataFrame, buckets: int) -> DataFrame:
         def flush_codes() -> Iterator[pa.RecordBatch]:
             k, v = add_up(np.concatenate([k for k, _ in counted]), np.concatenate([v for _, v in counted]))
             counted.clear()
-            near = (k >> _U(8)) & _U(0xFFFF)  # the last two bytes keep a subtree together
-            yield pack("g", k, v, (_mix(near) >> _U(64 - bits)).astype(np.int64))
+            yield pack("g", k, v, _code_bucket(k, bits))
 
         for batch in batches:
             texts = [t.lower() for t in bytes_of(batch.column(0))]
@@ -222,8 +240,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
         levels, (up_keys, up) = weigh(keys, vals[:, 0], 2)
         for depth, k, counts, weight in levels:
             n = counts.sum(axis=1)
-            s, v = add_up(_slots(k, depth, SLOT_BITS), np.stack([counts[:, 1], n, n * weight], axis=1))
-            yield pack("s", s, v, (s >> _U(SLOT_BITS - bits)).astype(np.int64))
+            yield pack(f"d{depth}", k, np.stack([(counts[:, 1] + 0.5) / (n + 1), weight], axis=1), np.full(len(k), bucket))
         yield pack("u", up_keys, up, np.zeros(len(up_keys), np.int64))
 
     counted = materialize(merge(_train_rows(docs, buckets), then), "counted")
@@ -232,17 +249,11 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
 
     # depths 1 and 0: 65,536 keys at most
     def keep(kind: str, bucket: int, keys: np.ndarray, vals: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if kind == "s":  # single precision is enough for what is broadcast
-            vals = np.stack([(vals[:, 0] + 0.5) / (vals[:, 1] + 1), vals[:, 2] / vals[:, 1]], axis=1)
         yield pack(kind, keys, vals, np.full(len(keys), bucket))
 
-    p, w = np.full(1 << SLOT_BITS, 0.5, np.float32), np.zeros(1 << SLOT_BITS, np.float32)
     top_p, top_w = np.full(2 << 16, 0.5), np.zeros(2 << 16)
-    for r in merge(counted.filter("kind in ('s', 'u')"), keep).toLocalIterator():
+    for r in merge(counted.filter("kind = 'u'"), keep).toLocalIterator():
         keys, vals = unpack(bytes(r["keys"]), bytes(r["vals"]))
-        if r["kind"] == "s":
-            p[keys], w[keys] = vals[:, 0], vals[:, 1]
-            continue
         for depth in (1, 0):
             own = log_kt(vals[:, 0], vals[:, 1])
             weighted = np.logaddexp(own, vals[:, 2]) - math.log(2)
@@ -250,7 +261,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
             top_p[at] = (vals[:, 1] + 0.5) / (vals[:, 0] + vals[:, 1] + 1)
             top_w[at] = np.exp(own - math.log(2) - weighted)
             keys, vals = add_up(_parents(keys, depth), np.stack([vals[:, 0], vals[:, 1], weighted], axis=1)) if depth else (keys, vals)
-    return Tree(top_p, top_w, p, w), counted.filter("kind = 'w'"), tokens, distinct
+    return Tree(top_p, top_w, bits, counted.filter("kind in ('d2', 'd3', 'd4')")), counted.filter("kind = 'w'"), tokens, distinct
 
 
 def _bucket_count(spark: SparkSession) -> int:
@@ -276,10 +287,10 @@ def _hot_words(vocabulary: DataFrame, tokens: int) -> tuple[np.ndarray, np.ndarr
 
 
 class _Memo:
-    """Scores of codes by place; a code that takes another's place drives it out."""
+    """Scores of codes by place; a code that takes another's place drives it out. levels: the bucket's nodes."""
 
     def __init__(self, tree: Tree):
-        self.tree, self.keys, self.vals = tree, np.full(1 << MEMO_BITS, END_KEY), np.zeros(1 << MEMO_BITS)
+        self.tree, self.levels, self.keys, self.vals = tree, {}, np.full(1 << MEMO_BITS, END_KEY), np.zeros(1 << MEMO_BITS)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         at = _mix(codes) >> _U(64 - MEMO_BITS)
@@ -287,7 +298,7 @@ class _Memo:
         miss = np.flatnonzero(self.keys[at] != codes)
         if len(miss):
             new, back = np.unique(codes[miss], return_inverse=True)
-            values = self.tree.log10(new)
+            values = self.tree.log10_in(self.levels, new)
             out[miss] = values[back]
             at = _mix(new) >> _U(64 - MEMO_BITS)
             self.keys[at], self.vals[at] = new, values
@@ -304,24 +315,70 @@ def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _BLOCK_KINDS, strict=True)], _BLOCK_NAMES)
 
 
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unzip(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
+def _zip_numbers(x: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, all first bytes first: equal high bytes take little room."""
+    return _zip(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unzip_numbers(packed: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(_unzip(packed), np.uint8).reshape(8, -1).T.tobytes(), kind)
+
+
+def _block_codes(texts: list[bytes], bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of a block: (distinct, place of each, starts of texts) for each 64 texts; all distinct
+    codes in order; their order by bucket; where each bucket starts in it."""
+    parts = []
+    for a in range(0, len(texts), 64):
+        codes, starts = grams(texts[a : a + 64])
+        new, back = np.unique(codes, return_inverse=True)
+        parts.append((new, back.astype(np.uint32), starts))
+    codes = np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.uint64)
+    bucket = _code_bucket(codes, bits)
+    order = np.argsort(bucket, kind="stable")
+    return parts, codes, order, np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+
+
 def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, tokens: int, distinct: int) -> DataFrame:
     """docs (doc_id, held_out, text) -> the scores of every row.
 
-    A block is an Arrow batch of documents. Its own row (kind 2) carries what is known at once; rows of
-    kind 1 ask for the counts of its rarer words, bucket by bucket, and the answers are added up.
+    A block is some Arrow batches of documents. Its own row (kind 2) carries what is known at once and the
+    texts; rows of kind 1 ask for the counts of its rarer words and rows of kind 3 for the scores of its
+    distinct codes, bucket by bucket, and the answers (kinds 1 and 0) are added up.
     """
     spark = docs.sparkSession
     buckets = _bucket_count(spark)
     bits = buckets.bit_length() - 1
     hot_keys, hot_counts = _hot_words(vocabulary, tokens)
-    shared = spark.sparkContext.broadcast((tree, hot_keys, hot_counts))
+    shared = spark.sparkContext.broadcast((tree.without_nodes(), hot_keys, hot_counts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, hot_keys, hot_counts = shared.value
-        hot_log, memo = np.log10(hot_counts + 1), _Memo(tree)
+        _, hot_keys, hot_counts = shared.value
+        hot_log = np.log10(hot_counts + 1)
         block = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            texts = [t.lower() for t in bytes_of(batch.column(2))]
+
+        def blocks() -> Iterator[tuple[list, list, list[bytes]]]:
+            ids, held, texts, size = [], [], [], 0
+            for batch in batches:
+                for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2)), strict=True):
+                    ids.append(i)
+                    held.append(h)
+                    texts.append(t.lower())
+                    size += len(t) + 1
+                    if size >= BLOCK_BYTES:
+                        yield ids, held, texts
+                        ids, held, texts, size = [], [], [], 0
+            if texts:
+                yield ids, held, texts
+
+        for raw_ids, raw_held, texts in blocks():
             index: dict[bytes, int] = {}
             put, which, sizes = index.setdefault, [], []
             for t in texts:
@@ -340,14 +397,16 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, tokens: int, disti
             logs[is_hot] = hot_log[place[is_hot]]
             known = np.bincount(doc, weights=is_hot[which], minlength=len(texts))
             base = np.bincount(doc, weights=logs[which], minlength=len(texts))
-            model = np.zeros(len(texts))
-            for a in range(0, len(texts), 64):
-                codes, starts = grams(texts[a : a + 64])
-                model[a : a + 64] = np.add.reduceat(memo.log10(codes), starts)
-            held = np.array(batch.column(1).to_pylist(), float)
-            ids = np.array([0 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            null = np.array([x is None for x in batch.column(0).to_pylist()], float)
-            rows = [(block, 2, 0, ids.tobytes(), None, None, np.stack([held, sizes + 1.0, known, base, model, null], axis=1).tobytes())]
+            held = np.array(raw_held, float)
+            ids = np.array([0 if x is None else x for x in raw_ids], np.int64)
+            null = np.array([x is None for x in raw_ids], float)
+            own = np.stack([held, sizes + 1.0, known, base, null], axis=1)
+            lengths = np.array([len(t) for t in texts], "<i8")
+            rows = [(block, 2, 0, ids.tobytes(), _zip(b"".join(texts)), lengths.tobytes(), own.tobytes())]
+            _, codes, by_bucket, first = _block_codes(texts, bits)
+            for b, (x, y) in enumerate(zip(first, first[1:], strict=False)):
+                if y > x:
+                    rows.append((block, 3, b, None, _zip_numbers(np.diff(codes[by_bucket[x:y]], prepend=_U(0))), None, None))
             rare = np.flatnonzero(~is_hot[which])
             k, d = keys[which[rare]], doc[rare]
             order = np.argsort(k, kind="stable")
@@ -359,17 +418,27 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, tokens: int, disti
 
     asked = materialize(arrow_stream(docs.select("doc_id", "held_out", "text"), ask, _BLOCK), "asked")
     none = F.lit(None).cast("binary")
-    # the vocabulary comes first in its bucket (kind 0)
+    # the tree's nodes (kinds -4 to -2, by depth) and the vocabulary (kind 0) come first in their bucket
     counts = vocabulary.select(F.lit(0).cast("long").alias("block"), F.lit(0).alias("kind"), "bucket", none.alias("doc_id"), "keys", none.alias("docs"), F.col("vals").alias("sums"))
-    together = counts.union(asked.filter("kind = 1")).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    nodes = tree.nodes.select(F.lit(0).cast("long").alias("block"), (-F.substring("kind", 2, 1).cast("int")).alias("kind"), "bucket", none.alias("doc_id"), "keys", none.alias("docs"), F.col("vals").alias("sums"))
+    together = nodes.union(counts).union(asked.filter("kind in (1, 3)")).repartition("bucket").sortWithinPartitions("bucket", "kind")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, vals = None, np.zeros(0, np.uint64), np.zeros(0)
+        memo = _Memo(shared.value[0])
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 if r["bucket"] != at:
                     at, keys, vals = r["bucket"], np.zeros(0, np.uint64), np.zeros(0)
+                    memo.levels = {}
+                if r["kind"] < 0:
+                    memo.levels[-r["kind"]] = unpack(r["keys"], r["sums"])
+                    continue
+                if r["kind"] == 3:
+                    codes = np.cumsum(_unzip_numbers(r["keys"], "<u8"), dtype=np.uint64)
+                    rows.append((r["block"], 0, r["bucket"], None, None, None, _zip_numbers(memo.log10(codes))))
+                    continue
                 if r["kind"] == 0:
                     keys, vals = unpack(r["keys"], r["sums"])
                     vals = vals[:, 0]
@@ -388,18 +457,26 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, tokens: int, disti
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums = np.zeros(0, np.int64), np.zeros((0, 6))
+        ids, sums = np.zeros(0, np.int64), np.zeros((0, 5))
+        parts, codes, by_bucket, first = _block_codes([], bits)
+        logs = np.zeros(0)
 
         def close() -> pa.RecordBatch:
             base = sums[:, 3] - sums[:, 1] * math.log10(tokens + distinct + 1)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=sums[:, 5] > 0), pa.array(sums[:, 0] > 0), *(pa.array(x.astype(np.int64)) for x in (sums[:, 1], sums[:, 2], np.full(len(ids), tokens))), pa.array(base), pa.array(sums[:, 4])], names)
+            model = [np.add.reduceat(logs[np.searchsorted(codes, new)][back], starts) for new, back, starts in parts]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=sums[:, 4] > 0), pa.array(sums[:, 0] > 0), *(pa.array(x.astype(np.int64)) for x in (sums[:, 1], sums[:, 2], np.full(len(ids), tokens))), pa.array(base), pa.array(np.concatenate([np.zeros(0), *model]))], names)
 
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == 2:
                     yield close()
                     ids = np.frombuffer(r["doc_id"], "<i8")
-                    sums = np.frombuffer(r["sums"], "<f8").reshape(-1, 6).copy()
+                    sums = np.frombuffer(r["sums"], "<f8").reshape(-1, 5).copy()
+                    text, ends = _unzip(r["keys"]), np.cumsum(np.frombuffer(r["docs"], "<i8")).tolist()
+                    parts, codes, by_bucket, first = _block_codes([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], bits)
+                    logs = np.full(len(codes), np.nan)  # every code is answered
+                elif r["kind"] == 0:
+                    logs[by_bucket[first[r["bucket"]] : first[r["bucket"] + 1]]] = _unzip_numbers(r["sums"], "<f8")
                 else:
                     sums[np.frombuffer(r["docs"], "<u4"), 2:4] += np.frombuffer(r["sums"], "<f8").reshape(-1, 2)
         yield close()
