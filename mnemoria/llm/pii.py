@@ -129,13 +129,13 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def redact_text(text: str, least: float = 0.5) -> str:
-    """The text with each span of at least that score replaced by its kind, as <EMAIL>.
+    """The text with each base span, and each added span of at least that score, replaced by its kind, as <EMAIL>.
 
     Where spans overlap, the one that starts first is replaced and the rest of the other with it.
     """
     out, at = [], 0
     for kind, a, b, score in find_spans(text):
-        if score < least:
+        if kind not in BASE_KINDS and score < least:
             continue
         if a >= at:
             out += [text[at:a], f"<{kind.upper()}>"]

@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from mnemoria.llm import packing, scoring
+from mnemoria.llm import packing, pii, scoring
 
 
 def _fewest(lengths, capacity):
@@ -117,3 +117,8 @@ def test_scores_are_those_of_the_tree(spark, monkeypatch):
         got = {r["doc_id"]: r["score"] for r in scoring.score(docs, *fitted).collect()}
         assert got.keys() == want.keys()
         assert max(abs(got[k] - want[k]) for k in want) < 1e-6
+
+
+def test_words_against_do_not_unmask():
+    assert pii.redact_text("order: +49 30 123456789") == "order: <PHONE>"
+    assert pii.redact_text("release serial 10.0.0.1, version 10.0.0.2") == "release serial <IP>, version <IP>"
