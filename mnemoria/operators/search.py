@@ -49,21 +49,31 @@ def ann_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     cosine. A query with fewer than k candidates is compared with all vectors.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    features = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    v, q = vectors.select("vec_id", features), queries.select("query_id", features)
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=4, seed=7).fit(v)
-    near = model.approxSimilarityJoin(v, q, float("inf"), "distance").select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
-    enough = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    short = queries.select("query_id", F.col("embedding").alias("q")).join(enough, "query_id", "left_anti")
+    tables = 4
+    v = vectors.select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    q = queries.select("query_id", F.col("embedding").alias("q"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=tables, seed=7).fit(v)
+    hashes = F.array(*[vector_to_array(F.col("hashes")[i])[0] for i in range(tables)])
     square = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, x: t + x)
-    exact = vectors.crossJoin(F.broadcast(short)).select("query_id", "vec_id", F.round(F.sqrt(square), 6).alias("distance"))
-    found = near.join(enough, "query_id", "left_semi").union(exact)
-    w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy("distance", "vec_id")
-    few = found.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).drop("r")
-    return few.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
+    distance = F.round(F.sqrt(square), 6).alias("distance")
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+        part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy("distance", "vec_id")
+        few = pairs.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).drop("r")
+        return few.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
+
+    left = model.transform(v).select("vec_id", "embedding", hashes.alias("hv")).select("*", F.posexplode("hv").alias("t", "bucket"))
+    right = model.transform(q).select("query_id", "q", hashes.alias("hq")).select("*", F.posexplode("hq").alias("t", "bucket"))
+    # a pair counts in the first table that it shares: vectors are not shuffled to find it again
+    first = F.array_position(F.zip_with("hv", "hq", lambda a, b: a == b), True) == F.col("t") + 1
+    near = nearest(left.join(F.broadcast(right), ["t", "bucket"]).filter(first).select("query_id", "vec_id", distance))
+    enough = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = queries.select("query_id", F.col("embedding").alias("q")).join(enough, "query_id", "left_anti")
+    exact = nearest(vectors.crossJoin(F.broadcast(short)).select("query_id", "vec_id", distance))
+    return near.join(enough, "query_id", "left_semi").union(exact).select("query_id", "vec_id", "distance", "rank")
 
 
 def search_bm25(mem: DataFrame, terms: list[str], k: int | None = 20, where: Column | None = None) -> DataFrame:
