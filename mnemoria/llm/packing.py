@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, read, texts_of
-from .tokens import encoder
+from .common import arrow_stream, gathered, materialize, read
+from .tokens import BATCH_BYTES, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -241,17 +242,23 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, search_node
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, crcs): one row per document; crcs has the crc32 of each piece's ids."""
+    """(doc_id, n_tokens, crcs, nth): one row per document; crcs has the crc32 of each piece's ids.
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, crcs = [], []
-        for ids in encoder(tokenizer_path, keep_space=False).encode(texts_of(batch.column(1))):
-            raw = np.append(np.frombuffer(ids, "<u2"), np.uint16(END_ID)).astype("<u4").tobytes()
-            n.append(len(raw) // 4)
-            crcs.append([zlib.crc32(raw[k : k + 4 * capacity]) for k in range(0, len(raw), 4 * capacity)])
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "n_tokens", "crcs"])
+    nth counts the rows of a task, from the task's number on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = TaskContext.get().partitionId()
+        for batch in gathered(batches, 1, BATCH_BYTES):
+            ids, ends = encoder(tokenizer_path, keep_space=False).encode_column(batch.column(1), END_ID)
+            crcs = []
+            for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                raw = ids[a:b].astype("<u4").tobytes()
+                crcs.append([zlib.crc32(raw[k : k + 4 * capacity]) for k in range(0, len(raw), 4 * capacity)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(ends)), pa.array(crcs, pa.list_(pa.int64())), pa.array(np.arange(done, done + len(crcs)))], ["doc_id", "n_tokens", "crcs", "nth"])
+            done += len(crcs)
 
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, crcs array<long>")
+    return arrow_stream(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, crcs array<long>, nth long")
 
 
 def plan_runs(groups: Groups) -> list[tuple[int, int, int, int, int, int]]:
@@ -290,7 +297,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         list(by_length.items()), "tail int, runs array<struct<a:long,b:long,copies:long,first:long,offset:long>>"
     )
 
-    salted = rows.select("doc_id", "n_tokens", "crcs", tail.alias("tail"), F.pmod(F.xxhash64("doc_id", "n_tokens", "crcs"), F.lit(salts)).cast("int").alias("salt"))
+    # the salt is no function of a document, so that repeated rows are spread as well
+    salted = rows.select("doc_id", "n_tokens", "crcs", tail.alias("tail"), F.pmod("nth", F.lit(salts)).cast("int").alias("salt"))
     sizes = salted.groupBy("tail", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("tail", "salt", (F.sum("n").over(Window.partitionBy("tail").orderBy("salt")) - F.col("n")).alias("before"))
     in_salt = F.row_number().over(Window.partitionBy("tail", "salt").orderBy("doc_id", "n_tokens", "crcs")) - 1

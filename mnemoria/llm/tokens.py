@@ -1,11 +1,15 @@
 """Token ids by the tokenizers library, with an exact memo of the pieces that texts are made of.
 
-Both tokenizers used here split a text into runs of letters and digits, runs of other signs, and white
-space before they merge; a run takes one space before it at most. Outside contractions (an apostrophe)
-no token spans two runs, so the ids of a text are the ids of its runs in order. Texts are cut at single
-spaces; a piece seen for the first time is cut into runs; a run seen for the first time is encoded.
-Both memos are bounded. Texts where that reasoning does not hold (white space beside white space,
-characters that normalise together) are encoded whole.
+Both tokenizers used here split a text into runs of letters, of digits, of other signs and white space
+before they merge; no token spans two runs, and a run takes one space before it at most. So the ids of a
+text are the ids of its runs in order. Texts are cut at spaces, and Arrow numbers the distinct pieces of
+a batch; a piece seen for the first time is cut into runs, and the vocabulary's merges encode each run
+seen for the first time. The ids of a batch are then gathered from the memo by NumPy.
+
+Where that reasoning does not hold, the library encodes the whole piece or the whole text: special
+tokens, three white spaces in a row or two at the end (with spaces kept), contractions, control signs
+that Python and the tokenizer class differently, characters that normalise together, and letters beyond
+U+0500. The memos are emptied after a batch that leaves more in them than MEMO_PIECES, MEMO_RUNS or MEMO_BYTES.
 """
 
 from __future__ import annotations
@@ -15,31 +19,36 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A memo of pieces or of runs is emptied after a batch that leaves more entries in it.
-MEMO_ENTRIES = {True: (1_600_000, 1_200_000), False: (300_000, 600_000)}  # by keep_space: most entries of pieces, of runs
-#: Both are emptied after a batch with a text of more characters, whose pieces may be long.
-MEMO_LONG_TEXT = 4_000_000
-
-_RUNS = 300_000, 700_000
-#: Longer pieces and runs are encoded but not kept.
-MEMO_CHARS = 40
-
-_RUNS = re.compile(r" ?[^\W_]+| ?(?:[^\w\s]|_)+|\s")
-_SOLID = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
-#: Python and the tokenizer class these differently.
-_CONTROL = re.compile("[\x1c-\x1f\x85\u180e]")
+#: Bytes of texts that are encoded together, about; a longer text is encoded alone.
+BATCH_BYTES = 16_000_000
+#: Pieces whose ids are gathered at a time.
+GATHER_PIECES = 1 << 19
+#: Most entries of the memos of pieces and of runs, and most bytes of the pieces in all.
+MEMO_PIECES, MEMO_RUNS, MEMO_BYTES = 1_500_000, 1_000_000, 40_000_000
 
 #: How byte-level vocabularies write a byte. Printable Latin-1 bytes stand for themselves,
 #: the others for the characters from 256 on, in order.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _OTHERS = [b for b in range(256) if b not in _PRINTED]
 _BYTE_CHARS = {**{b: chr(b) for b in _PRINTED}, **{b: chr(256 + k) for k, b in enumerate(_OTHERS)}}
+
 _SPACE = _BYTE_CHARS[0x20]
 
+_RUNS = re.compile(r" ?[^\W\d_]+| ?[0-9]+| ?(?:[^\w\s]|_)+|\s")  # with spaces kept
+_SOLID = re.compile(r"[^\W\d_]+|[0-9]|(?:[^\w\s]|_)+")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+#: Python and the tokenizer class these differently.
+_CONTROL = re.compile("[\x1c-\x1f\x85]")
+#: For RE2: white space of either, three in a row or two at the end.
+_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf"{_WHITE}{{3}}|{_WHITE}{{2}}\z"
+
 
 class PieceEncoder:
-    """Encodes texts to little-endian ids of 16 bits (both vocabularies are below 65,536).
+    """Encodes texts to ids of 16 bits (both vocabularies are below 65,536).
 
     keep_space: a piece carries the space before it (byte-level vocabulary) or not (word vocabulary,
     which drops white space and case, so that every space is a boundary).
@@ -49,96 +58,144 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("this encoder keeps ids in 16 bits")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model.tokenize
         self.two_bytes = [k.to_bytes(2, "little") for k in range(1 << 16)]
         self.keep_space = keep_space
-        self.most_pieces, self.most_runs = MEMO_ENTRIES[keep_space]
-        self.pieces: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        out = []
-        for k in range(0, len(strings), 4096):
-            out += [np.asarray(e.ids, dtype="<u2").tobytes() for e in encode(strings[k : k + 4096], add_special_tokens=False)]
-        return out
+        self.find = (_RUNS if keep_space else _SOLID).findall
+        self._empty()
 
-    def _encode_runs(self, runs: list[str]) -> list[bytes]:
-        """A run of letters is one word for the vocabulary's merges; other runs take the whole way."""
-        merges, two, out, rest = self.merges, self.two_bytes, [], []
-        for k, run in enumerate(runs):
-            word = run[1:] if run[:1] == " " else run
-            if word.isalpha() and (self.keep_space or "Σ" not in word):
-                if not self.keep_space:
-                    word = word.lower()
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
-                if run[:1] == " ":
-                    word = _SPACE + word
-                out.append(b"".join([two[t.id] for t in merges(word)]))
-            else:
-                out.append(b"")
-                rest.append(k)
-        for k, ids in zip(rest, self._encode([runs[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
+    def _empty(self) -> None:
+        self.known = pa.array([], pa.large_string())  # pieces; the k-th has its ids in slot self.slots[k]
+        self.slots = np.zeros(0, np.int32)
+        self.heads: dict[str, int] = {}  # first pieces of texts, with spaces kept: their slots
+        self.runs: dict[str, bytes] = {}
+        self.starts, self.lens, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u2")
 
-    def _split(self, text: str) -> list[str] | None:
-        """Pieces between single spaces; None: the text must be encoded whole.
+    def _store(self, values: list[bytes]) -> np.ndarray:
+        """Slots for some ids."""
+        lens = np.fromiter(map(len, values), np.int32, len(values)) // 2
+        starts = len(self.ids) + np.cumsum(lens, dtype=np.int32) - lens
+        first = len(self.starts)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(values), "<u2")])
+        self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+        return np.arange(first, first + len(values), dtype=np.int32)
 
-        With spaces kept, all white space must be single spaces and line feeds between other signs.
-        """
-        if self.keep_space and (len(text.split()) - 1 != text.count(" ") + text.count("\n") or "\u180e" in text):
-            return None
-        if not self.keep_space and (text.isascii() or "\u03a3" not in text and "\u0130" not in text):
-            text = text.lower()  # as the vocabulary does; these two letters depend on their surroundings
-        return text.split(" ")
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _plain(self, piece: str) -> bool:
         """Whether the runs of a piece can be encoded one by one."""
-        if "'" in piece or _CONTROL.search(piece):
+        if "'" in piece or not piece.isprintable() and _CONTROL.search(piece):
             return False
-        return self.keep_space or piece.isascii() or "\u0130" not in piece and unicodedata.is_normalized("NFC", piece)
-
-    @staticmethod
-    def _look_up(keys: set[str], memo: dict[str, bytes], work) -> None:
-        """Put the missing keys into memo; work gives their values."""
-        fresh = list(keys.difference(memo))
-        if fresh:
-            memo.update(zip(fresh, work(fresh), strict=True))
-
-    def _by_runs(self, pieces: list[str]) -> list[bytes]:
-        runs, find, plain, n = self.runs, (_RUNS if self.keep_space else _SOLID).findall, self._plain, int(self.keep_space)
-        whole = {p for p in pieces if p.isascii() and p[n:].isalpha()}  # most are one run of letters, with its space
-        cut = {p: find(p) if plain(p) else None for p in pieces if p not in whole}
-        self._look_up(whole.union(*(c for c in cut.values() if c)), runs, self._encode_runs)
-        return [runs[p] if p in whole else b"".join([runs[r] for r in c]) if (c := cut[p]) is not None else self._encode([p])[0] for p in pieces]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as bytes."""
-        split, memo = [self._split(t) for t in texts], self.pieces
-        if not self.keep_space:
-            self._look_up(set().union(*split), memo, self._by_runs)
-            out = [b"".join([memo[p] for p in s]) for s in split]
-        else:
-            # the key is the piece, the value is of the piece with its space; a text's first piece has none
-            heads = {s[0] for s in split if s is not None}
-            head = dict(zip(heads, self._by_runs(list(heads)), strict=True))
-            tails = [s and s[1:] for s in split]
-            self._look_up(set().union(*(s for s in tails if s)), memo, lambda new: self._by_runs([" " + p for p in new]))
-            out = [self._encode([t])[0] if s is None else head[s[0]] + b"".join([memo[p] for p in rest]) for t, s, rest in zip(texts, split, tails, strict=True)]
-        long = bool(texts) and max(map(len, texts)) > MEMO_LONG_TEXT
-        if len(memo) > self.most_pieces or long:
-            memo.clear()
-        if len(self.runs) > self.most_runs or long:
-            self.runs.clear()
+        if piece.isascii():
+            return True
+        if max(piece) >= "\u0500" or not "".join(_NOT_ASCII.findall(piece)).isalpha():
+            return False
+        return self.keep_space or "\u0130" not in piece and "\u03a3" not in piece and unicodedata.is_normalized("NFC", piece)
+
+    def _run(self, run: str) -> bytes:
+        """A run's ids by the vocabulary's merges."""
+        word = run if self.keep_space else run.lower()
+        if not word.isascii() or not word.isprintable():
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        elif word[0] == " ":  # other printed ASCII signs stand for themselves
+            word = _SPACE + word[1:]
+        two = self.two_bytes
+        ids = self.runs[run] = b"".join([two[t.id] for t in self.merges(word)])
+        return ids
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        runs, find, plain, whole, run, out = self.runs.get, self.find, self._plain, self._whole, self._run, []
+        for p in pieces:
+            if p.isascii() and p.strip(" ").isalpha():  # most are one run
+                out.append(runs(p) or run(p))
+            elif plain(p):
+                cut = find(p)
+                out.append((runs(cut[0]) or run(cut[0])) if len(cut) == 1 else b"".join([runs(r) or run(r) for r in cut]))
+            else:
+                out.append(whole(p))
         return out
 
+    def _slots_of(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all pieces of the texts, and where each text ends among them."""
+        odd = pa.array(np.zeros(len(texts), bool))
+        if self.keep_space:
+            odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        rest = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
+        split = pc.split_pattern(rest if self.keep_space else pc.ascii_lower(rest), " ")
+        values, offsets = split.values, split.offsets.to_numpy()
+        offsets = offsets[: len(texts) + 1]
+        values = values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
+        offsets = offsets - offsets[0]
+        found = pc.index_in(values.dictionary, value_set=self.known)
+        slots = np.zeros(len(values.dictionary), np.int32)
+        missing = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        slots[hit] = self.slots[found.drop_null().to_numpy()]
+        if len(missing):
+            new = values.dictionary.take(pa.array(missing))
+            strings = new.to_pylist()
+            slots[missing] = self._store(self._pieces([" " + p for p in strings] if self.keep_space else strings))
+            self.known = pa.concat_arrays([self.known, new])
+            self.slots = np.concatenate([self.slots, slots[missing]])
+        codes = values.indices.to_numpy()
+        at = slots[codes]
+        if self.keep_space:
+            heads = values.dictionary.take(pa.array(codes[offsets[:-1]])).to_pylist()
+            new = list(set(heads).difference(self.heads))
+            self.heads.update(zip(new, self._store(self._pieces(new)).tolist(), strict=True))
+            at[offsets[:-1]] = [self.heads[h] for h in heads]
+        odd = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(odd):
+            at[offsets[odd]] = self._store([self._whole(t) for t in texts.take(pa.array(odd)).to_pylist()])
+        if end is None:
+            return at, offsets[1:]
+        last = self._store([self.two_bytes[end]])[0]
+        return np.insert(at, offsets[1:], last), offsets[1:] + np.arange(1, len(texts) + 1)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids in these slots, one after another."""
+        parts = [np.zeros(0, "<u2")]
+        for k in range(0, len(at), GATHER_PIECES):
+            some = at[k : k + GATHER_PIECES]
+            lens = self.lens[some]
+            place = np.repeat(self.starts[some] - np.cumsum(lens, dtype=np.int32) + lens, lens)
+            place += np.arange(len(place), dtype=np.int32)
+            parts.append(self.ids[place])
+        return np.concatenate(parts)
+
+    def encode_column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text starts and the last ends; null is empty.
+
+        end: an id that is appended to each text.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        ids, ends, at = [np.zeros(0, "<u2")], [np.zeros(1, np.int64)], 0
+        while at < len(texts):
+            done = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + BATCH_BYTES, side="right")))
+            slots, last = self._slots_of(texts.slice(at, to - at), end)
+            ids.append(self._gather(slots))
+            sums = np.concatenate([[0], np.cumsum(self.lens[slots], dtype=np.int64)])
+            ends.append(sums[last] + ends[-1][-1])
+            if len(self.starts) > MEMO_PIECES or len(self.runs) > MEMO_RUNS or self.known.nbytes > MEMO_BYTES:
+                self._empty()
+            at = to
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian bytes."""
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, keep_space: bool) -> PieceEncoder:
