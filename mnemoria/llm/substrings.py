@@ -3,13 +3,16 @@
 A byte goes if a WINDOW-byte string that covers it also starts anywhere else. Each window owns the
 smallest hash of its GRAM-byte grams (the leftmost of equal ones), so equal windows own an equal gram at
 the same place: its anchor. The windows of one anchor occurrence are consecutive, and the bytes that they
-cover are its context. Anchors whose gram occurs once have no repeated window. Equal contexts are one
-class with a count. Where an anchor has several classes, the suffixes that start at the anchor and the
-reversed prefixes before it are put in order by deep-shallow sorting; common prefixes with the
-neighbours then say for which windows two classes agree.
+cover are its context. Anchors whose gram occurs once have no repeated window. Equal contexts (by a
+128-bit hash of their bytes) are one class with a count. Where an anchor has several classes, the suffixes
+that start at the anchor and the reversed prefixes before it are put in order by deep-shallow sorting;
+common prefixes with the neighbours then say for which windows two classes agree.
 
-An anchor with more than HOT_CLASSES classes is split by the bytes that a range of its windows has in
-common, so a frequent passage in ever new surroundings falls apart into small groups.
+No more than HOT_CLASSES classes are sorted together. An anchor with more of them, as in a passage that
+stands in ever new surroundings, is refined: its windows fall into parts of WIDTHS[0] starts, and a part
+goes by the bytes that all its windows have in common, as equal windows do. Parts with equal bytes are
+one class again, so windows inside the passage need no sorting, and surroundings that differ part ways.
+What is still hot is cut into narrower parts, down to single windows, where equal keys are equal strings.
 
 Defined cases: a null text is the empty text; a text shorter than the window loses nothing; a repeated
 row is a document of its own, so all of its windows are repeated; no rows give no rows; other columns
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_stream, bytes_of, materialize, read
+from .common import arrow_map, arrow_stream, bytes_of, forget, materialize, read
 from .suffixsort import deep_shallow, sorted_lcps
 
 WINDOW, GRAM = 400, 200
@@ -35,8 +38,8 @@ SPAN = WINDOW - GRAM  # a window starts 0 to SPAN bytes before its anchor
 #: Windows handled at a time; longer texts are cut between windows, which changes no anchor.
 CHUNK = 1 << 22
 HOT_CLASSES = 2048
-#: Offsets that share one key when a hot anchor is split.
-SPLIT = 32
+#: Starts of windows that share one key when a hot anchor is refined, round by round.
+WIDTHS = (64, 16, 4, 1)
 #: Groups up to this size are compared by pairs, larger ones offset by offset.
 SMALL_GROUP = 24
 
@@ -65,8 +68,13 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def anchors_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor of a text: its gram's hash, its context's hash, its place, first and last window."""
+def digest(context: bytes | memoryview, first: int) -> bytes:
+    """128 bits that name a context whose first window starts `first` bytes from the anchor."""
+    return xxhash.xxh3_128_digest(context, seed=-first)
+
+
+def anchors_of(raw: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """For each anchor of a text: its gram's hash, its context's digest, its place, first and last window."""
     parts = []
     for at in range(0, len(raw) - WINDOW + 1, CHUNK):
         b = np.frombuffer(raw, np.uint8, min(CHUNK + WINDOW - 1, len(raw) - at), at)
@@ -88,9 +96,10 @@ def anchors_of(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         first = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
         last = np.concatenate([first[1:] - 1, [windows - 1]])
         place = owner[first]
-        context = _mix((sums[last + WINDOW] - sums[first]) * inverse[first]) ^ _mix(((place - first) * 1024 + (last - first)).astype(np.uint64))
-        parts.append((grams[place].view(np.int64), context.view(np.int64), place + at, first + at, last + at))
-    return tuple(np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 5))
+        parts.append((grams[place].view(np.int64), place + at, first + at, last + at))
+    grams, place, first, last = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts, strict=True) if parts else [[]] * 4))
+    view = memoryview(raw)
+    return grams, [digest(view[a : b + WINDOW], a - q) for a, b, q in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)], place, first, last
 
 
 def repeated_windows(group: list[tuple[int, int, int, bytes]]) -> list[list[tuple[int, int]]]:
@@ -153,50 +162,68 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         found = [anchors_of(raw) for raw in bytes_of(batch.column(2))]
         times = np.array([len(f[0]) for f in found], np.int64)
         index = pa.array(np.repeat(np.arange(len(found)), times))
-        cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(5)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(cols[0]), pa.array(cols[1]), *(pa.array(c.astype(np.int32)) for c in cols[2:])], names)
+        cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 2, 3, 4)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), pa.array(cols[0]), pa.array([d for f in found for d in f[1]], pa.binary()), *(pa.array(c.astype(np.int32)) for c in cols[1:])], names)
+
+    return arrow_map(docs.select("doc_id", "th", "text"), run, "doc_id long, th long, h long, ctx binary, place int, first int, last int")
 
-    return arrow_map(docs.select("doc_id", "th", "text"), run, "doc_id long, th long, h long, ctx long, place int, first int, last int")
+
+_CLASS = "key long, tag binary, n long, first int, last int, context binary"
+_CLASS_KINDS = {"key": pa.int64(), "tag": pa.binary(), "n": pa.int64(), "first": pa.int32(), "last": pa.int32(), "context": pa.binary()}
 
 
 def _context_rows(texts: DataFrame) -> DataFrame:
-    """(text, items) -> (key, h, ctx, n, first, last, bytes): contexts keyed by anchor, or by part of one."""
-    names = ["key", "h", "ctx", "n", "first", "last", "context"]
+    """(text, items) -> (key, tag, n, first, last, context, hot): the classes of anchors, with their bytes."""
+    kinds = {**_CLASS_KINDS, "hot": pa.bool_()}
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for raw, items in zip(bytes_of(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             for x in items:
                 q, a, b = x["place"], x["first"], x["last"]
-                if x["classes"] <= HOT_CLASSES:
-                    rows.append((x["h"], x["h"], x["ctx"], x["n"], a - q, b - q, raw[a : b + WINDOW]))
-                    continue
-                for part in range(SPAN // SPLIT + 1):
-                    low, high = max(a, q - SPLIT * part - SPLIT + 1), min(b, q - SPLIT * part)
-                    if low <= high:
-                        core = raw[q - SPLIT * part : q - SPLIT * part - SPLIT + 1 + WINDOW]
-                        key = xxhash.xxh3_64_intdigest(core, seed=part) ^ (x["h"] & (1 << 64) - 1)
-                        rows.append((key - (1 << 64) if key >> 63 else key, x["h"], x["ctx"], x["n"], low - q, high - q, raw[low : high + WINDOW]))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        cols = zip(*rows, strict=True) if rows else [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                rows.append((x["h"], x["ctx"], x["n"], a - q, b - q, raw[a : b + WINDOW], x["classes"] > HOT_CLASSES))
+        cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
+
+    return arrow_map(texts.select("text", "items"), run, f"{_CLASS}, hot boolean")
+
+
+def _parts(classes: DataFrame, width: int) -> DataFrame:
+    """Classes (h, ctx, n, first, last, context) cut into parts: (h, ctx) and a class of _CLASS.
+
+    A part has `width` neighbouring starts of windows; its key is made of the bytes that they all cover.
+    """
+    kinds = {"h": pa.int64(), "ctx": pa.binary(), **_CLASS_KINDS}
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for h, ctx, n, first, last, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part in range(-last // width, -first // width + 1):
+                high, low = -part * width, -part * width - width + 1
+                core = context[high - first : low + WINDOW - first]
+                key = xxhash.xxh3_64_intdigest(core, seed=part) ^ (h & (1 << 64) - 1)
+                a, b = max(first, low), min(last, high)
+                own = context[a - first : b + WINDOW - first]
+                rows.append((h, ctx, key - (1 << 64) if key >> 63 else key, digest(own, a), n, a, b, own))
+        cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
-    return arrow_map(texts.select("text", "items"), run, "key long, h long, ctx long, n long, first int, last int, context binary")
+    return arrow_map(classes.select("h", "ctx", "n", "first", "last", "context"), run, f"h long, ctx binary, {_CLASS}")
 
 
-def _sorted_groups(contexts: DataFrame) -> DataFrame:
-    """(h, ctx, ranges) from contexts that come sorted by key."""
+def _sorted_groups(classes: DataFrame) -> DataFrame:
+    """(key, tag, from, to) from classes of _CLASS, no more than HOT_CLASSES of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
 
         def close() -> None:
-            for (h, ctx, *_), ranges in zip(held, repeated_windows([x[2:] for x in held]), strict=True):
-                out.extend((h, ctx, a, b) for a, b in ranges)
+            for (tag, *_), ranges in zip(held, repeated_windows([x[1:] for x in held]), strict=True):
+                out.extend((key, tag, a, b) for a, b in ranges)
 
         def batch_of() -> pa.RecordBatch:
             cols = zip(*out, strict=True) if out else [()] * 4
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["h", "ctx", "from", "to"])
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["key", "tag", "from", "to"])
             out.clear()
             return made
 
@@ -212,7 +239,32 @@ def _sorted_groups(contexts: DataFrame) -> DataFrame:
             close()
         yield batch_of()
 
-    return arrow_stream(contexts, run, "h long, ctx long, from int, to int")
+    ordered = classes.select(*_CLASS_KINDS).repartition("key").sortWithinPartitions("key")
+    return arrow_stream(ordered, run, "key long, tag binary, from int, to int")
+
+
+def _refined(hot: DataFrame) -> DataFrame | None:
+    """(h, ctx, from, to) of the repeated windows of hot anchors' classes (h, ctx, n, first, last, context)."""
+    found: DataFrame | None = None
+    for width in WIDTHS:
+        parts = materialize(_parts(hot, width), "parts")
+        alike = parts.groupBy("key", "tag").agg(F.sum("n").alias("n"), F.first(F.struct("first", "last", "context")).alias("one"))
+        alike = materialize(alike.select("key", "tag", "n", "one.*"), "alike")
+        # both sides of a join on a hot key are plain tables, so that a skewed join can split it
+        several = materialize(alike.groupBy("key").agg(F.count("*").alias("classes")), "several")
+        classes = materialize(alike.join(several, "key"), "classes")
+        alone = classes.filter("classes = 1 and n > 1").select("key", "tag", F.col("first").alias("from"), F.col("last").alias("to"))
+        done = alone.union(_sorted_groups(classes.filter((F.col("classes") > 1) & (F.col("classes") <= HOT_CLASSES))))
+        done = materialize(done.groupBy("key", "tag").agg(F.collect_set(F.struct("from", "to")).alias("ranges")), "windows")
+        here = materialize(parts.join(done, ["key", "tag"]).select("h", "ctx", F.explode("ranges").alias("r")).select("h", "ctx", "r.*"), "refined")
+        found = here if found is None else found.union(here)
+        forget(alike, classes, done)
+        still = several.filter(F.col("classes") > HOT_CLASSES)
+        if width == 1 or still.isEmpty():
+            break
+        hot = materialize(parts.join(still.select("key"), "key").select("h", "ctx", "n", "first", "last", "context"), "hot")
+        forget(parts, several)
+    return found
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -238,26 +290,32 @@ def _cut(texts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs: (doc_id, th, text). The removed spans by (doc_id, th), and the texts that have any anchor in common."""
-    rows = materialize(_anchor_rows(docs), "anchors")
-    often = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    rows = materialize(rows.join(often, "h").select(*rows.columns), "repeated")
+    # both sides of a join on a hot key are plain tables, so that a skewed join can split it
+    every = materialize(_anchor_rows(docs), "anchors")
+    often = materialize(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
+    rows = materialize(every.join(often, "h").select(*every.columns), "repeated")
+    forget(every, often)
     ids = rows.select("doc_id", "th").distinct()
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
     texts = materialize(docs.join(ids, same(docs, ids), "left_semi"), "texts")
 
     rep = F.min(F.struct("doc_id", "th", "place", "first", "last")).alias("rep")
-    classes = rows.groupBy("h", "ctx").agg(F.count("*").alias("n"), rep)
-    several = classes.groupBy("h").agg(F.count("*").alias("classes"))
-    classes = materialize(classes.join(several, "h"), "classes")
+    alike = materialize(rows.groupBy("h", "ctx").agg(F.count("*").alias("n"), rep), "alike")
+    several = materialize(alike.groupBy("h").agg(F.count("*").alias("classes")), "several")
+    classes = materialize(alike.join(several, "h"), "classes")
+    forget(alike, several)
     # an anchor with one class of contexts: its windows are all repeated
     alone = classes.filter("classes = 1 and n > 1").select("h", "ctx", (F.col("rep.first") - F.col("rep.place")).alias("from"), (F.col("rep.last") - F.col("rep.place")).alias("to"))
     item = F.struct("h", "ctx", "n", "classes", "rep.place", "rep.first", "rep.last")
     items = classes.filter("classes > 1").groupBy(F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th")).agg(F.collect_list(item).alias("items"))
     one = texts.dropDuplicates(["doc_id", "th"])
-    contexts = _context_rows(one.join(items, same(one, items)).select("text", "items"))
-    ordered = contexts.repartition("key").sortWithinPartitions("key")
-    found = materialize(alone.union(_sorted_groups(ordered)), "windows")
-    found = found.groupBy("h", "ctx").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
+    contexts = materialize(_context_rows(one.join(items, same(one, items)).select("text", "items")), "contexts")
+    found = alone.union(_sorted_groups(contexts.filter("not hot")))
+    hot = contexts.filter("hot")
+    if not hot.isEmpty():
+        found = found.union(_refined(hot.withColumnsRenamed({"key": "h", "tag": "ctx"})))
+    found = materialize(found.groupBy("h", "ctx").agg(F.collect_set(F.struct("from", "to")).alias("ranges")), "windows")
+    forget(classes, contexts)
 
     hits = rows.join(found, ["h", "ctx"]).select("doc_id", "th", "place", F.explode("ranges").alias("r"))
     span = F.struct((F.col("place") + F.col("r.from")).alias("from"), (F.col("place") + F.col("r.to") + WINDOW).alias("to"))
