@@ -5,12 +5,19 @@ survives substitutions at the ignored places. Hashes of all benchmark positions
 all training positions; around each hit the item is laid on the document along the hit's diagonal, and
 the best run of agreeing tokens (a match counts 1, a mismatch -1) decides.
 
-The benchmark side is broadcast while it has MAX_BROADCAST_SEEDS seeds at most; beyond that the join is
-left to the planner, which shuffles both sides by the hash.
-
-Tokens are lower-cased runs of letters and digits. Defined cases: a null text has no tokens; items or
-documents with fewer tokens than the shortest mask have no seeds and no hits; repeated rows have equal
-hits, reported once for an id; an empty benchmark finds nothing; other columns are ignored.
+The plan is the same at every size. A bitmap of FILTER_WORDS longs has a bit for each benchmark hash;
+training positions whose bit is not set cannot be hits and go no further. It has a fixed size, and a
+benchmark that fills it lets more through and loses nothing. What is left is (document, place, hash)
+alone; hits are brought down to distinct (document, item, diagonal), and only then are the texts of the
+documents that have any joined back.
+
+Tokens are lower-cased runs of letters, marks and digits; in scripts that are written without spaces,
+each letter with its marks is a token. Items of fewer tokens than the shortest mask are found word for
+word, from LEAST_EXACT tokens on anywhere in a document, shorter ones where they are all of it.
+
+Defined cases: a null text has no tokens; an item without tokens or id is never found; documents that
+repeat an id are looked at each for itself and reported together; an empty benchmark finds nothing;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,31 +25,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialize, read
 
 #: Places of a span that count, in each mask.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8), (0, 1, 3, 4, 7, 9))
 SHORTEST = min(m[-1] for m in MASKS) + 1
-#: Seeds that are broadcast at most (about 30 bytes each).
-MAX_BROADCAST_SEEDS = 1_000_000
+#: Longs of the bitmap: a power of two. 2 MB.
+FILTER_WORDS = 1 << 18
 #: The best run must reach this, or this share of a shorter item's tokens.
 LEAST_RUN, LEAST_SHARE = 12, 0.6
+#: Shorter items count only where they are a whole document.
+LEAST_EXACT = 5
+
+#: Scripts written without spaces between words.
+_DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_APART = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def tokens_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.when(low.rlike(_DENSE), F.regexp_replace(low, rf"({_DENSE}\p{{M}}*)", " $1 ")).otherwise(low)
+    return F.array_remove(F.split(spaced, _APART), "")
+
+
+def _seeds_at(tokens: Column, at: Column, short: list[int]) -> Column:
+    """The hashes that a place has, null where a mask does not fit; short: lengths of short items."""
+    size = F.size(tokens)
+    each = [F.when(at + m[-1] < size, F.xxhash64(F.lit(k), *[F.get(tokens, at + j) for j in m])) for k, m in enumerate(MASKS)]
+    for n in short:
+        fits = at + n <= size if n >= LEAST_EXACT else size == n
+        each.append(F.when(fits, F.xxhash64(F.lit(-n), *[F.get(tokens, at + j) for j in range(n)])))
+    return F.array(*each)
+
+
+def _places(rows: DataFrame, tokens: str, short: list[int]) -> DataFrame:
+    """Each row of rows with each of its seeds: its columns, at, seed."""
+    placed = rows.filter(F.size(tokens) > 0).select("*", F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)).alias("at"))
+    return placed.select("*", F.explode(_seeds_at(F.col(tokens), F.col("at"), short)).alias("seed")).filter("seed is not null").drop(tokens)
+
+
+def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
+    """items (item_id, item_tokens) -> (seed, item_id, at): spaced seeds, or the whole of a short item."""
+    spaced = _places(items.filter(F.size("item_tokens") >= SHORTEST), "item_tokens", [])
+    for n in short:  # a longer item's start is no short item
+        own = _seeds_at(F.col("item_tokens"), F.lit(0), [n])[len(MASKS)]
+        spaced = spaced.unionByName(items.filter(F.size("item_tokens") == n).select("item_id", F.lit(0).alias("at"), own.alias("seed")))
+    return spaced.select("seed", "item_id", "at").distinct()
 
 
-def _seed(tokens: Column, at: Column, mask: tuple[int, ...]) -> Column:
-    """The hash of a mask's tokens; beyond the end of the text tokens are null."""
-    return F.xxhash64(*[F.get(tokens, at + k) for k in mask])
+def _word_of(seed: Column) -> Column:
+    return F.shiftrightunsigned(seed, 64 - FILTER_WORDS.bit_length() + 1).cast("int")
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
-    """items (item_id, item_tokens) -> (seed, item_id, at)"""
-    rows = items.select("item_id", "item_tokens", F.explode(F.sequence(F.lit(0), F.size("item_tokens") - SHORTEST)).alias("at"))
-    each = [F.when(F.col("at") + m[-1] < F.size("item_tokens"), F.struct(F.lit(k).alias("mask"), _seed(F.col("item_tokens"), F.col("at"), m).alias("seed"))) for k, m in enumerate(MASKS)]
-    return rows.select("item_id", "at", F.explode(F.array(*each)).alias("s")).filter("s is not null").select(F.xxhash64("s.mask", "s.seed").alias("seed"), "item_id", "at").distinct()
+def _bitmap(seeds: DataFrame) -> Column:
+    """FILTER_WORDS longs, with a bit for each seed, as a scalar subquery."""
+    words = seeds.groupBy(_word_of(F.col("seed")).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63 as int)))").alias("word"))
+    every = seeds.sparkSession.range(FILTER_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("id")).join(words, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))
+    return every.agg(F.transform(ordered, lambda x: x["word"]).alias("words")).scalar()
 
 
 def _best_run(a: Column, b: Column) -> Column:
@@ -58,27 +98,28 @@ def _best_run(a: Column, b: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, run, n_item_tokens, n_equal): one row for each document and item that overlap."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens_of(F.col(item_text)).alias("item_tokens")).filter(F.size("item_tokens") >= SHORTEST).filter("item_id is not null")
-    seeds = benchmark_seeds(items)
-    small = seeds.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
-    send = F.broadcast if small else (lambda df: df)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens_of(F.col(text_col)).alias("doc_tokens")).filter(F.size("doc_tokens") >= SHORTEST)
-    placed = rows.select("doc_id", "doc_tokens", F.explode(F.sequence(F.lit(0), F.size("doc_tokens") - SHORTEST)).alias("doc_at"))
-    each = F.array(*[F.xxhash64(F.lit(k), _seed(F.col("doc_tokens"), F.col("doc_at"), m)) for k, m in enumerate(MASKS)])
-    hits = placed.select("doc_id", "doc_tokens", "doc_at", F.explode(each).alias("seed")).join(send(seeds), "seed")
-    # the part of the document that the item would cover on this diagonal
-    first = F.col("doc_at") - F.col("at")
-    hits = hits.join(send(items), "item_id").select(
-        "doc_id", "item_id", first.alias("diagonal"), "item_tokens",
-        F.slice("doc_tokens", F.greatest(first, F.lit(0)) + 1, F.size("item_tokens") + F.least(first, F.lit(0))).alias("part"),
-    )
-    lines = hits.groupBy("doc_id", "item_id", "diagonal").agg(F.first("part").alias("part"), F.first("item_tokens").alias("item_tokens"))
-    skipped = F.greatest(-F.col("diagonal"), F.lit(0))
-    covered = F.slice("item_tokens", skipped + 1, F.greatest(F.size("part"), F.lit(0)))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens_of(F.col(item_text)).alias("item_tokens"))
+    items = materialize(items.filter("item_id is not null and size(item_tokens) > 0").distinct(), "items")
+    short = sorted(r["n"] for r in items.filter(F.size("item_tokens") < SHORTEST).select(F.size("item_tokens").alias("n")).distinct().collect())
+    seeds = materialize(benchmark_seeds(items, short), "seeds")
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    places = _places(named.select("doc_id", "th", tokens_of(F.col("text")).alias("doc_tokens")), "doc_tokens", short)
+    passed = places.filter(F.getbit(F.get(_bitmap(seeds), _word_of(F.col("seed"))), F.col("seed").bitwiseAND(63)) == 1)
+    hits = passed.select("doc_id", "th", F.col("at").alias("doc_at"), "seed").join(seeds, "seed")
+    lines = materialize(hits.select("doc_id", "th", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct(), "lines")
+
+    found = lines.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["d"]) & (a["th"] == b["t"])
+    texts = named.join(found, same(named, found), "left_semi").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), tokens_of(F.col("text")).alias("doc_tokens")).dropDuplicates(["d", "t"])
+    laid = lines.join(texts, same(lines, texts)).join(items, "item_id")
+    # the part of the document that the item would cover on this diagonal, and the part of the item
+    part = F.slice("doc_tokens", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item_tokens") + F.least(F.col("diagonal"), F.lit(0)))
+    laid = laid.select("doc_id", "item_id", "item_tokens", "diagonal", part.alias("part"))
+    covered = F.slice("item_tokens", F.greatest(-F.col("diagonal"), F.lit(0)) + 1, F.size("part"))
     n_equal = F.size(F.filter(F.zip_with("part", covered, lambda x, y: x.eqNullSafe(y)), lambda same: same))
-    scored = lines.select("doc_id", "item_id", F.size("item_tokens").alias("n"), _best_run(F.col("part"), covered).alias("run"), n_equal.alias("equal"))
-    enough = F.col("run") >= F.least(F.lit(LEAST_RUN), F.ceil(F.col("n") * LEAST_SHARE))
+    scored = laid.select("doc_id", "item_id", F.size("item_tokens").alias("n"), _best_run(F.col("part"), covered).alias("run"), n_equal.alias("equal"))
+    enough = F.col("run") >= F.when(F.col("n") < SHORTEST, F.col("n")).otherwise(F.least(F.lit(LEAST_RUN), F.ceil(F.col("n") * LEAST_SHARE)))
     return scored.filter(enough).groupBy("doc_id", "item_id").agg(F.max("run").cast("long").alias("run"), F.max("n").cast("long").alias("n_item_tokens"), F.max("equal").cast("long").alias("n_equal"))
 
 
