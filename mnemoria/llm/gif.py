@@ -2,7 +2,10 @@
 
 `decode_gif` reads any GIF87a/89a (global and local palettes, interlacing, disposal 0 to 3, transparent
 index, delays) into composed frames. `encode_gif` writes frames of palette indices. A payload of bytes is
-stored losslessly as the indices of timed frames that are 64 pixels wide.
+stored losslessly as the indices of timed frames that are 64 pixels wide. Index 0, which pads payloads,
+is transparent, and each frame gives way to the background before the next one (disposal 2), so what a
+frame shows are the payload's own bytes. `gif_frames` stores, for each document, its timed frames with
+the colour histogram of what they show after palette, transparency and disposal.
 
 Defined cases: a null text is the empty text (64 zero bytes); long texts become several frames; no rows
 give no rows; equal payloads give equal media; other columns are ignored.
@@ -26,8 +29,8 @@ from .common import arrow_map, bytes_of, materialize, read
 WIDTH = 64
 #: Rows of a full frame; 64 x 4096 bytes.
 FRAME_ROWS = 4096
-#: Hundredths of a second that each frame is shown.
-DELAY = 4
+#: Hundredths of a second that each frame is shown; what becomes of it then; the index that is not shown.
+DELAY, DISPOSAL, TRANSPARENT = 4, 2, 0
 #: Index i has 3 bits of red, 3 of green and 2 of blue.
 PALETTE = np.array([((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85) for i in range(256)], np.uint8)
 HISTOGRAM_BITS = 2
@@ -181,6 +184,11 @@ def encode_gif(frames: list[np.ndarray], palette: np.ndarray = PALETTE, delay: i
 
 def decode_gif(data: bytes, compose: bool = True) -> list[Frame]:
     """All frames in order; compose: with the canvas after each frame is drawn."""
+    return list(frames_of(data, compose))
+
+
+def frames_of(data: bytes, compose: bool = True) -> Iterator[Frame]:
+    """The frames one by one, as decode_gif gives them."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -198,8 +206,7 @@ def decode_gif(data: bytes, compose: bool = True) -> list[Frame]:
             at += 1 + size
         return b"".join(parts), at + 1
 
-    frames: list[Frame] = []
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((height, width, 4) if compose else (0, 0, 4), np.uint8)
     delay, disposal, transparent = 0, 0, None
     while data[at] != 0x3B:
         if data[at] == 0x21:
@@ -242,26 +249,23 @@ def decode_gif(data: bytes, compose: bool = True) -> list[Frame]:
                 area[:] = 0
             elif disposal == 3:
                 canvas = before
-        frames.append(frame)
+        yield frame
         delay, disposal, transparent = 0, 0, None
-    return frames
 
 
 def colour_histogram(frame: Frame, bits: int = HISTOGRAM_BITS) -> np.ndarray:
-    """Pixels of a frame by the top bits of red, green and blue; transparent pixels do not count."""
-    counts = np.bincount(frame.indices.ravel(), minlength=256)[:256]
-    if frame.transparent is not None:
-        counts[frame.transparent] = 0
-    n = len(frame.palette)
-    rgb = frame.palette.astype(np.int64) >> (8 - bits)
-    cell = rgb[:, 0] << 2 * bits | rgb[:, 1] << bits | rgb[:, 2]
-    return np.bincount(cell, weights=counts[:n], minlength=1 << 3 * bits).astype(np.int64)
+    """Pixels of the canvas after a frame by the top bits of red, green and blue; what is not shown does not count."""
+    rgb = frame.canvas[frame.canvas[:, :, 3] > 0] >> np.uint8(8 - bits)
+    cell = rgb[:, 0].astype(np.int64) << 2 * bits
+    cell |= rgb[:, 1].astype(np.int64) << bits
+    cell |= rgb[:, 2]
+    return np.bincount(cell, minlength=1 << 3 * bits)
 
 
 def payload_to_gif(payload: bytes) -> bytes:
     """A payload of a positive multiple of 64 bytes as the indices of timed frames."""
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return encode_gif([pixels[k : k + FRAME_ROWS] for k in range(0, len(pixels), FRAME_ROWS)])
+    return encode_gif([pixels[k : k + FRAME_ROWS] for k in range(0, len(pixels), FRAME_ROWS)], disposal=DISPOSAL, transparent=TRANSPARENT)
 
 
 def gif_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,24 +281,44 @@ def gif_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return materialize(arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, media binary"), "gif")
 
 
-def gif_features(media: DataFrame) -> DataFrame:
-    """Decode stored media: digests, frame count, duration and the colour histogram over all frames."""
+FRAMES = "array<struct<frame:int,start:int,delay:int,disposal:int,transparent:int,width:int,height:int,histogram:array<long>>>"
+_FRAME = pa.struct([*((n, pa.int32()) for n in ("frame", "start", "delay", "disposal", "transparent", "width", "height")), ("histogram", pa.list_(pa.int64()))])
+
+
+def gif_frames(media: DataFrame) -> DataFrame:
+    """Decode stored media into a table: (doc_id, n_bytes, payload and media digests, frames).
+
+    frames has a row for each timed frame: number, start and delay in hundredths of a second, disposal,
+    transparent index, size, and the colour histogram of the composed canvas.
+    """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(_FRAME)]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
         for data in batch.column(2).to_pylist():
-            frames = decode_gif(data, compose=False)
-            payload = b"".join(f.indices.tobytes() for f in frames)
-            histogram = sum(colour_histogram(f) for f in frames)
-            text = f"frames={len(frames)};cs={sum(f.delay for f in frames)};rgb={','.join(map(str, histogram.tolist()))}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), len(frames), text))
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "feature"]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+            sha, size, tail, start, timed = hashlib.sha256(), 0, b"", 0, []
+            for k, f in enumerate(frames_of(data)):
+                own = f.indices.tobytes()
+                sha.update(own)
+                size, tail = size + len(own), (tail + own[-WIDTH:])[-WIDTH:]
+                timed.append({"frame": k, "start": start, "delay": f.delay, "disposal": f.disposal, "transparent": f.transparent, "width": f.indices.shape[1], "height": f.indices.shape[0], "histogram": colour_histogram(f)})
+                start += f.delay
+            rows.append((size, sha.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), timed))
         cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
-    return arrow_map(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, feature string")
+    return materialize(arrow_map(media, run, f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames {FRAMES}"), "frames")
+
+
+def gif_features(frames: DataFrame) -> DataFrame:
+    """The digests, and from the stored frames their number, the duration and the histogram over all of them."""
+    zero = F.array_repeat(F.lit(0).cast("long"), 1 << 3 * HISTOGRAM_BITS)
+    shown = F.aggregate("frames", zero, lambda acc, f: F.zip_with(acc, f["histogram"], lambda a, b: a + b))
+    lasts = F.aggregate("frames", F.lit(0), lambda acc, f: F.greatest(acc, f["start"] + f["delay"]))
+    feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(";cs="), lasts, F.lit(";rgb="), F.array_join(shown.cast("array<string>"), ","))
+    return frames.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.size("frames").cast("long").alias("n_frames"), feature.alias("feature"))
 
 
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_features(gif_media(read(spark, sf_dir, "documents")))
+    return gif_features(gif_frames(gif_media(read(spark, sf_dir, "documents"))))
