@@ -15,7 +15,6 @@ predicted alike; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -37,9 +36,14 @@ DIMENSIONS = 1 << 12
 #: Labelled rows that the models are fitted on, at most, over all languages.
 SAMPLE_ROWS = 1600
 EPOCHS = 30
+#: Texts whose features are multiplied with the machines at once.
+PREDICT_ROWS = 128
 UND = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numerals such as a half or a Roman eight are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def features(text: str) -> np.ndarray:
@@ -96,28 +100,34 @@ class Model:
                 k = np.flatnonzero((lang == a) | (lang == b))
                 self.pairs[a, b] = fit_svm(x, k, np.where(lang[k] == a, 1, -1))
 
-    def predict(self, v: np.ndarray) -> tuple[str, float]:
-        """The language and a score from 0 to 1."""
+    def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
+        """The language and a score from 0 to 1 for each row of features."""
         sigmoid = lambda z: 1 / (1 + np.exp(-2 * np.clip(z, -30, 30)))
-        score = 1.0
-        family = self.families[0]
+
+        def machines(found: list[tuple[np.ndarray, float]]) -> np.ndarray:
+            return sigmoid(x @ np.stack([w for w, _ in found], axis=1) + np.array([b for _, b in found]))
+
+        family, score = np.zeros(len(x), np.int64), np.ones(len(x))
         if self.family_machines:
-            p = sigmoid(np.array([v @ w + b for w, b in self.family_machines]))
-            best = int(p.argmax())
-            family, score = self.families[best], float(p[best] / p.sum())
-        members = self.members[family]
-        votes = dict.fromkeys(members, 0.0)
-        for a, b in combinations(members, 2):
-            w, bias = self.pairs[a, b]
-            p = float(sigmoid(v @ w + bias))
-            votes[a] += (p >= 0.5) + p / 1e3
-            votes[b] += (p < 0.5) + (1 - p) / 1e3
-        lang = max(members, key=lambda c: (votes[c], c))
-        for (a, b), (w, bias) in self.pairs.items():
-            if lang in (a, b):
-                p = float(sigmoid(v @ w + bias))
-                score = min(score, p if lang == a else 1 - p)
-        return lang, min(1.0, max(0.0, score))
+            p = machines(self.family_machines)
+            family = p.argmax(axis=1)
+            score = p.max(axis=1) / p.sum(axis=1)
+        of = machines(list(self.pairs.values())) if self.pairs else np.zeros((len(x), 0))
+        pairs = list(self.pairs)
+        out = []
+        for f, s, p in zip(family.tolist(), score.tolist(), of, strict=True):
+            members = self.members[self.families[f]]
+            votes = dict.fromkeys(members, 0.0)
+            mine = [(a, b, float(q)) for (a, b), q in zip(pairs, p, strict=True) if a in votes]
+            for a, b, q in mine:
+                votes[a] += (q >= 0.5) + q / 1e3
+                votes[b] += (q < 0.5) + (1 - q) / 1e3
+            lang = max(members, key=lambda c: (votes[c], c))
+            for a, b, q in mine:
+                if lang in (a, b):
+                    s = min(s, q if lang == a else 1 - q)
+            out.append((lang, min(1.0, max(0.0, s))))
+        return out
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
@@ -137,7 +147,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     sample = thin.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= share).select("lang", "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        kept = [(c, features(t).tobytes()) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _LETTER.search(t)]
+        kept = [(c, features(t).tobytes()) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in kept], pa.string()), pa.array([v for _, v in kept], pa.binary())], ["lang", "v"])
 
     found = arrow_map(sample, run, "lang string, v binary").toArrow()
@@ -151,19 +161,24 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     return Model(x, [labels[k] for k in order])
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, then lang_pred and score, from the text alone."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """The columns `keep` of docs, then the language and its score under `names`, from the text alone."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        out = [(UND, 0.0) if m is None or t is None or not _LETTER.search(t) else m.predict(features(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, "lang_pred", "lang_score"])
+        m, texts = shared.value, batch.column(0).to_pylist()
+        out = [(UND, 0.0)] * len(texts)
+        some = [k for k, t in enumerate(texts) if m is not None and has_letter(t)]
+        for at in range(0, len(some), PREDICT_ROWS):
+            rows = some[at : at + PREDICT_ROWS]
+            for k, found in zip(rows, m.predict(np.stack([features(texts[k]) for k in rows])), strict=True):
+                out[k] = found
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, *names])
 
     rows = docs.select(F.col("text").alias("__text"), *keep)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return arrow_map(rows, run, f"{fields}{', ' if fields else ''}lang_pred string, lang_score double")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    return arrow_map(rows, run, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def held_out_rows() -> Column:
