@@ -15,8 +15,8 @@ pair is first held against its signatures, then confirmed on the full sets.
 With 32 bands of 5 rows a pair at the threshold shares no bucket with probability 3e-6.
 
 Defined cases: null or empty text, or white space alone: empty set, n_shingles 0, its own component;
-a null id is never linked; rows that repeat an id are one document; no rows give no rows; other columns
-are ignored.
+a null id is never linked; rows that repeat an id are one document, and if their texts differ, the words
+of the smallest key stand for it; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,6 +117,17 @@ def profiles(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, key binary, n_shingles long, bands array<long>, sig binary")
 
 
+def _with_keys(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, key, text), with the keys of `profiles`."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = [words_of(raw) for raw in bytes_of(batch.column(1))]
+        keys = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], ["doc_id", "key", "text"])
+
+    return arrow_map(texts, run, "doc_id long, key binary, text string")
+
+
 def _signature_filter(pairs: DataFrame, percent: int) -> DataFrame:
     """(u, v, su, sv) -> (u, v) of the pairs whose signatures do not rule the link out."""
     n = BANDS * ROWS
@@ -219,7 +230,8 @@ def _prefix_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def links(prof: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
     """(node, component) over the classes' representatives; None if no two texts share a bucket."""
-    classes = prof.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    classes = prof.filter("key is not null and doc_id is not null and key = own_key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    prof = prof.filter("key = own_key")
     reps = prof.join(classes.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     banded = reps.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -231,8 +243,10 @@ def links(prof: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str
     sought = members.select(F.col("doc").alias("doc_id")).distinct()
     # the same plan at every size: a small list of ids is not broadcast where a large one would not be
     sigs = materialize(prof.join(sought.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("sig").alias("sig"), F.min("n_shingles").alias("n")), "sigs")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sought.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialize(texts, "texts")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sought.hint("merge"), "doc_id", "left_semi")
+    # an id's text is the one that its key names
+    named = _with_keys(texts).join(prof.select("doc_id", "key").distinct().hint("merge"), ["doc_id", "key"], "left_semi")
+    texts = materialize(named.select("doc_id", "text").dropDuplicates(["doc_id"]), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The linked ones of the pairs (u, v), by signatures and then by full sets."""
@@ -266,6 +280,9 @@ def links(prof: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
     prof = materialize(profiles(docs, size, id_col, text_col), "profiles")
+    each = prof.filter("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    odd = materialize(each.filter("first <> last").select("doc_id", "first"), "odd")
+    prof = prof.join(odd, "doc_id", "left").withColumn("own_key", F.col("key")).withColumn("key", F.coalesce("first", "key")).drop("first")
     comps = links(prof, docs, size, percent, id_col, text_col)
     classes = prof.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     if comps is not None:
