@@ -9,7 +9,7 @@ seen for the first time. The ids of a batch are then gathered from the memo by N
 Where that reasoning does not hold, the library encodes the whole piece or the whole text: special
 tokens, three white spaces in a row or two at the end (with spaces kept), contractions, control signs
 that Python and the tokenizer class differently, characters that normalise together, and letters beyond
-U+0500. The memos are emptied after a batch that leaves more in them than MEMO_PIECES, MEMO_RUNS or MEMO_BYTES.
+U+0500. A memo is emptied after a batch that leaves more in it than MEMO_PIECES, MEMO_RUNS or MEMO_BYTES.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ BATCH_BYTES = 16_000_000
 #: Pieces whose ids are gathered at a time.
 GATHER_PIECES = 1 << 19
 #: Most entries of the memos of pieces and of runs, and most bytes of the pieces in all.
-MEMO_PIECES, MEMO_RUNS, MEMO_BYTES = 1_500_000, 1_000_000, 40_000_000
+MEMO_PIECES, MEMO_RUNS, MEMO_BYTES = 2_500_000, 600_000, 80_000_000
 
 #: How byte-level vocabularies write a byte. Printable Latin-1 bytes stand for themselves,
 #: the others for the characters from 256 on, in order.
@@ -186,7 +186,9 @@ class PieceEncoder:
             ids.append(self._gather(slots))
             sums = np.concatenate([[0], np.cumsum(self.lens[slots], dtype=np.int64)])
             ends.append(sums[last] + ends[-1][-1])
-            if len(self.starts) > MEMO_PIECES or len(self.runs) > MEMO_RUNS or self.known.nbytes > MEMO_BYTES:
+            if len(self.runs) > MEMO_RUNS:
+                self.runs = {}
+            if len(self.starts) > MEMO_PIECES or self.known.nbytes > MEMO_BYTES:
                 self._empty()
             at = to
         return np.concatenate(ids), np.concatenate(ends)
