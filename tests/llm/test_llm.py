@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mnemoria.llm import chat, components, decontam, gif, langid, neardup, packing, pii, rans, scoring, substrings, suffixsort
+from mnemoria.llm import chat, components, decontam, gif, langid, neardup, packing, pii, rans, scoring, substrings, suffixsort, tokens
 from mnemoria.llm.tokens import PieceEncoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block string, h string, key string, th string, seed string"
@@ -48,7 +48,6 @@ def empty(spark):
 
 def _ids(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -96,28 +95,66 @@ def test_piece_encoder(name, keep, rows):
         assert np.frombuffer(ids, "<u2").tolist() == _ids(name, text, 0)[:-1].tolist(), text
 
 
-def test_tokens(docs, empty, rows):
+@pytest.mark.parametrize(("name", "keep"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_piece_encoder_on_odd_texts(name, keep, monkeypatch):
+    """Any mixture of letters, digits, signs and white space; memos that are emptied often; several batches."""
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 300)
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 200)
+    monkeypatch.setattr(tokens, "GATHER_PIECES", 7)
+    rng, encoder, library = random.Random(1), PieceEncoder(public_tokenizers.path(name), keep), Tokenizer.from_file(public_tokenizers.path(name))
+    parts = ["a", "b", "The", "word", " ", " ", "  ", "\n", "\t", "\xa0", "\u2009", ".", ",", "'s", "'", "1", "23", "²", "½", "é", "e\u0301", "Σ", "İ", "日", "-", "_", "<|endoftext|>", "\x1c", "\x85", "😀", "ß", "Ⅷ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(6000)] + ["x \xa0\xa0y", "10 \u2009\u2009km"]
+    for text, ids, want in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == want.ids, text
+
+
+def test_tokens(spark, docs, empty, rows, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    blocks, freq = rans.store_tokens(docs, path)
-    got = rans.read_blocks(blocks, freq).collect()
-    want = collections.Counter((r[0], len(i := _ids("byte_bpe_50k.json", r[1], 0)), zlib.crc32(i.tobytes())) for r in rows)
-    assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
-    assert rans.store_tokens(empty, path)[0].count() == 0
+    ids = [(r[0], _ids("byte_bpe_50k.json", r[1], 0)) for r in rows]
+    ids.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1].astype("<u2").tobytes()))
+    want, at = [], 0
+    for k, i in ids:
+        want.append((k, at, len(i), zlib.crc32(i.tobytes())))
+        at += len(i)
+    got = rans.read_blocks(rans.store_tokens(docs, path)).collect()
+    order = lambda x: (x[1], x[2])
+    assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got), key=order) == sorted(want, key=order)
+    assert rans.read_blocks(rans.store_tokens(empty, path)).count() == 0
+    # the files alone are enough
+    stored = rans.store_tokens(docs, path)
+    stored.write.parquet(str(tmp_path / "copy"))
+    again = rans.read_blocks(spark.read.parquet(str(tmp_path / "copy"))).collect()
+    assert sorted(again, key=lambda r: r["start"]) == sorted(got, key=lambda r: r["start"])
+
+
+def test_op8_starts_follow_the_ids(spark, docs, tmp_path):
+    docs.filter("doc_id is not null").select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    out = rans.op8_tokens(spark, str(tmp_path)).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == sorted(r["doc_id"] for r in out)
+    assert [r["start"] for r in out] == [0, *np.cumsum([r["n_tokens"] for r in out])[:-1].tolist()]
 
 
 def test_rans_round_trip():
     rng = np.random.default_rng(3)
-    for n in (1, 2, 700, 5000):
+    for n in (1, 2, 700, 5000, 3 * 512, 3 * 512 + 1, 3 * 512 - 1, 40_000):
         ids = np.minimum(500, rng.geometric(0.05, n)).astype(np.uint16)
-        coder = rans.Coder(rans.frequency_table(np.bincount(ids, minlength=65536), 16), 16)
-        block = coder.encode(ids, lanes=64, every=8)
-        assert (coder.decode(block) == ids).all()
-        if n == 5000:
-            assert (coder.decode(block, 3) == ids[3 * 8 * 64 :]).all()
-            broken = bytearray(block)
-            broken[-1] ^= 1
+        table = rans.write_table(rans.frequency_table(np.bincount(ids, minlength=65536), 16), 16)
+        coder = rans.Coder(*rans.read_table(*table))
+        head, body = coder.encode(ids, [None, -7], [1, n - 1], 11, lanes=64, every=8)
+        block = rans.Block(head, body)
+        assert (coder.decode(block) == ids).all() and block.start == 11
+        null, doc_ids, lengths = block.documents()
+        assert null.tolist() == [True, False] and doc_ids[1] == -7 and lengths.tolist() == [1, n - 1]
+        for k in range(block.marks + 1):  # every checkpoint is a place to start from
+            assert (coder.decode(block, k, k) == ids[512 * k : 512 * (k + 1)]).all()
+        for place in (-1, 5):
+            broken = bytearray(body)
+            broken[place] ^= 1
             with pytest.raises(ValueError):
-                coder.decode(bytes(broken))
+                coder.decode(rans.Block(head, bytes(broken)))
+                rans.Block(head, bytes(broken)).documents()
+    with pytest.raises(ValueError):
+        rans.read_table(table[0], table[1][:-1] + b"x")
 
 
 def _linked(a, b):
@@ -205,13 +242,28 @@ def test_components(spark):
 
 
 def test_gif(docs, empty, rows):
-    got = {(r["doc_id"], r["n_bytes"]): r for r in gif.gif_features(gif.gif_media(docs)).collect()}
+    frames = gif.gif_frames(gif.gif_media(docs))
+    got = {(r["doc_id"], r["n_bytes"]): r for r in gif.gif_features(frames).collect()}
+    stored = {(r["doc_id"], r["n_bytes"]): r["frames"] for r in frames.collect()}
     for r in rows:
         raw = (r[1] or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         g = got[r[0], len(raw)]
         assert (g["payload_bytes"], g["payload_sha256"], g["tail_crc32"]) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    assert gif.gif_features(gif.gif_media(empty)).count() == 0
+        media = gif.payload_to_gif(payload)
+        assert (g["media_bytes"], g["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        # what is shown: the colours of all bytes but the transparent zeros, by 2 bits each
+        shown = np.zeros(64, int)
+        for byte, n in collections.Counter(payload).items():
+            if byte:
+                red, green, blue = (int(c) >> 6 for c in gif.PALETTE[byte])
+                shown[red << 4 | green << 2 | blue] += n
+        timed = stored[r[0], len(raw)]
+        assert [f["height"] for f in timed] == [min(4096, len(payload) // 64 - k) for k in range(0, len(payload) // 64, 4096)]
+        assert [(f["frame"], f["start"], f["delay"], f["disposal"], f["transparent"], f["width"]) for f in timed] == [(k, 4 * k, 4, 2, 0, 64) for k in range(len(timed))]
+        assert np.sum([f["histogram"] for f in timed], axis=0).tolist() == shown.tolist()
+        assert g["feature"] == f"frames={len(timed)};cs={4 * len(timed)};rgb={','.join(map(str, shown.tolist()))}"
+    assert gif.gif_features(gif.gif_frames(gif.gif_media(empty))).count() == 0
 
 
 def test_gif_format():
@@ -344,21 +396,80 @@ def test_weighting_by_hand():
     assert abs(weight[k] - math.exp(kt(1, 5) - math.log(2) - root)) < 1e-9
 
 
-def test_decontamination(spark, docs, empty):
+def _brute_overlaps(texts, items):
+    """All documents and items, every diagonal, from the definition."""
+    dense = "[\u3040-\u30ff\u4e00-\u9fff]"
+
+    def tokens(t):
+        return re.findall(r"[^\W_]+", re.sub(f"({dense})", r" \1 ", (t or "").lower()))
+
+    def seeds(w, at):
+        return {(k, *(w[at + j] for j in m)) for k, m in enumerate(decontam.MASKS) if at + m[-1] < len(w)}
+
+    out = {}
+    for doc, text in texts:
+        d = tokens(text)
+        for item, t in items:
+            w = tokens(t)
+            if not w:
+                continue
+            best = 0
+            for diagonal in range(-len(w) + 1, len(d)):
+                pairs = [(i, diagonal + i) for i in range(len(w)) if 0 <= diagonal + i < len(d)]
+                if len(w) < decontam.SHORTEST:
+                    fits = len(pairs) == len(w) and all(w[i] == d[j] for i, j in pairs) and (len(w) >= decontam.LEAST_EXACT or len(d) == len(w))
+                    best = max(best, len(w) if fits else 0)
+                elif any(seeds(w, i) & seeds(d, j) for i, j in pairs):
+                    here = 0
+                    for i, j in pairs:
+                        here = max(0, here + (1 if w[i] == d[j] else -1))
+                        best = max(best, here)
+            least = len(w) if len(w) < decontam.SHORTEST else min(decontam.LEAST_RUN, math.ceil(len(w) * decontam.LEAST_SHARE))
+            if best >= least:
+                out[doc, item] = best
+    return out
+
+
+def test_decontamination(spark, docs, empty, tmp_path):
     rng = random.Random(2)
-    items = [(k, _text(rng, 30, [f"q{j}" for j in range(200)])) for k in range(5)] + [(9, "too short"), (10, None)]
+    vocab = [f"q{j}" for j in range(60)]
+    items = [(k, _text(rng, rng.randint(8, 40), vocab)) for k in range(20)] + [(30, "too short"), (31, None), (32, "one of seven words in a row"), (33, "今天天气很好我们去公园吧"), (34, "five words are enough here"), (35, ""), (36, "a b c d")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    swapped = items[1][1].split()
-    for k in (4, 13, 22):
-        swapped[k] = "other"
-    found = [(1, "before " + items[0][1].upper() + ", after"), (2, " ".join(swapped)), (3, " ".join(items[2][1].split()[5:])), (4, " ".join(items[3][1].split()[:6]) + " " + _text(rng, 50)), (5, None), (1, "before " + items[0][1].upper() + ", after")]
-    got = decontam.contaminated(spark.createDataFrame(found, "doc_id long, text string"), bench).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 0), (2, 1), (3, 2)} and len(got) == 3
+    texts = [(k, _text(rng, rng.randint(1, 60), vocab)) for k in range(25)]
+    for k in range(25, 60):
+        w = (items[k % 20][1] or "").split()
+        for _ in range(rng.randint(0, 8)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        a = rng.randrange(len(w))
+        texts.append((k, _text(rng, rng.randint(0, 5), vocab) + " " + " ".join(w[a // 2 :]).upper() + ", " + _text(rng, rng.randint(0, 20), vocab)))
+    texts += [(70, None), (71, ""), (72, "so One of seven; words in a row, then"), (73, "他说今天天气很好我们去公园吧。"), (74, "too short"), (75, "this is too short indeed"), (76, "five words are enough here"), (77, "a b c d"), (78, "a b c d e")]
+    found = texts + [(25, texts[25][1])]
+    got = decontam.contaminated(spark.createDataFrame(found, "doc_id long, text string").repartition(3), bench).collect()
+    want = _brute_overlaps(texts, items)
+    assert {(r["doc_id"], r["item_id"]): r["run"] for r in got} == want and len(got) == len(want)
+    assert {(72, 32), (73, 33), (74, 30), (76, 34), (77, 36)} <= set(want) and not any(d in (75, 78) for d, _ in want)
+    spark.createDataFrame(found, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {(r["doc_id"], r["item_id"]): r["run"] for r in decontam.op7_decontam(spark, str(tmp_path)).collect()} == want
     assert decontam.contaminated(docs, bench).count() == 0
     assert decontam.contaminated(empty, bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_a_long_text(spark):
+    """200,000 tokens in one document, without any broadcast."""
+    rng = random.Random(6)
+    items = [(k, _text(rng, 40, [f"z{j}" for j in range(5000)])) for k in range(50)]
+    text = " ".join([_text(rng, 100_000, [f"y{j}" for j in range(50_000)]), items[7][1], _text(rng, 100_000, [f"y{j}" for j in range(50_000)])])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = decontam.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [(r["doc_id"], r["item_id"], r["n_equal"]) for r in got] == [(1, 7, 40)]
+
+
 def test_decontamination_is_native(spark, docs):
     bench = spark.createDataFrame([(1, _text(random.Random(1)))], "item_id long, text string")
     plan = decontam.contaminated(docs, bench)._jdf.queryExecution().toString()
@@ -375,6 +486,8 @@ def test_language(spark, docs, empty):
     assert all(0 <= r["lang_score"] <= 1 for r in out)
     odd = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, langid.train(df), ["doc_id"]).collect()}
     assert odd[23] == odd[24] == odd[25] == langid.UND
+    signs = spark.createDataFrame([(1, "½"), (2, "② Ⅷ"), (3, "123 _"), (4, "日"), (5, "½ a")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == langid.UND for r in langid.predict(signs, langid.train(df), ["doc_id"]).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
     assert langid.train(empty) is None
     assert {r["lang_pred"] for r in langid.predict(docs, None, ["doc_id"]).collect()} == {langid.UND}
 
