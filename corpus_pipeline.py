@@ -19,29 +19,54 @@ from mnemoria.llm.packing import pack, token_pieces
 from mnemoria.llm.pii import redact
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no text, or no letter in it."""
+    """Drop documents without a language: no text, or no letter in it.
+
+    A null id counts as an empty one when rows to learn from are chosen; repeated rows are treated alike;
+    other columns are kept, whatever their names; an empty table stays empty.
+    """
     model = train(docs.filter(~held_out_rows()))
-    return predict(docs, model, docs.columns).filter(F.col("lang_pred") != UND).select(*docs.columns)
+    names = tuple(_unused(docs, n) for n in ("lang_pred", "lang_score"))
+    return predict(docs, model, docs.columns, names).filter(F.col(names[0]) != UND).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group; shingles of five words, similarity 0.8 or more.
 
-    Rows of a null id belong to no group and stay.
+    Rows of a null id belong to no group and stay. Of rows that repeat a kept id the smallest stays, by
+    all columns in order. Documents without words are their own groups. Other columns are kept.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = materialize(near_duplicates(docs).select("doc_id", "kept"), "kept")
+    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
+    twice = materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return once.union(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that overlap with a benchmark item."""
+    """Drop documents that overlap with a benchmark item.
+
+    Rows of a null id cannot be named and stay; documents without text overlap with nothing; rows that
+    repeat an id go together; an empty benchmark drops nothing.
+    """
     hits = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data in the texts; n_chars follows the new text."""
+    """Replace personal data in the texts; n_chars follows the new text.
+
+    Base spans are masked whatever their score, added ones from a score of 0.5 on. A null text stays null.
+    """
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
