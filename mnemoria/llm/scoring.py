@@ -10,8 +10,8 @@ of depths 0 and 1 (65,536 at most for each) are broadcast. A block of documents
 codes, bucket by bucket, and adds up the answers along its texts, which it carries compressed.
 
 Words are known by 64-bit hashes. Counts of words that make up more than a HOT_WORDS-th of all tokens
-(HOT_WORDS words at most) are broadcast; all others are looked up where their bucket of the vocabulary
-is, and the answers are brought together by block of documents.
+(HOT_WORDS words at most) are broadcast; a block asks for the counts of its other distinct words where
+their bucket of the vocabulary is.
 
 Defined cases: a null text is the empty text (the end token alone); without training documents every
 base probability is 1 and each byte has 8 bits; repeated rows are learned from and scored as often as
@@ -31,13 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import SCHEMA, add_up, merge, pack, unpack
+from .blobs import SCHEMA, add_up, merge, pack, unpack, unzip_bytes, unzip_keys, unzip_numbers, zip_bytes, zip_keys, zip_numbers
 from .common import arrow_map, arrow_stream, bytes_of, id_bucket, materialize, read
 
-DEPTH = 4
+#: Bytes of the longest context: 2 to 7.
+DEPTH = 5
 HOT_WORDS = 200_000
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 12_000_000
 #: Ends a text; no UTF-8 text has this byte.
 END = b"\xff"
 #: Elements that a task gathers before it adds them up.
@@ -261,7 +262,7 @@ def fit(docs: DataFrame) -> tuple[Tree, DataFrame, int, int]:
             top_p[at] = (vals[:, 1] + 0.5) / (vals[:, 0] + vals[:, 1] + 1)
             top_w[at] = np.exp(own - math.log(2) - weighted)
             keys, vals = add_up(_parents(keys, depth), np.stack([vals[:, 0], vals[:, 1], weighted], axis=1)) if depth else (keys, vals)
-    return Tree(top_p, top_w, bits, counted.filter("kind in ('d2', 'd3', 'd4')")), counted.filter("kind = 'w'"), tokens, distinct
+    return Tree(top_p, top_w, bits, counted.filter("kind like 'd%'")), counted.filter("kind = 'w'"), tokens, distinct
 
 
 def _bucket_count(spark: SparkSession) -> int:
@@ -315,53 +316,57 @@ def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _BLOCK_KINDS, strict=True)], _BLOCK_NAMES)
 
 
-def _zip(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def _unzip(packed: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
-
-
-def _zip_numbers(x: np.ndarray) -> bytes:
-    """Numbers of 8 bytes, all first bytes first: equal high bytes take little room."""
-    return _zip(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unzip_numbers(packed: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(np.frombuffer(_unzip(packed), np.uint8).reshape(8, -1).T.tobytes(), kind)
-
-
-def _block_codes(texts: list[bytes], bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+def _block_codes(texts: list[bytes], bits: int, places: bool = True) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
     """The codes of a block: (distinct, place of each, starts of texts) for each 64 texts; all distinct
     codes in order; their order by bucket; where each bucket starts in it."""
     parts = []
     for a in range(0, len(texts), 64):
         codes, starts = grams(texts[a : a + 64])
-        new, back = np.unique(codes, return_inverse=True)
-        parts.append((new, back.astype(np.uint32), starts))
+        if places:
+            new, back = np.unique(codes, return_inverse=True)
+            parts.append((new, back.astype(np.uint32), starts))
+        else:
+            parts.append((np.unique(codes),))
     codes = np.unique(np.concatenate([p[0] for p in parts])) if parts else np.zeros(0, np.uint64)
     bucket = _code_bucket(codes, bits)
     order = np.argsort(bucket, kind="stable")
     return parts, codes, order, np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
 
 
+def _block_words(texts: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+    """The distinct words of a block by number, and their keys; the last key is the end token's."""
+    index: dict[bytes, int] = {}
+    for t in texts:
+        for w in t.split():
+            if w not in index:
+                index[w] = len(index)
+    return index, np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index)), END_KEY)
+
+
+def _among(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is in the sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
+
+
 def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, tokens: int, distinct: int) -> DataFrame:
     """docs (doc_id, held_out, text) -> the scores of every row.
 
     A block is some Arrow batches of documents. Its own row (kind 2) carries what is known at once and the
-    texts; rows of kind 1 ask for the counts of its rarer words and rows of kind 3 for the scores of its
-    distinct codes, bucket by bucket, and the answers (kinds 1 and 0) are added up.
+    texts; rows of kind 1 ask for the counts of its distinct rarer words and rows of kind 3 for the scores
+    of its distinct codes, bucket by bucket; the answers (kinds 1 and 0) meet the block again.
+    bits_per_byte is the code length by the model over the bytes and the end.
     """
     spark = docs.sparkSession
     buckets = _bucket_count(spark)
-    bits = buckets.bit_length() - 1
+    bits = buckets.bit_length() - 1  # 5 or more
     hot_keys, hot_counts = _hot_words(vocabulary, tokens)
     shared = spark.sparkContext.broadcast((tree.without_nodes(), hot_keys, hot_counts))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, hot_keys, hot_counts = shared.value
-        hot_log = np.log10(hot_counts + 1)
+        _, hot_keys, _ = shared.value
         block = TaskContext.get().partitionId() << 40
 
         def blocks() -> Iterator[tuple[list, list, list[bytes]]]:
@@ -379,40 +384,19 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, tokens: int, disti
                 yield ids, held, texts
 
         for raw_ids, raw_held, texts in blocks():
-            index: dict[bytes, int] = {}
-            put, which, sizes = index.setdefault, [], []
-            for t in texts:
-                words = t.split()
-                which += [put(w, len(index)) for w in words]
-                sizes.append(len(words))
-            sizes = np.array(sizes, np.int64)
-            keys = np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, index), np.uint64, len(index)), END_KEY)
-            which = np.append(np.array(which, np.int64), np.full(len(texts), len(index)))  # an end for each text
-            doc = np.append(np.repeat(np.arange(len(texts)), sizes), np.arange(len(texts)))
-            place = np.searchsorted(hot_keys, keys)
-            is_hot = np.zeros(len(keys), bool)
-            if len(hot_keys):
-                is_hot = hot_keys[np.minimum(place, len(hot_keys) - 1)] == keys
-            logs = np.zeros(len(keys))
-            logs[is_hot] = hot_log[place[is_hot]]
-            known = np.bincount(doc, weights=is_hot[which], minlength=len(texts))
-            base = np.bincount(doc, weights=logs[which], minlength=len(texts))
             held = np.array(raw_held, float)
             ids = np.array([0 if x is None else x for x in raw_ids], np.int64)
             null = np.array([x is None for x in raw_ids], float)
-            own = np.stack([held, sizes + 1.0, known, base, null], axis=1)
             lengths = np.array([len(t) for t in texts], "<i8")
-            rows = [(block, 2, 0, ids.tobytes(), _zip(b"".join(texts)), lengths.tobytes(), own.tobytes())]
-            _, codes, by_bucket, first = _block_codes(texts, bits)
+            rows = [(block, 2, 0, ids.tobytes(), zip_bytes(b"".join(texts)), lengths.tobytes(), np.stack([held, null], axis=1).tobytes())]
+            _, codes, by_bucket, first = _block_codes(texts, bits, places=False)
             for b, (x, y) in enumerate(zip(first, first[1:], strict=False)):
                 if y > x:
-                    rows.append((block, 3, b, None, _zip_numbers(np.diff(codes[by_bucket[x:y]], prepend=_U(0))), None, None))
-            rare = np.flatnonzero(~is_hot[which])
-            k, d = keys[which[rare]], doc[rare]
-            order = np.argsort(k, kind="stable")
-            k, d = k[order], d[order].astype("<u4")
-            cuts = np.searchsorted(k >> _U(64 - bits), np.arange(buckets + 1, dtype=np.uint64)) if bits else np.array([0, len(k)])
-            rows += [(block, 1, b, None, k[x:y].tobytes(), d[x:y].tobytes(), None) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                    rows.append((block, 3, b, None, zip_keys(codes[by_bucket[x:y]]), None, None))
+            keys = np.unique(_block_words(texts)[1])
+            keys = keys[~_among(keys, hot_keys)[0]]
+            cuts = np.searchsorted(keys >> _U(64 - bits), np.arange(buckets + 1, dtype=np.uint64))
+            rows += [(block, 1, b, None, zip_keys(keys[x:y]), None, None) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
             yield _block_batch(rows)
             block += 1
 
@@ -436,52 +420,68 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame, tokens: int, disti
                     memo.levels[-r["kind"]] = unpack(r["keys"], r["sums"])
                     continue
                 if r["kind"] == 3:
-                    codes = np.cumsum(_unzip_numbers(r["keys"], "<u8"), dtype=np.uint64)
-                    rows.append((r["block"], 0, r["bucket"], None, None, None, _zip_numbers(memo.log10(codes))))
+                    rows.append((r["block"], 0, r["bucket"], None, None, None, zip_numbers(memo.log10(unzip_keys(r["keys"])))))
                     continue
                 if r["kind"] == 0:
                     keys, vals = unpack(r["keys"], r["sums"])
                     vals = vals[:, 0]
                     continue
-                k, d = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["docs"], "<u4")
-                place = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                found = keys[place] == k if len(keys) else np.zeros(len(k), bool)
-                d, c = d[found], vals[place[found]] if len(keys) else np.zeros(0)
-                seen, back = np.unique(d, return_inverse=True)
-                sums = np.stack([np.bincount(back, minlength=len(seen)), np.bincount(back, weights=np.log10(c + 1), minlength=len(seen))], axis=1)
-                rows.append((r["block"], 1, 0, None, None, seen.astype("<u4").tobytes(), sums.astype("<f8").tobytes()))
+                found, place = _among(unzip_keys(r["keys"]), keys)
+                counts = np.zeros(len(found))
+                counts[found] = vals[place[found]]
+                rows.append((r["block"], 1, r["bucket"], None, r["keys"], None, zip_numbers(counts)))
             yield _block_batch(rows)
 
     answers = arrow_stream(together, answer, _BLOCK)
     by_block = asked.filter("kind = 2").union(answers).repartition("block").sortWithinPartitions("block", F.desc("kind"))
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums = np.zeros(0, np.int64), np.zeros((0, 5))
+        _, hot_keys, hot_counts = shared.value
+        ids, own, texts = np.zeros(0, np.int64), np.zeros((0, 2)), []
         parts, codes, by_bucket, first = _block_codes([], bits)
-        logs = np.zeros(0)
+        logs, rare = np.zeros(0), []
+
+        def word_sums() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """For each text its tokens, its known tokens, and the sum of log10(count + 1)."""
+            index, keys = _block_words(texts)
+            count = np.zeros(len(keys))
+            for table, counts in [(hot_keys, hot_counts), *rare]:
+                found, place = _among(keys, table)
+                count[found] = counts[place[found]]
+            which = [np.fromiter(map(index.__getitem__, t.split()), np.int64) for t in texts]
+            n = np.array([len(w) for w in which], np.int64)
+            doc, which = np.repeat(np.arange(len(texts)), n), np.concatenate([np.zeros(0, np.int64), *which])
+            end = len(index)
+            known = np.bincount(doc, weights=count[which] > 0, minlength=len(texts)) + (count[end] > 0)
+            sums = np.bincount(doc, weights=np.log10(count + 1)[which], minlength=len(texts)) + np.log10(count[end] + 1)
+            return n + 1, known.astype(np.int64), sums
 
         def close() -> pa.RecordBatch:
-            base = sums[:, 3] - sums[:, 1] * math.log10(tokens + distinct + 1)
-            model = [np.add.reduceat(logs[np.searchsorted(codes, new)][back], starts) for new, back, starts in parts]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=sums[:, 4] > 0), pa.array(sums[:, 0] > 0), *(pa.array(x.astype(np.int64)) for x in (sums[:, 1], sums[:, 2], np.full(len(ids), tokens))), pa.array(base), pa.array(np.concatenate([np.zeros(0), *model]))], names)
+            n, known, sums = word_sums()
+            base = sums - n * math.log10(tokens + distinct + 1)
+            model = np.concatenate([np.zeros(0), *(np.add.reduceat(logs[np.searchsorted(codes, new)][back], starts) for new, back, starts in parts)])
+            coded = np.array([len(t) + 1 for t in texts])  # the end is coded as well
+            arrays = [pa.array(ids, pa.int64(), mask=own[:, 1] > 0), pa.array(own[:, 0] > 0), pa.array(n), pa.array(known), pa.array(np.full(len(ids), tokens))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(base), pa.array(model), pa.array(-model / math.log10(2) / np.maximum(1, coded), pa.float64())], names)
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (x for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()):
                 if r["kind"] == 2:
                     yield close()
                     ids = np.frombuffer(r["doc_id"], "<i8")
-                    sums = np.frombuffer(r["sums"], "<f8").reshape(-1, 5).copy()
-                    text, ends = _unzip(r["keys"]), np.cumsum(np.frombuffer(r["docs"], "<i8")).tolist()
-                    parts, codes, by_bucket, first = _block_codes([text[a:b] for a, b in zip([0, *ends], ends, strict=False)], bits)
-                    logs = np.full(len(codes), np.nan)  # every code is answered
+                    own = np.frombuffer(r["sums"], "<f8").reshape(-1, 2)
+                    text, ends = unzip_bytes(r["keys"]), np.cumsum(np.frombuffer(r["docs"], "<i8")).tolist()
+                    texts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    parts, codes, by_bucket, first = _block_codes(texts, bits)
+                    logs, rare = np.full(len(codes), np.nan), []  # every code is answered
                 elif r["kind"] == 0:
-                    logs[by_bucket[first[r["bucket"]] : first[r["bucket"] + 1]]] = _unzip_numbers(r["sums"], "<f8")
+                    logs[by_bucket[first[r["bucket"]] : first[r["bucket"] + 1]]] = unzip_numbers(r["sums"], "<f8")
                 else:
-                    sums[np.frombuffer(r["docs"], "<u4"), 2:4] += np.frombuffer(r["sums"], "<f8").reshape(-1, 2)
+                    rare.append((unzip_keys(r["keys"]), unzip_numbers(r["sums"], "<f8")))
         yield close()
 
-    return arrow_stream(by_block, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return arrow_stream(by_block, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op6_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -372,6 +372,8 @@ def test_scores(spark, docs, empty, rows):
         want.append((str(r[0]), held[r[0]], len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 4)))
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == sorted(want)
     assert all(r["score"] < 0 for r in got)
+    text = {r[0]: (r[1] or "").encode() for r in rows}
+    assert all(abs(r["bits_per_byte"] * (len(text[r["doc_id"]]) + 1) + r["score"] * math.log2(10)) < 1e-6 for r in got)
     # the model is a distribution: the probabilities of all bytes after a context add up to 1
     for context in (b"\0\0\0\0", b"w12 ", b"\xffzq\x01"):
         code = int.from_bytes(context, "big") << 8
@@ -385,9 +387,9 @@ def test_weighting_by_hand():
     codes, n = np.array([5 << 8 | 200, 5 << 8 | 10, 7 << 8 | 200], np.uint64), np.array([3.0, 1.0, 2.0])
     levels, _ = scoring.weigh(codes, n, 0)
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
-    # first decision: 200 is a one, 10 a zero; contexts 5 (1 zero, 3 ones) and 7 (0, 2); depths 4 to 1 have the same contexts
+    # first decision: 200 is a one, 10 a zero; contexts 5 (1 zero, 3 ones) and 7 (0, 2); all depths down to 1 have the same contexts
     weighted = {c: kt(a, b) for c, (a, b) in {5: (1, 3), 7: (0, 2)}.items()}
-    for _ in range(3):
+    for _ in range(scoring.DEPTH - 1):
         weighted = {c: np.logaddexp(kt(*{5: (1, 3), 7: (0, 2)}[c]), w) - math.log(2) for c, w in weighted.items()}
     root = np.logaddexp(kt(1, 5), sum(weighted.values())) - math.log(2)
     depth, keys, counts, weight = levels[-1]
