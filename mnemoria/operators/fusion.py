@@ -49,6 +49,28 @@ def rrf_fuse(channels: DataFrame, k: int = 20, weights: DataFrame | None = None,
     return top.select(*by, "id", F.round(F.col("raw") / most, 6).alias("score"), F.array_join("s", ",").alias("sources"), F.size("s").cast("long").alias("n_sources"), "rank")
 
 
+#: The order in which the texts and metadata of channels are put together.
+CHANNEL_ORDER = ["semantic", "bm25", "graph", "temporal"]
+
+
+def rrf_fuse_text(channels: DataFrame, k: int = 20, weights: DataFrame | None = None) -> DataFrame:
+    """rrf_fuse over (channel, id, rank, text, metadata): also the texts and metadata of an id's channels.
+
+    Different texts are joined by line feeds, in the order of the channels; of equal metadata keys the last
+    channel's value stays. Only the k rows that are returned are put together.
+    """
+    top = rrf_fuse(channels, k, weights)
+    place = F.array_position(F.lit(CHANNEL_ORDER), F.col("channel"))
+    rows = channels.join(top.select("id"), "id").select("id", F.struct(place.alias("place"), "channel", F.coalesce("text", F.lit("")).alias("text"), "metadata").alias("x"))
+    # an id has one row for each channel at most
+    own = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("x.place", "x.channel", "x.text", F.coalesce(F.map_entries("x.metadata"), F.array()).alias("m")))).alias("xs"))
+    texts = F.array_join(F.array_distinct(F.transform("xs", lambda x: x["text"])), "\n")
+    empty = F.create_map().cast("map<string,string>")
+    keep = lambda acc, m: F.map_concat(F.map_filter(acc, lambda key, _: ~F.array_contains(F.transform(m, lambda e: e["key"]), key)), F.map_from_entries(m))
+    metadata = F.aggregate(F.transform("xs", lambda x: x["m"]), empty, keep)
+    return top.join(own.select("id", texts.alias("text"), metadata.alias("metadata")), "id")
+
+
 def interleave_fuse(channels: DataFrame, k: int = 20) -> DataFrame:
     """Round robin by rank, then channel name; the first place of an id counts."""
     size = channels.groupBy("channel").agg(F.count("*").alias("size"))

@@ -16,6 +16,47 @@ def undirected(rel: DataFrame) -> DataFrame:
     return rel.select(F.col("subject").alias("entity"), F.col("object").alias("other"), "predicate").union(rel.select(F.col("object").alias("entity"), F.col("subject").alias("other"), "predicate"))
 
 
+def touching(rel: DataFrame, names: DataFrame) -> DataFrame:
+    """The relations of each name (name), from either end: the name, then the relation's columns."""
+    first = rel.join(names, F.col("subject") == F.col("name")).select("name", *rel.columns)
+    other = rel.filter("not subject <=> object").join(names, F.col("object") == F.col("name")).select("name", *rel.columns)
+    return first.union(other)
+
+
+def entity_get(entities: DataFrame, names: DataFrame) -> DataFrame:
+    """The entities (name, ...) of the names (name); names that are unknown give nothing."""
+    return entities.join(names.select("name").distinct(), "name", "left_semi")
+
+
+def entity_delete(entities: DataFrame, rel: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations without the names and without the relations that touch them."""
+    gone = names.select("name").distinct()
+    left = rel.join(gone, F.col("subject") == F.col("name"), "left_anti")
+    return entities.join(gone, "name", "left_anti"), left.join(gone, F.col("object") == F.col("name"), "left_anti")
+
+
+def relation_delete_pair(rel: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Relations without those from s to o of the pairs (s, o), whatever their predicate."""
+    p = pairs.select(F.col("s").alias("subject"), F.col("o").alias("object")).distinct()
+    return rel.join(p, ["subject", "object"], "left_anti").select(*rel.columns)
+
+
+def merge_types(mentions: DataFrame) -> DataFrame:
+    """mentions (name, type) -> (name, type, n_types): the most frequent type, the last by name of equals."""
+    c = mentions.groupBy("name", "type").agg(F.count("*").alias("n"))
+    return c.groupBy("name").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.count("*").alias("n_types"))
+
+
+def symbols(entities: DataFrame, rel: DataFrame) -> DataFrame:
+    """(file, name, type, n_callers, n_callees) from `contains` and `calls` relations of code symbols (name, type)."""
+    calls = rel.filter("predicate = 'calls'")
+    out = calls.groupBy(F.col("subject").alias("name")).agg(F.count("*").alias("n_callees"))
+    into = calls.groupBy(F.col("object").alias("name")).agg(F.count("*").alias("n_callers"))
+    inside = rel.filter("predicate = 'contains'").select(F.col("subject").alias("file"), F.col("object").alias("name"))
+    rows = inside.join(entities, "name").join(into, "name", "left").join(out, "name", "left")
+    return rows.select("file", "name", "type", F.coalesce("n_callers", F.lit(0)).alias("n_callers"), F.coalesce("n_callees", F.lit(0)).alias("n_callees"))
+
+
 def neighbors(rel: DataFrame) -> DataFrame:
     return undirected(rel).filter("entity <> other").distinct()
 

@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .entities import MOST_ENTITIES, entity_score, extract_entities
+
+__all__ = ["entity_score", "extract_entities"]
+
 #: Keywords of the fact types (a word listed twice counts twice), in the order of ties.
 FACT_TYPES = {
     "observation": ["观察", "发现", "看到", "注意到", "感觉", "觉得", "现象", "情况", "状态", "天气", "今天", "外面", "这里", "那里"],
@@ -17,11 +21,6 @@ FACT_TYPES = {
 }
 BASE_TRUST = {"world": 0.9, "observation": 0.7, "experience": 0.8, "opinion": 0.5, "causation": 0.6}
 FIRST_PERSON = ["我是", "我叫", "我的", "我姓", "我住在", "我工作", "我今年", "我来自", "我喜欢", "我住", "我在", "我平时", "我觉得", "我最近", "我每天", "我主要", "我一直", "我一般", "我经常", "我负责", "我养", "我有", "我需要", "我想", "我打算", "我在用", "我用", "我吃", "我去", "我来", "我做过", "我用过", "我吃过", "我去过", "我试过", "我用了", "我做了", "我完成了"]
-#: Latin patterns of entities, names that are never entities, and generic words.
-LATIN_PERSON = "[A-Z][a-z]+(?:[ \t\n]+[A-Z][a-z]+)*"
-LATIN_ORG = "[A-Z]{2,}(?:-[A-Z]+)*"
-GARBAGE = ["normal", "DB", "KG", "OK", "N/A", "Windows", "Gateway", "ARK", "DeepSeek", "dsh"]
-GENERIC = ["the", "this", "that", "error", "windows", "installer", "utf", "there", "these", "those", "and", "for", "with", "from"]
 AUTHORITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 TOOL_MARK = r"(?i)<tool_call>|<function_call>|```tool|```function"
 
@@ -70,33 +69,9 @@ def summary_head(c: Column, most: int = 200) -> Column:
     return F.when(F.length(c) <= most, c).when(last - 1 > most // 2, F.substring(head, F.lit(1), last)).otherwise(head)
 
 
-def extract_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Latin entities: (id, name, type, freq, pos); pos is the order of first appearance, persons first."""
-    t = F.col(text_col)
-    found = F.concat(
-        F.transform(F.regexp_extract_all(t, F.lit(f"({LATIN_PERSON})")), lambda n: F.struct(F.lit("person").alias("type"), n.alias("name"))),
-        F.transform(F.regexp_extract_all(t, F.lit(f"({LATIN_ORG})")), lambda n: F.struct(F.lit("org").alias("type"), n.alias("name"))),
-    )
-    rows = df.select(F.col(id_col).alias("id"), F.posexplode(found).alias("at", "e")).select("id", "at", "e.type", "e.name")
-    n = F.col("name")
-    generic = F.lower(n).isin(GENERIC) | ~(n.contains(" ") | ((F.upper(n) == n) & (F.length(n) >= 3)) | (F.length(n) > 4))
-    kept = rows.filter((F.length(n) >= 2) & ~n.isin(GARBAGE) & ~generic)
-    return kept.groupBy("id", F.lower("name").alias("key")).agg(F.min(F.struct("at", "name", "type")).alias("f"), F.count("*").alias("freq")).select("id", "f.name", "f.type", "freq", F.col("f.at").cast("long").alias("pos"))
-
-
-def entity_score(name: Column, kind: Column, freq: Column, text: Column) -> Column:
-    """Confidence of a Latin entity by its signals."""
-    score = F.when(freq >= 3, 0.15).when(freq >= 2, 0.08).otherwise(0.0)
-    score = score + F.when((kind == "person") & text.contains(F.concat(name, F.lit(":"))), 0.2).otherwise(0.0)
-    score = score + F.when(kind == "person", 0.2).when(kind.isin("org", "location"), 0.15).otherwise(0.1)
-    score = score + F.when((kind == "person") & name.contains(" "), 0.1).otherwise(0.0)
-    score = score + F.when((kind == "org") & (F.upper(name) == name), 0.1).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.3), F.least(F.lit(0.99), score)), 2)
-
-
 def annotate(mem: DataFrame) -> DataFrame:
     """memories with scene (first entity or general), n_entities, fact_type, authority, trust_score."""
-    e = extract_entities(mem, "id", "content").groupBy("id").agg(F.least(F.lit(20), F.count("*")).alias("n_entities"), F.min_by("name", "pos").alias("first"))
+    e = extract_entities(mem, "id", "content").groupBy("id").agg(F.least(F.lit(MOST_ENTITIES), F.count("*")).alias("n_entities"), F.min_by("name", "pos").alias("first"))
     out = mem.join(e, "id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
     out = out.withColumn("fact_type", fact_type(F.col("content")))
     out = out.withColumn("authority", authority(F.col("content"), F.col("fact_type"), F.col("n_entities")))

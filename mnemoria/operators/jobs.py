@@ -64,3 +64,57 @@ def persona_distill(rows: DataFrame) -> DataFrame:
     n = rows.groupBy("topic").agg(F.count("*").alias("n"))
     level = F.when((F.col("n") >= 5) & (F.col("signal") > 0.5), "high").when((F.col("n") >= 3) & (F.col("signal") > 0.3), "medium").otherwise("low")
     return out.join(n, "topic").select("topic", "summary", "n_sent", "n", level.alias("confidence"))
+
+
+def persona_get(personas: DataFrame, levels: list[str]) -> DataFrame:
+    """Personas (topic, confidence, evidence) of some levels, by the text of the level, then by evidence."""
+    w = Window.orderBy(F.desc("confidence"), F.desc("evidence"), "topic")  # one row for each topic
+    rows = personas.filter(F.col("confidence").isin(levels))
+    return rows.select("topic", "confidence", "evidence", (F.row_number().over(w) - 1).cast("long").alias("rank"))
+
+
+#: Hours between runs; reflection runs each day at REFLECT_AT in ZONE.
+EVERY_HOURS = {"consolidate": 4, "compress": 24, "persona": 24, "expire": 6}
+ZONE, REFLECT_AT = "Asia/Shanghai", 2
+
+
+def next_runs(rows: DataFrame) -> DataFrame:
+    """rows (now, ...) -> their columns, job and next_run: times are epoch seconds."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(ZONE), F.convert_timezone(None, F.lit("UTC"), F.timestamp_seconds("now").cast("timestamp_ntz")))
+    early = F.expr(f"interval {REFLECT_AT} hours")
+    next_day = F.date_add(F.to_date(local - early), 1).cast("timestamp_ntz") + early
+    two = F.convert_timezone(F.lit(ZONE), F.lit("UTC"), next_day)
+    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), two)
+    hours = F.lit(0)
+    for job, h in EVERY_HOURS.items():
+        hours = F.when(F.col("job") == job, h).otherwise(hours)
+    every = rows.select("*", F.explode(F.array(*[F.lit(j) for j in ("reflect", *EVERY_HOURS)])).alias("job"))
+    return every.withColumn("next_run", F.when(F.col("job") == "reflect", epoch).otherwise(F.col("now") + hours * 3600))
+
+
+#: Points of a layer, and the total from which an audit passes.
+LAYER_POINTS, PASS_FROM = 20, 90
+
+
+def audit(vectors: DataFrame, annotated: DataFrame, entities: DataFrame) -> DataFrame:
+    """(layer, score, most, finding): five layers, then the total with its verdict.
+
+    The graph's layer has 15 points at most: 10 if there are entities, 5 less 5 for each name of several types.
+    """
+    names = entities.groupBy(F.lower("name").alias("n")).agg(F.count_distinct("type").alias("t"))
+    clashes = names.agg(F.count_if(F.col("t") > 1).alias("clashes"), F.count("*").alias("names"))
+    a = annotated.agg(F.count("*").alias("n"), F.count_distinct("wing").alias("wings"), F.avg(F.when(F.col("n_entities") > 0, 1.0).otherwise(0.0)).alias("cover"))
+    one = a.select("*", vectors.agg(F.count("*")).scalar().alias("v"), clashes.select(F.struct("names", "clashes")).scalar().alias("g"))
+    ratio = F.when(F.col("n") > 0, F.col("v") / F.col("n")).otherwise(0.0)
+    layers = {
+        "table": F.when(F.col("n") > 0, 20).otherwise(0),
+        "vectors": 12 + F.when(ratio >= 0.99, 8).when(ratio >= 0.8, 5).otherwise(0),
+        "kg": F.when(F.col("g.names") > 0, 10).otherwise(0) + F.greatest(F.lit(0), 5 - 5 * F.col("g.clashes")),
+        "scenes": 10 + F.when(F.col("wings") > 1, 10).otherwise(0),
+        "l1": F.floor(20 * F.coalesce("cover", F.lit(0.0))),
+    }
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("layer"), x.cast("long").alias("score")) for k, x in layers.items()])))
+    finding = F.when(F.col("score") < LAYER_POINTS, F.concat("layer", F.lit(": "), F.col("score").cast("string"), F.lit(f" of {LAYER_POINTS}"))).otherwise("")
+    total = F.sum("score").alias("score")
+    verdict = rows.agg(total).select(F.lit("total").alias("layer"), "score", F.lit(len(layers) * LAYER_POINTS).cast("long").alias("most"), F.when(F.col("score") >= PASS_FROM, "pass").otherwise("fail").alias("finding"))
+    return rows.select("layer", "score", F.lit(LAYER_POINTS).cast("long").alias("most"), finding.alias("finding")).union(verdict)

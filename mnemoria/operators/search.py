@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +35,58 @@ def search_semantic(vectors: DataFrame, query: DataFrame, k: int, where: Column
     return ranked(scored.select("vec_id", F.round("s", 6).alias("score")), k, F.desc("score"), F.asc("vec_id"))
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df, to be broadcast if it has most_rows rows at most; else the planner chooses."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Vectors and queries of a block, in knn.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+
+
+def _blocks(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """(block, ids, matrix): vectors of length 1 in blocks of some rows, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                m = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                norm = np.linalg.norm(m, axis=1, keepdims=True)
+                m = m / np.where(norm > 0, norm, 1)
+                ids = part.column(0).cast(pa.int64()).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["ids", "matrix"])
+
+    kept = df.filter(F.col(id_col).isNotNull() & F.col("embedding").isNotNull())
+    return kept.select(id_col, F.col("embedding").cast("array<double>")).mapInArrow(run, "ids binary, matrix binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """For each query (query_id, embedding) its k nearest vectors. The queries are a stated set."""
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("q")))).select("query_id", "vec_id", F.round(F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("q"))), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    # a first cut for each salt keeps a query's rows from meeting in one task before they are few
+    """For each query (query_id, embedding) its k nearest vectors. The queries are a stated set.
+
+    Blocks of vectors meet blocks of queries in a matrix product each, which keeps k of a block for each
+    query; the rest is never a row. A vector of zeros is like nothing (0).
+    """
+    q = _blocks(queries, "query_id", QUERY_BLOCK).withColumn("qb", F.row_number().over(Window.orderBy("ids")))  # few rows of many queries
+    n = q.agg(F.count("*")).scalar()
+    v = _blocks(vectors, "vec_id", VECTOR_BLOCK).select("ids", "matrix", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), n.cast("int")))).alias("qb"))
+    pairs = v.join(q.select("qb", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix")), "qb").select("ids", "matrix", "query_ids", "query_matrix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, matrix, query_ids, query_matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+                scores = np.frombuffer(query_matrix).reshape(len(query_ids), -1) @ np.frombuffer(matrix).reshape(len(ids), -1).T
+                scores = np.round(np.maximum(0.0, scores), 6)
+                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
+                found = [query_ids.repeat(best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    few = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+    # a cut for each salt keeps a query's rows from meeting in one task before they are few
     part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy(F.desc("score"), F.asc("vec_id"))
-    few = scored.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).drop("r")
+    few = few.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).drop("r")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return few.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
 
 
@@ -69,10 +117,13 @@ def ann_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     right = model.transform(q).select("query_id", "q", hashes.alias("hq")).select("*", F.posexplode("hq").alias("t", "bucket"))
     # a pair counts in the first table that it shares: vectors are not shuffled to find it again
     first = F.array_position(F.zip_with("hv", "hq", lambda a, b: a == b), True) == F.col("t") + 1
-    near = nearest(left.join(F.broadcast(right), ["t", "bucket"]).filter(first).select("query_id", "vec_id", distance))
+    near = nearest(left.join(small(right), ["t", "bucket"]).filter(first).select("query_id", "vec_id", distance))
     enough = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     short = queries.select("query_id", F.col("embedding").alias("q")).join(enough, "query_id", "left_anti")
-    exact = nearest(vectors.crossJoin(F.broadcast(short)).select("query_id", "vec_id", distance))
+    # on unit vectors the cosine gives the same order; the few queries that lack candidates go against all
+    exact = knn(vectors, short.select("query_id", F.col("q").alias("embedding")), k)
+    pairs = exact.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    exact = nearest(pairs.select("query_id", "vec_id", distance))
     return near.join(enough, "query_id", "left_semi").union(exact).select("query_id", "vec_id", "distance", "rank")
 
 
@@ -114,10 +165,10 @@ def search_temporal(mem: DataFrame, now: int, start: int, end: int, terms: list[
 def graph_entity_match(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Leftmost-longest matches of entity names in query texts: (query_id, name, pos).
 
-    Names (a dictionary of bounded size) are broadcast. A match is dropped if a longer one starts at the
-    same place, or if it starts inside a match that begins earlier.
+    Names of any number are scanned once; the queries go to them. A match is dropped if a longer one starts
+    at the same place, or if it starts inside a match that begins earlier.
     """
-    hits = queries.join(F.broadcast(names.select("name")), F.lower("text").contains(F.lower("name")))
+    hits = names.select("name").join(small(queries), F.lower("text").contains(F.lower("name")))
     at = hits.select("query_id", "name", F.length("name").alias("n"), F.instr(F.lower("text"), F.lower("name")).alias("pos"))
     best = at.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "pos").orderBy(F.desc("n"), "name"))).filter("r = 1")
     before = F.max(F.col("pos") + F.col("n")).over(Window.partitionBy("query_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ingest
+from ..functions import names
+from ..operators import entities, ingest
 from ..sources.tables import memories, table
 from .registry import MEM, query
 
 _PERSON, _ORG = r"[A-Z][a-z]+(?:[ \t\n]+[A-Z][a-z]+)*", "[A-Z]{2,}(?:-[A-Z]+)*"
-_G = ", ".join(f"'{g}'" for g in ingest.GENERIC)
-_B = ", ".join(f"'{g}'" for g in ingest.GARBAGE)
+_G = ", ".join(f"'{g}'" for g in names.GENERIC)
+_B = ", ".join(f"'{g}'" for g in names.GARBAGE)
 ENT_SQL = f"""r AS (SELECT doc_id AS id, 0 AS part, unnest(regexp_extract_all(text, '{_PERSON}')) AS name, generate_subscripts(regexp_extract_all(text, '{_PERSON}'), 1) AS k, len(regexp_extract_all(text, '{_PERSON}')) AS np, 'person' AS type FROM documents
 UNION ALL SELECT doc_id, 1, unnest(regexp_extract_all(text, '{_ORG}')), generate_subscripts(regexp_extract_all(text, '{_ORG}'), 1), len(regexp_extract_all(text, '{_PERSON}')), 'org' FROM documents),
 f AS (SELECT id, name, type, (CASE part WHEN 0 THEN k - 1 ELSE np + k - 1 END)::BIGINT AS ap FROM r WHERE length(name) >= 2 AND name NOT IN ({_B}) AND lower(name) NOT IN ({_G}) AND (contains(name, ' ') OR (upper(name) = name AND length(name) >= 3) OR length(name) > 4)),
@@ -30,9 +31,58 @@ def _(s, d):
     return e.select("id", "name", ingest.entity_score(F.col("name"), F.col("type"), F.col("freq"), F.col("content")).alias("confidence"))
 
 
+#: Literal texts, and the entities that the patterns, filters and cleaning leave of them: (name, type, freq, confidence).
+HAN_TEXTS = {
+    1: "张三说他喜欢北京市的天气，李四老师也在清华大学工作",
+    2: "我们在上海市讨论了智能管理系统，王五表示同意",
+    3: "赵局长和陈医生去了人民医院",
+    4: "今天用户参加了数据平台的开发，刘洋也去了杭州市西湖区",
+    5: "腾讯公司发布了微信APP，腾讯公司宣布合作",
+    6: "方案已经完成",
+    7: "周杰说：周杰觉得周杰喜欢音乐，他很满意",
+}
+HAN_ENTITIES = [
+    (1, "张三", "person", 1, 0.6), (1, "李四老师", "person", 1, 0.55), (1, "清华大学", "org", 1, 0.3), (1, "张三说他", "location", 1, 0.3),
+    (2, "王五", "person", 1, 0.5), (2, "上海市", "location", 1, 0.3), (3, "赵局长", "person", 1, 0.45),
+    (4, "刘洋", "person", 1, 0.3), (4, "了杭州市", "location", 1, 0.3), (5, "腾讯公司", "org", 2, 0.3), (7, "周杰", "person", 4, 0.75),
+]
+CLEANED = [
+    (1, "我们在上海市", "location", "上海市"), (2, "用户参加了数据平台", "product", "数据平台"), (3, "张三说", "person", "张三"), (4, "刘洋也", "person", "刘洋"),
+    (5, "方案", "person", ""), (6, "智能管理系统", "product", "智能管理系统"), (7, "我们的人民医院", "org", "人民医院"), (8, "John Smith", "person", "John Smith"),
+]
+
+
+def _han(s):
+    return s.createDataFrame(list(HAN_TEXTS.items()), "id long, content string")
+
+
+def _values(rows) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+@query("entity_extract", f"WITH {ENT_SQL} SELECT id, name, type, freq FROM ent UNION ALL SELECT -id, name, type, freq FROM {_values(r[:4] for r in HAN_ENTITIES)} v(id, name, type, freq)")
+def _(s, d):
+    """All patterns, Han and Latin: over the documents, and over literal texts under negative ids."""
+    texts = memories(s, d).select("id", "content").union(_han(s).select(-F.col("id"), "content"))
+    return entities.extract_entities(texts, "id", "content").select("id", "name", "type", "freq")
+
+
+@query("entity_clean", f"SELECT id, cleaned FROM {_values(CLEANED)} v(id, name, type, cleaned)")
+def _(s, d):
+    rows = s.createDataFrame([r[:3] for r in CLEANED], "id long, name string, type string")
+    return rows.select("id", entities.clean_name(F.col("name"), F.col("type")).alias("cleaned"))
+
+
+@query("entity_score", f"SELECT id, name, confidence::DOUBLE AS confidence FROM {_values((r[0], r[1], r[4]) for r in HAN_ENTITIES)} v(id, name, confidence)")
+def _(s, d):
+    """Signals of Han texts; entity_score_en has those of the documents."""
+    e = entities.extract_entities(_han(s), "id", "content").join(_han(s), "id")
+    return e.select("id", "name", entities.entity_score(F.col("name"), F.col("type"), F.col("freq"), F.col("content")).alias("confidence"))
+
+
 @query("garbage_entity_filter", f"WITH {ENT_SQL} SELECT count(*) AS n FROM ent WHERE name NOT IN ({_B})")
 def _(s, d):
-    bad = s.createDataFrame([(g,) for g in ingest.GARBAGE], "name string")
+    bad = s.createDataFrame([(g,) for g in names.GARBAGE], "name string")
     return ingest.extract_entities(memories(s, d), "id", "content").join(F.broadcast(bad), "name", "left_anti").agg(F.count("*").alias("n"))
 
 
@@ -127,7 +177,10 @@ def _(s, d):
     return memories(s, d).groupBy(F.col("room").alias("scene")).agg(F.min(F.when(F.col("wing") == "en", F.col("created_at"))).alias("time_start"), F.max("created_at").alias("time_end"))
 
 
-@query("scene_summary_append", None)
+_SHORT = _HEAD.replace("200", "80").replace("201", "81").replace("> 100", "> 40")
+
+
+@query("scene_summary_append", f"WITH h AS (SELECT source AS scene, doc_id AS id, {_SHORT} AS summary FROM documents) SELECT scene, list_reduce(list_prepend('', list(summary ORDER BY id)), lambda acc, x: CASE WHEN contains(acc, x) THEN acc WHEN acc = '' THEN substr(x, 1, 5000) ELSE substr(concat(acc, chr(10), x), 1, 5000) END) AS summary FROM h GROUP BY scene")
 def _(s, d):
     m = memories(s, d).select(F.col("room").alias("scene"), "id", ingest.summary_head(F.col("content"), 80).alias("summary"))
     return ingest.scene_summary(m)

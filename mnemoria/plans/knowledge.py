@@ -12,7 +12,7 @@ from .annotation import ANN_SQL
 from .registry import MEM, query
 
 PAIR_SQL = "SELECT a.n AS subject, b.n AS object, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, {c} AS n FROM lineitem JOIN part ON l_partkey = p_partkey) a JOIN (SELECT DISTINCT l_orderkey, {c} AS n FROM lineitem JOIN part ON l_partkey = p_partkey) b ON a.l_orderkey = b.l_orderkey AND a.n < b.n GROUP BY 1, 2"
-BRAND = f"pr AS ({PAIR_SQL.format(c='p_brand')}), rel AS (SELECT subject, 'co_occurs_with' AS predicate, object, weight::DOUBLE AS weight FROM pr WHERE weight >= (SELECT avg(weight) FROM pr)), und AS (SELECT subject AS entity, object AS other, predicate FROM rel UNION ALL SELECT object, subject, predicate FROM rel)"
+BRAND = f"pr AS ({PAIR_SQL.format(c='p_brand')}), rel AS (SELECT subject, 'co_occurs_with' AS predicate, object, weight::DOUBLE AS weight FROM pr), und AS (SELECT subject AS entity, object AS other, predicate FROM rel UNION ALL SELECT object, subject, predicate FROM rel)"
 PLACE = "rel AS (SELECT s_name AS subject, 'located_in' AS predicate, n_name AS object FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, 'part_of', r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT a.n_name, 'cause', b.n_name FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1), und AS (SELECT subject AS entity, object AS other, predicate FROM rel UNION ALL SELECT object, subject, predicate FROM rel)"
 SIM = "nb AS (SELECT DISTINCT entity, other AS mid FROM und), dg AS (SELECT entity, count(*) AS degree FROM nb GROUP BY 1), sh AS (SELECT a.entity, b.entity AS other, count(*) AS shared FROM nb a JOIN nb b ON a.mid = b.mid AND a.entity <> b.entity GROUP BY 1, 2), sm AS (SELECT sh.entity, sh.other, round(shared / (x.degree + y.degree - shared)::DOUBLE, 6) AS jaccard FROM sh JOIN dg x ON x.entity = sh.entity JOIN dg y ON y.entity = sh.other), sk AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY jaccard DESC, other) - 1 AS rank FROM sm QUALIFY rank < 5)"
 
@@ -74,10 +74,14 @@ def _(s, d):
     return graph.similar_entities(brand_edges(s, d))
 
 
-@query("graph_expand", f"""WITH {PLACE}, {SIM}, seeds AS (SELECT n_name AS seed FROM nation), near AS (SELECT seed, other AS node, 0.8::DOUBLE AS score, 'cooccurrence' AS type, 0 AS p FROM seeds JOIN und ON seed = entity),
+#: Steps from the table `seeds`: needs PLACE and SIM.
+EXPAND = """near AS (SELECT seed, other AS node, 0.8::DOUBLE AS score, 'cooccurrence' AS type, 0 AS p FROM seeds JOIN und ON seed = entity),
 c1 AS (SELECT DISTINCT seed, other AS mid FROM seeds JOIN und ON seed = entity WHERE predicate IN ('cause', 'effect', 'prevent', 'enable')), two AS (SELECT seed, other AS node, 0.21::DOUBLE AS score, 'causal' AS type, 1 AS p FROM c1 JOIN und ON mid = entity),
-lk AS (SELECT seed, other AS node, jaccard * 0.6 AS score, 'semantic_knn' AS type, 2 AS p FROM seeds JOIN sk ON seed = entity), ev AS (SELECT * FROM near UNION ALL SELECT * FROM two UNION ALL SELECT * FROM lk)
-SELECT seed, node, round(score, 6) AS score, type FROM ev WHERE node <> seed QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY p, score DESC) = 1""")
+lk AS (SELECT seed, other AS node, jaccard * 0.6 AS score, 'semantic_knn' AS type, 2 AS p FROM seeds JOIN sk ON seed = entity), ev AS (SELECT * FROM near UNION ALL SELECT * FROM two UNION ALL SELECT * FROM lk),
+ex AS (SELECT seed, node, round(score, 6) AS score, type FROM ev WHERE node <> seed QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY p, score DESC) = 1)"""
+
+
+@query("graph_expand", f"WITH {PLACE}, {SIM}, seeds AS (SELECT n_name AS seed FROM nation), {EXPAND} SELECT seed, node, score, type FROM ex")
 def _(s, d):
     return graph.graph_expand(place_relations(s, d), table(s, d, "nation").select(F.col("n_name").alias("seed")))
 
@@ -87,10 +91,10 @@ def _(s, d):
     return events(s, d).filter(F.col("at") >= EVENTS_NOW - 72 * 3600).groupBy(F.col("user_id").alias("entity")).agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-_PAR = "CASE WHEN (props::JSON->>'k')::INT % 2 = 0 THEN 'even' ELSE 'odd' END"
+PARITY = "CASE WHEN (props::JSON->>'k')::INT % 2 = 0 THEN 'even' ELSE 'odd' END"
 
 
-@query("type_conflicts", f"WITH c AS (SELECT user_id AS entity, {_PAR} AS type, count(*) AS n FROM events GROUP BY 1, 2) SELECT entity, string_agg(type, ',' ORDER BY type) AS types, arg_max(type, (n, type)) AS best FROM c GROUP BY 1 HAVING count(*) > 1")
+@query("type_conflicts", f"WITH c AS (SELECT user_id AS entity, {PARITY} AS type, count(*) AS n FROM events GROUP BY 1, 2) SELECT entity, string_agg(type, ',' ORDER BY type) AS types, arg_max(type, (n, type)) AS best FROM c GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
     k = F.get_json_object("props", "$.k").cast("int")
     c = events(s, d).groupBy(F.col("user_id").alias("entity"), F.when(k % 2 == 0, "even").otherwise("odd").alias("type")).agg(F.count("*").alias("n"))
@@ -118,12 +122,12 @@ def _(s, d):
 
 _VAL = "concat('bucket_', floor((props::JSON->>'k')::INT / 25)::INT::VARCHAR)"
 _SET = "CASE WHEN length({0}) = 1 THEN [{0}] ELSE list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2))) END"
-_JAC = f"len(list_intersect({_SET.format('f.value')}, {_SET.format('e.value')}))::DOUBLE / len(list_distinct(list_concat({_SET.format('f.value')}, {_SET.format('e.value')})))"
+JACCARD = f"len(list_intersect({_SET.format('f.value')}, {_SET.format('e.value')}))::DOUBLE / len(list_distinct(list_concat({_SET.format('f.value')}, {_SET.format('e.value')})))"
 BELIEF = f"""e AS (SELECT event_type AS category, user_id AS key, {_VAL} AS value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS seq FROM events),
 f AS (SELECT category, key, value, 0.6::DOUBLE AS c, 1 AS n, 0 AS x, 1::BIGINT AS seq FROM e WHERE seq = 1
 UNION ALL SELECT category, key, CASE WHEN sim < 0.4 THEN (CASE WHEN x + 1 >= n / 2.0 THEN ev ELSE value END) WHEN sim < 0.9 THEN ev ELSE value END,
 CASE WHEN sim < 0.4 THEN c * 0.15::DOUBLE / (c * 0.15::DOUBLE + (1 - c) * 0.85::DOUBLE + 1e-10::DOUBLE) ELSE least(1.0::DOUBLE, c * 0.85::DOUBLE / (c * 0.85::DOUBLE + (1 - c) * 0.15::DOUBLE + 1e-10::DOUBLE) + 0.1::DOUBLE * (1 - c * 0.85::DOUBLE / (c * 0.85::DOUBLE + (1 - c) * 0.15::DOUBLE + 1e-10::DOUBLE))) END,
-n + 1, CASE WHEN sim < 0.4 THEN x + 1 ELSE x END, seq FROM (SELECT f.category, f.key, f.value, f.c, f.n, f.x, e.seq, e.value AS ev, {_JAC} AS sim FROM f JOIN e ON e.category = f.category AND e.key = f.key AND e.seq = f.seq + 1)),
+n + 1, CASE WHEN sim < 0.4 THEN x + 1 ELSE x END, seq FROM (SELECT f.category, f.key, f.value, f.c, f.n, f.x, e.seq, e.value AS ev, {JACCARD} AS sim FROM f JOIN e ON e.category = f.category AND e.key = f.key AND e.seq = f.seq + 1)),
 bl AS (SELECT category, key, value, round(c, 6) AS confidence, n::BIGINT AS evidence, x::BIGINT AS conflicts FROM f QUALIFY row_number() OVER (PARTITION BY category, key ORDER BY seq DESC) = 1)"""
 
 
@@ -172,7 +176,7 @@ def _(s, d):
     return believed(s, d).select("category", "key", "confidence").orderBy(F.desc("confidence"), "category", "key").limit(100)
 
 
-@query("bigram_jaccard", f"SELECT DISTINCT f.value AS a, e.value AS b, round({_JAC}, 6) AS sim FROM (SELECT DISTINCT {_VAL} AS value FROM events) f, (SELECT DISTINCT event_type AS value FROM events) e")
+@query("bigram_jaccard", f"SELECT DISTINCT f.value AS a, e.value AS b, round({JACCARD}, 6) AS sim FROM (SELECT DISTINCT {_VAL} AS value FROM events) f, (SELECT DISTINCT event_type AS value FROM events) e")
 def _(s, d):
     from ..functions.text import bigram_set, set_jaccard
 
@@ -225,13 +229,7 @@ def _(s, d):
     return memories(s, d).select("id", F.round(entity_density(F.col("content")), 6).alias("density"))
 
 
-@query("stability_signal", "SELECT * FROM (VALUES (1, 1.0::DOUBLE), (2, 0.333333::DOUBLE), (3, 0.0::DOUBLE)) v(id, s)")
-def _(s, d):
-    rows = s.createDataFrame([(1, "我总是喜欢擅长研究"), (2, "他长期在外"), (3, "plain")], "id int, t string")
-    return rows.select("id", F.round(stability_signal(F.col("t")), 6).alias("s"))
-
-
-def _summary_sql(rows: str, by: str, shortest: int, w: tuple, signal: str, top: int, most: int) -> str:
+def summary_sql(rows: str, by: str, shortest: int, w: tuple, signal: str, top: int, most: int) -> str:
     return f"""src AS ({rows}), sx AS (SELECT {by}, id, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) AS k FROM src), s1 AS (SELECT {by}, s, row_number() OVER (PARTITION BY {by} ORDER BY id, k) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM sx WHERE length(s) >= {shortest}),
 tk AS (SELECT {by}, i, n, unnest(list_filter(regexp_split_to_array(lower(s), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS term FROM s1), tf AS (SELECT {by}, i, n, term, count(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT {by}, term, count(*) AS df FROM tf GROUP BY ALL),
 ti AS (SELECT {by}, i, sum(tf * (ln((n + 1) / (df + 1)::DOUBLE) + 1)) / sum(tf) AS tfidf FROM tf JOIN df USING ({by}, term) GROUP BY {by}, i),
@@ -243,25 +241,20 @@ sm AS (SELECT {by}, CASE WHEN length(j) > {most} THEN concat(substr(j, 1, {most
 _DENS = r"least(1.0::DOUBLE, (len(regexp_extract_all(s, '[0-9]+')) + len(regexp_extract_all(s, '元|块|万|亿|￥|¥|\$'))) / 5.0::DOUBLE)"
 
 
-@query("extractive_summary", f"WITH {_summary_sql('SELECT lang AS wing, source AS room, doc_id AS id, text FROM documents', 'wing, room', 5, (0.5, 0.2, 0.3), _DENS, 10, 300)} SELECT wing, room, summary, n_sent FROM sm")
+@query("extractive_summary", f"WITH {summary_sql('SELECT lang AS wing, source AS room, doc_id AS id, text FROM documents', 'wing, room', 5, (0.5, 0.2, 0.3), _DENS, 10, 300)} SELECT wing, room, summary, n_sent FROM sm")
 def _(s, d):
     return jobs.extractive_summary(memories(s, d), ["wing", "room"])
 
 
-_TOPIC = "CASE WHEN regexp_matches(text, '编程|代码|Python|开发|架构|算法') THEN '编程' WHEN regexp_matches(text, 'GEF') THEN '林草' WHEN regexp_matches(text, 'AI|Agent|LLM') THEN 'AI' ELSE 'general' END"
+TOPIC = "CASE WHEN regexp_matches(text, '编程|代码|Python|开发|架构|算法') THEN '编程' WHEN regexp_matches(text, 'GEF') THEN '林草' WHEN regexp_matches(text, 'AI|Agent|LLM') THEN 'AI' ELSE 'general' END"
 
 
-@query("persona_topic", f"SELECT doc_id AS id, {_TOPIC} AS topic FROM documents")
+@query("persona_topic", f"SELECT doc_id AS id, {TOPIC} AS topic FROM documents")
 def _(s, d):
     return memories(s, d).select("id", jobs.persona_topic(F.col("content")).alias("topic"))
 
 
-@query("persona_distill", f"WITH {_summary_sql(f'SELECT {_TOPIC} AS topic, doc_id AS id, text FROM documents', 'topic', 8, (0.4, 0.2, 0.4), '0.0::DOUBLE', 5, 200)} SELECT topic, summary, n_sent, c.n, 'low' AS confidence FROM sm JOIN (SELECT {_TOPIC} AS topic, count(*) AS n FROM documents GROUP BY 1) c USING (topic)")
-def _(s, d):
-    return jobs.persona_distill(memories(s, d).select(jobs.persona_topic(F.col("content")).alias("topic"), "id", "content"))
-
-
-@query("persona_upsert", f"WITH t AS (SELECT {_TOPIC} AS topic, doc_id AS id FROM documents) SELECT topic, max(id) AS last_id, count(*) AS evidence, max(1704067200 + id * 3600) + 90 * 86400 AS expires_at FROM t GROUP BY 1")
+@query("persona_upsert", f"WITH t AS (SELECT {TOPIC} AS topic, doc_id AS id FROM documents) SELECT topic, max(id) AS last_id, count(*) AS evidence, max(1704067200 + id * 3600) + 90 * 86400 AS expires_at FROM t GROUP BY 1")
 def _(s, d):
     m = memories(s, d).withColumn("topic", jobs.persona_topic(F.col("content")))
     return m.groupBy("topic").agg(F.max("id").alias("last_id"), F.count("*").alias("evidence"), (F.max("created_at") + 90 * 86400).alias("expires_at"))
@@ -307,41 +300,3 @@ def _(s, d):
 def _(s, d):
     link = graph.consolidate_link(brand_edges(s, d)).select(F.lit("link").alias("strategy"), F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), F.col("n_common").cast("double").alias("similarity"))
     return link.union(graph.name_pairs(_names(s, d), 0.85).select(F.lit("dedup"), "a", "b", "sim"))
-
-
-@query("reflect_context", f"WITH h AS (SELECT user_id, count(*) AS n FROM events WHERE floor(epoch(ts))::BIGINT >= {EVENTS_NOW} - 86400 GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, user_id LIMIT 5), r AS (SELECT doc_id, substr(text, 1, 200) AS t, md5(concat(doc_id::VARCHAR, ':7')) AS k FROM documents ORDER BY k LIMIT 5) SELECT substr(concat((SELECT string_agg(concat('user_', user_id::VARCHAR), chr(10) ORDER BY n DESC, user_id) FROM h), chr(10), (SELECT string_agg(t, chr(10) ORDER BY k) FROM r)), 1, 4000) AS context")
-def _(s, d):
-    h = events(s, d).filter(F.col("at") >= EVENTS_NOW - 86400).groupBy("user_id").agg(F.count("*").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "user_id").limit(5)
-    a = h.select(F.lit(0).alias("part"), (-F.col("n")).cast("string").alias("k0"), F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).cast("string").alias("k"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("line"))
-    m = memories(s, d).select(F.md5(F.concat(F.col("id").cast("string"), F.lit(":7")).cast("binary")).alias("k"), F.substring("content", 1, 200).alias("line")).orderBy("k").limit(5)
-    rows = a.select("part", "k", "line").union(m.select(F.lit(1), "k", "line"))
-    return rows.agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "k", "line"))), lambda x: x["line"]), "\n"), 1, 4000).alias("context"))
-
-
-_AUDIT = """SELECT 'table' AS layer, (CASE WHEN count(*) > 0 THEN 20 ELSE 0 END)::BIGINT AS score, 20::BIGINT AS most FROM documents
-UNION ALL SELECT 'vectors', (12 + CASE WHEN r >= 0.99 THEN 8 WHEN r >= 0.8 THEN 5 ELSE 0 END)::BIGINT, 20 FROM (SELECT (SELECT count(*) FROM embeddings)::DOUBLE / count(*) AS r FROM documents)
-UNION ALL SELECT 'kg', 15, 20 UNION ALL SELECT 'scenes', (10 + CASE WHEN count(DISTINCT lang) > 1 THEN 10 ELSE 0 END)::BIGINT, 20 FROM documents
-UNION ALL SELECT 'l1', floor(20 * avg(CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))::BIGINT, 20 FROM ann"""
-
-
-@query("memory_audit", f"WITH {ANN_SQL} {_AUDIT}")
-def _(s, d):
-    """Layer scores of the store: one row for each of five layers, and whether the total passes."""
-    a = ingest.annotate(memories(s, d)).agg(F.count("*").alias("n"), F.count_distinct("wing").alias("wings"), F.avg(F.when(F.col("n_entities") > 0, 1.0).otherwise(0.0)).alias("cover"))
-    v = table(s, d, "embeddings").agg(F.count("*").alias("v"))
-    one = a.crossJoin(v)  # one row each
-    ratio = F.col("v") / F.col("n")
-    scores = F.array(*[F.struct(F.lit(k).alias("layer"), x.cast("long").alias("score"), F.lit(20).cast("long").alias("most")) for k, x in {
-        "table": F.when(F.col("n") > 0, 20).otherwise(0), "vectors": 12 + F.when(ratio >= 0.99, 8).when(ratio >= 0.8, 5).otherwise(0), "kg": F.lit(15),
-        "scenes": 10 + F.when(F.col("wings") > 1, 10).otherwise(0), "l1": F.floor(20 * F.col("cover")),
-    }.items()])
-    return one.select(F.inline(scores))
-
-
-@query("next_run", "SELECT * FROM (VALUES ('reflect', 1709316000::BIGINT), ('consolidate', 1709265600::BIGINT), ('compress', 1709337600::BIGINT)) v(job, next_run)")
-def _(s, d):
-    """Next 02:00 in Asia/Shanghai; else the interval from now."""
-    rows = s.createDataFrame([("reflect", None), ("consolidate", 4), ("compress", 24)], "job string, hours int")
-    local = F.lit(NOW + 8 * 3600)
-    two = F.floor((local - 7200) / 86400) * 86400 + 86400 + 7200 - 8 * 3600
-    return rows.select("job", F.when(F.col("hours").isNull(), two).otherwise(F.lit(NOW) + F.col("hours") * 3600).cast("long").alias("next_run"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.embed import hash_embedding, l2_normalize
 from ..functions.text import trigram_similarity
-from ..operators import fusion, graph, search
+from ..operators import fusion, graph, plugins, search
 from ..sources.tables import NOW, memories, place_relations, table
+from .knowledge import EXPAND, PLACE, SIM
 from .registry import MEM, query
 
 TERMS = ["license", "ouelle", "there"]
@@ -129,9 +129,11 @@ def _(s, d):
     return search.ann_knn(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
-@query("embed_text", None)
+@query("embed_text", "SELECT doc_id AS id, 64::BIGINT AS n, CASE WHEN regexp_matches(text, '[^ \t\n\r]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def _(s, d):
-    return memories(s, d).select("id", F.to_json(hash_embedding(F.col("content"))).alias("embedding"))
+    """The length of each embedding and its norm: 1, or 0 for a text without words."""
+    v = memories(s, d).select("id", hash_embedding(F.col("content")).alias("v"))
+    return v.select("id", F.size("v").cast("long").alias("n"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
 @query("embed_normalize", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) * (3 * x::DOUBLE)))) / sqrt(list_sum(list_transform(embedding, lambda x: (3 * x::DOUBLE) * (3 * x::DOUBLE)))), 6) AS norm FROM embeddings")
@@ -152,8 +154,12 @@ def _(s, d):
     return search.graph_entity_match(s.createDataFrame(QT, "query_id int, text string"), names)
 
 
-@query("search_graph", None)
-def _(s, d):
+GRAPH_SQL = f"""{PLACE}, {SIM}, seeds AS (SELECT n_name AS seed FROM nation WHERE n_name IN ('NATION_1', 'NATION_2')), {EXPAND},
+gs AS (SELECT node, type, round(score * CASE type WHEN 'causal' THEN 0.9::DOUBLE WHEN 'semantic_knn' THEN 0.7 ELSE 0.5 END, 6) AS s FROM ex QUALIFY row_number() OVER (PARTITION BY node ORDER BY s DESC, type DESC) = 1),
+gr AS (SELECT concat('graph_', node) AS id, node, s AS score, type AS exp_type, row_number() OVER (ORDER BY s DESC, concat('graph_', node)) - 1 AS rank FROM gs ORDER BY s DESC, id LIMIT 20)"""
+
+
+def graph_channel(s, d):
     """Entities of the query, expanded, scored by the weight of the kind of step; ids are graph_<name>."""
     rel = place_relations(s, d)
     q = s.createDataFrame(QT[:1], "query_id int, text string")
@@ -163,7 +169,35 @@ def _(s, d):
     for k, v in graph.TYPE_WEIGHT.items():
         w = F.when(F.col("type") == k, v).otherwise(w)
     best = out.withColumn("s", F.round(F.col("score") * w, 6)).groupBy("node").agg(F.max(F.struct("s", "type")).alias("b"))
-    return search.ranked(best.select(F.concat(F.lit("graph_"), "node").alias("id"), F.col("b.s").alias("score"), F.col("b.type").alias("exp_type")), 20, F.desc("score"), F.asc("id"))
+    return search.ranked(best.select(F.concat(F.lit("graph_"), "node").alias("id"), "node", F.col("b.s").alias("score"), F.col("b.type").alias("exp_type")), 20, F.desc("score"), F.asc("id"))
+
+
+@query("search_graph", f"WITH {GRAPH_SQL} SELECT id, score, exp_type, rank FROM gr")
+def _(s, d):
+    return graph_channel(s, d).select("id", "score", "exp_type", "rank")
+
+
+def four_channels(s, d):
+    """Semantic, BM25, graph and temporal rows with their texts and metadata; ids as text."""
+    m = memories(s, d)
+    kept = F.create_map(F.lit("wing"), "wing", F.lit("room"), "room")
+    text = m.select("id", F.col("content").alias("text"), kept.alias("metadata"))
+    rows = channels(s, d).join(text, "id", "left").select("channel", F.col("id").cast("string").alias("id"), "rank", F.coalesce("text", F.lit("")).alias("text"), "metadata")
+    g = graph_channel(s, d).select(F.lit("graph").alias("channel"), "id", "rank", F.col("node").alias("text"), F.create_map(F.lit("exp_type"), "exp_type").alias("metadata"))
+    return rows.unionByName(g)
+
+
+TEMPR_SQL = f"""{CH_SQL}, {GRAPH_SQL}, c4 AS (SELECT channel, id::VARCHAR AS id, rank FROM ch UNION ALL SELECT 'graph', id, rank FROM gr),
+f4 AS (SELECT id, round(sum(({W_SQL}) / (30 + rank + 1)), 12) AS raw, string_agg(DISTINCT channel, ',' ORDER BY channel) AS sources FROM c4 GROUP BY id),
+k4 AS (SELECT *, row_number() OVER (ORDER BY raw DESC, id) - 1 AS rank FROM f4 ORDER BY raw DESC, id LIMIT 20)"""
+
+
+@query("hybrid_search_graph", f"WITH {TEMPR_SQL} SELECT k4.id, round(raw / max(raw) OVER (), 6) AS score, sources, rank, coalesce(m.content, gr.node, '') AS text, coalesce(m.wing, '') AS wing, coalesce(gr.exp_type, '') AS exp_type FROM k4 LEFT JOIN memories m ON m.id::VARCHAR = k4.id LEFT JOIN gr ON gr.id = k4.id")
+def _(s, d):
+    """All four channels fused, with text and metadata."""
+    out = fusion.rrf_fuse_text(four_channels(s, d))
+    named = lambda k: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit("")).alias(k)
+    return out.select("id", "score", "sources", "rank", "text", named("wing"), named("exp_type"))
 
 
 @query("graph_context_text", """WITH e AS (SELECT n_name AS entity, 'part_of' AS predicate, r_name AS other FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'located_in', s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
@@ -297,16 +331,24 @@ def _(s, d):
     return search.ranked(top.union(rest), 12, F.asc("tail"), F.asc("r"), F.asc("id")).select("id", "tail", F.col("rank").alias("pos"))
 
 
-@query("rerank_llm", None)
+@query("rerank_llm", f"WITH {FUSE_SQL}, r AS (SELECT id, content AS text, score AS rrf, CASE WHEN length(substr(content, 1, 1000)) % 4 = 0 THEN score ELSE round((length(substr(content, 1, 1000)) % 100) / 100.0::DOUBLE, 6) END AS score FROM hy JOIN memories USING (id)) SELECT id, score, rrf AS rrf_score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM r ORDER BY score DESC, id LIMIT 10")
 def _(s, d):
-    """A scorer plug-in (an Arrow UDF) with the fused score where it has no answer; here one that knows short texts."""
-    @F.pandas_udf("double")
-    def scorer(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if len(t) > 2000 else min(1.0, len(set(t.split())) / 100))
+    """A model's scores, and the fused score where it gives none; this one knows the length of a text."""
+
+    def model(prompt: str, form: dict) -> str | None:
+        n = len(prompt) - len("query: license there\ntext: ")
+        return None if n % 4 == 0 else f'{{"score": {round(n % 100 / 100, 6)}}}'
 
-    h = hybrid_with_text(s, d)
-    out = h.select("id", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scorer("text"))), "score").alias("score"))
-    return search.ranked(out, 10, F.desc("score"), F.asc("id"))
+    c = hybrid_with_text(s, d).select("id", "text", F.col("score").alias("rrf_score"), "n_sources")
+    return plugins.rerank_by(plugins.llm_reranker(model), c, "license there").select("id", "score", "rrf_score", "rank")
+
+
+@query("rerank_cross_encoder", f"WITH {FUSE_SQL}, r AS (SELECT id, score AS rrf_score, round(1 / (1 + exp(-((CASE WHEN contains(substr(content, 1, 512), 'license') THEN 1 ELSE 0 END) + (CASE WHEN contains(substr(content, 1, 512), 'there') THEN 1 ELSE 0 END) - 1.0::DOUBLE))), 6) AS score FROM hy JOIN memories USING (id)) SELECT id, score, rrf_score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM r ORDER BY score DESC, id LIMIT 10")
+def _(s, d):
+    """A pair model plugged in: its logit is the number of query words in the text, less one."""
+    logits = lambda query, texts: [sum(w in t for w in query.split()) - 1.0 for t in texts]
+    c = hybrid_with_text(s, d).select("id", "text", F.col("score").alias("rrf_score"), "n_sources")
+    return plugins.rerank_by(plugins.cross_encoder(logits), c, "license there").select("id", "score", "rrf_score", "rank")
 
 
 def _budget_sql(budget: int) -> str:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.embed import NAME, hash_embedding
 from ..functions.text import path_escape, repair_mojibake, repair_nul, should_skip
 from ..operators.ingest import AUTHORITY_RANK, annotate, dedup_exact
+from ..operators.plugins import repair_document
+from ..sources.store import scratch
 from ..sources.tables import EVENTS_NOW, NOW, events, memories, table
 from .annotation import ANN_SQL
 from .registry import MEM, query
@@ -70,10 +73,14 @@ def _(s, d):
     return a.select("id", order.alias("authority_rank"), "trust_score", F.substring("content", 1, 500).alias("content"))
 
 
-@query("sink_memory", "SELECT doc_id AS id, length(text) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@query("sink_memory", "SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'stored' ELSE 'new' END AS origin, length(text) AS n FROM documents")
 def _(s, d):
-    """Insert-or-ignore: labelled documents are stored already."""
-    return memories(s, d).join(table(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti").select("id", F.length("content").cast("long").alias("n"))
+    """Insert-or-ignore into a written table: labelled documents are there already and stay as they are."""
+    m = memories(s, d).select("id", "content")
+    store = scratch(s)
+    store.append("memories", m.join(table(s, d, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi").withColumn("origin", F.lit("stored")))
+    store.insert_new("memories", m.withColumn("origin", F.lit("new")))
+    return store.read("memories").select("id", "origin", F.length("content").cast("long").alias("n"))
 
 
 @query("sink_vector_one", "SELECT doc_id AS id, concat_ws('/', lang, source, substr(sha256(text), 1, 16)) AS drawer FROM documents")
@@ -81,17 +88,29 @@ def _(s, d):
     return memories(s, d).select("id", F.concat_ws("/", "wing", "room", F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 16)).alias("drawer"))
 
 
-@query("sink_vector_batch", None)
-def _(s, d):
-    from ..functions.embed import hash_embedding
+def _embed(rows):
+    return rows.select("id", hash_embedding(F.col("content")).alias("embedding"))
 
-    m = memories(s, d)
-    return dedup_exact(m, "content", "id").join(m, "id").select("id", "content_hash", F.to_json(hash_embedding(F.col("content"))).alias("embedding"))
+
+@query("sink_vector_batch", "SELECT min(doc_id) AS id, sha256(coalesce(text, '')) AS content_hash, 64::BIGINT AS n FROM documents GROUP BY coalesce(text, '')")
+def _(s, d):
+    """Two batches with a common half: memories and vectors are written, a text that has a vector is not embedded again."""
+    m = memories(s, d).select("id", F.coalesce("content", F.lit("")).alias("content"))
+    store = scratch(s)
+    store.sink_batch(m.filter("id % 3 < 2"), _embed)
+    store.sink_batch(m.filter("id % 3 > 0"), _embed)
+    v = store.read("vectors").select("content_hash", F.size("embedding").cast("long").alias("n"))
+    first = store.read("memories").groupBy(F.sha2(F.col("content").cast("binary"), 256).alias("content_hash")).agg(F.min("id").alias("id"))
+    return v.join(first, "content_hash").select("id", "content_hash", "n")
 
 
-@query("sink_verbatim", "SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
+@query("sink_verbatim", "SELECT conv_id, 2 * count(*) AS n, 2 * sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")
 def _(s, d):
-    return table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Raw rows appended twice: duplicates stay."""
+    rows, store = table(s, d, "conversations"), scratch(s)
+    for _ in range(2):
+        store.append("verbatim", rows, "conv_id")
+    return store.read("verbatim", "conv_id").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("sink_write_buffer", "SELECT user_id, event_type, arg_max(round(value, 6), event_id) AS value FROM events GROUP BY 1, 2")
@@ -99,16 +118,22 @@ def _(s, d):
     return events(s, d).groupBy("user_id", "event_type").agg(F.max_by(F.round("value", 6), "event_id").alias("value"))
 
 
-@query("delete_by_id", "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("delete_by_id", "SELECT doc_id AS id, length(text) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(s, d):
-    gone = table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
-    return memories(s, d).select("id").join(gone, "id", "left_anti")
+    store = scratch(s)
+    store.append("memories", memories(s, d).select("id", "content"))
+    store.delete("memories", table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")))
+    return store.read("memories").select("id", F.length("content").cast("long").alias("n"))
 
 
-@query("ttl_expire_memories", f"SELECT count(*) FILTER (floor(epoch(ts))::BIGINT + floor(value)::BIGINT * 86400 >= {EVENTS_NOW}) AS n_alive, count(*) FILTER (floor(epoch(ts))::BIGINT + floor(value)::BIGINT * 86400 < {EVENTS_NOW}) AS n_expired FROM events")
+@query("ttl_expire_memories", f"SELECT event_id AS id, expires_at FROM (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN floor(epoch(ts))::BIGINT + floor(value)::BIGINT * 86400 END AS expires_at FROM events) WHERE expires_at IS NULL OR expires_at >= {EVENTS_NOW}")
 def _(s, d):
-    expires = F.col("at") + F.floor("value").cast("long") * 86400
-    return events(s, d).agg(F.count_if(expires >= EVENTS_NOW).alias("n_alive"), F.count_if(expires < EVENTS_NOW).alias("n_expired"))
+    """The rows that outlive the time, a fifth of them without one."""
+    e = events(s, d).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 > 0, F.col("at") + F.floor("value").cast("long") * 86400).alias("expires_at"))
+    store = scratch(s)
+    store.append("memories", e)
+    store.expire("memories", EVENTS_NOW)
+    return store.read("memories").select("id", "expires_at")
 
 
 @query("ttl_expire_personas", f"SELECT user_id FROM events GROUP BY 1 HAVING max(floor(epoch(ts))::BIGINT) + 25 * 86400 >= {EVENTS_NOW} + 24 * 86400")
@@ -121,18 +146,33 @@ def _(s, d):
     return events(s, d).groupBy(F.col("event_type").alias("key")).agg(F.max_by("props", "event_id").alias("value"))
 
 
-@query("rebuild_index", None)
+@query("rebuild_index", "SELECT doc_id AS id, sha256(coalesce(text, '')) AS content_hash, 64::BIGINT AS n FROM documents")
 def _(s, d):
-    from ..functions.embed import hash_embedding
+    """All vectors anew from the memories; vectors of rows that are not there go."""
+    m = memories(s, d).select("id", F.coalesce("content", F.lit("")).alias("content"))
+    store = scratch(s)
+    store.append("memories", m)
+    store.append("vectors", _embed(m.select((F.col("id") + 10_000_000).alias("id"), "content")).withColumn("content_hash", F.lit("old")))
+    store.rebuild(_embed)
+    return store.read("vectors").select("id", "content_hash", F.size("embedding").cast("long").alias("n"))
 
-    return memories(s, d).select("id", F.to_json(hash_embedding(F.col("content"))).alias("embedding"))
 
-
-@query("embedder_identity_check", "SELECT 'hashing-64' AS stored, 'hashing-64' AS current, true AS same")
+@query("replay_annotations", f"WITH {ANN_SQL} SELECT id, authority, trust_score FROM ann")
 def _(s, d):
-    from ..functions.embed import NAME
+    """Stored annotations of an older rule, overwritten by key with those of today."""
+    m = memories(s, d)
+    store = scratch(s)
+    store.append("annotations", m.select("id", F.lit("unknown").alias("authority"), F.lit(0.0).alias("trust_score")))
+    store.upsert("annotations", annotate(m).select("id", "authority", "trust_score"))
+    return store.read("annotations").select("id", "authority", "trust_score")
 
-    return s.range(1).select(F.lit(NAME).alias("stored"), F.lit(NAME).alias("current"), F.lit(True).alias("same"))
+
+@query("embedder_identity_check", "SELECT label, 'hashing-64' AS stored, CASE WHEN label % 2 = 0 THEN 'hashing-64' ELSE concat('other-', label::VARCHAR) END AS current, label % 2 = 0 AS same, min(len(embedding))::BIGINT AS n FROM embeddings GROUP BY label")
+def _(s, d):
+    """The embedder that a table was written with against the one in use, for each label; odd labels use others."""
+    written = table(s, d, "embeddings").groupBy("label").agg(F.min(F.size("embedding")).cast("long").alias("n")).withColumn("stored", F.lit(NAME))
+    current = F.when(F.col("label") % 2 == 0, NAME).otherwise(F.concat(F.lit("other-"), F.col("label").cast("string")))
+    return written.withColumn("current", current).select("label", "stored", "current", (F.col("stored") == F.col("current")).alias("same"), "n")
 
 
 @query("store_health", "SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_missing, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS n_orphans")
@@ -249,6 +289,15 @@ def _(s, d):
     return memories(s, d).select("id", F.md5(repair_mojibake(spoilt).cast("binary")).alias("h"))
 
 
+@query("repair_document", "SELECT doc_id AS id, md5(replace(text, ' ', '')) AS h FROM documents")
+def _(s, d):
+    """Spaces turned into NULs and letters spoilt; both repairs in order."""
+    from functools import reduce
+
+    spoilt = reduce(lambda c, p: F.replace(c, F.lit(p), F.lit(p.encode().decode("cp1252"))), "éèêçñóúü", F.replace("content", F.lit(" "), F.lit("\x00")))
+    return memories(s, d).select("id", F.md5(repair_document(spoilt).cast("binary")).alias("h"))
+
+
 @query("path_escape", "SELECT page_id, replace(replace(replace(replace(replace(url, '%', '%25'), '#', '%23'), '&', '%26'), '?', '%3F'), '=', '%3D') AS url FROM pages")
 def _(s, d):
     return table(s, d, "pages").select("page_id", path_escape(F.col("url")).alias("url"))

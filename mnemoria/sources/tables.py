@@ -41,10 +41,9 @@ def place_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands that share an order, as co_occurs_with edges (subject < object) of at least the mean weight."""
+    """Brands that share an order, as co_occurs_with edges (subject < object), weighted by their orders."""
     pairs = order_pairs(spark, sf_dir, "p_brand").groupBy("subject", "object").agg(F.count("*").alias("weight"))
-    mean = pairs.agg(F.avg("weight").alias("mean"))
-    return pairs.join(F.broadcast(mean), F.col("weight") >= F.col("mean")).select("subject", F.lit("co_occurs_with").alias("predicate"), "object", F.col("weight").cast("double").alias("weight"))
+    return pairs.select("subject", F.lit("co_occurs_with").alias("predicate"), "object", F.col("weight").cast("double").alias("weight"))
 
 
 def order_pairs(spark: SparkSession, sf_dir: str, attribute: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mnemoria.errors import StoreError
 from mnemoria.functions import text
 from mnemoria.operators import beliefs, evaluation, fusion, graph, ingest, search
 from mnemoria.plans import pql
@@ -96,5 +97,5 @@ def test_pql():
     assert pql.parse("FIND old notes in en/src1 top_k=3") == {"action": "find", "top_k": 3, "scope": "en/src1", "query": "old notes"}
     assert pql.parse("add hello TO user/home") == {"action": "add", "content": "hello", "wing": "user", "room": "home"}
     assert pql.parse("status") == {"action": "status"}
-    with pytest.raises(ValueError):
+    with pytest.raises(StoreError):
         pql.parse("DROP all")

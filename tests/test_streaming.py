@@ -34,3 +34,33 @@ def test_sink_is_idempotent(spark, tmp_path):
     for _ in range(2):
         write(spark.range(3), 0)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_names_are_forgotten(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(n, t) for n, t in x], "name string, at string").select("name", F.to_timestamp("at").alias("ts"))
+    source, out = str(tmp_path / "in"), {}
+    schema = rows(("a", "2024-01-01")).schema
+
+    def run(batch):
+        batch.write.mode("append").parquet(source)
+        stream = ingest.registry_with_ttl(spark.readStream.schema(schema).parquet(source), "ts", 3600, delay="1 second")
+
+        def sink(df, _):
+            out.update({r["name"]: (r["count"], r["state"]) for r in df.collect()})
+
+        stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
+    run(rows(*[("a", "2024-01-01 00:00:00")] * 3, ("b", "2024-01-01 00:00:10")))
+    assert out == {"a": (3, "confirmed"), "b": (1, "candidate")}
+    run(rows(("b", "2024-01-01 00:50:00"), ("c", "2024-01-01 01:30:00")))
+    run(rows(("c", "2024-01-01 01:31:00")))
+    assert out["a"] == (0, "expired") and out["b"] == (2, "candidate") and out["c"] == (2, "candidate")
+
+
+def test_quarantine(spark, tmp_path):
+    source, bad, good = (str(tmp_path / x) for x in ("in", "bad", "good"))
+    spark.createDataFrame([(1, "fine"), (2, None), (3, "also fine")], "id long, text string").write.parquet(source)
+    sink = ingest.quarantine_sink(ingest.idempotent_sink(good), bad, F.when(F.col("text").isNull(), "no text"))
+    ingest.micro_batches(spark.readStream.schema("id long, text string").parquet(source), sink, str(tmp_path / "c"), until_empty=True).awaitTermination()
+    assert {r["id"] for r in spark.read.parquet(good).collect()} == {1, 3}
+    assert [(r["id"], r["problem"]) for r in spark.read.parquet(bad).collect()] == [(2, "no text")]
