@@ -72,7 +72,8 @@ def llm_reranker(model: LanguageModel) -> Reranker:
     def rerank(candidates: DataFrame, query: str) -> DataFrame:
         prompt = F.concat(F.lit(f"query: {query}\ntext: "), F.substring("text", 1, 1000))
         score = parsed(ask(model, prompt), "score double")["score"]
-        return candidates.select("id", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), "rrf_score").alias("score"))
+        bounded = F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))  # both skip nulls
+        return candidates.select("id", F.coalesce(bounded, "rrf_score").alias("score"))
 
     return rerank
 

@@ -192,7 +192,7 @@ f4 AS (SELECT id, round(sum(({W_SQL}) / (30 + rank + 1)), 12) AS raw, string_agg
 k4 AS (SELECT *, row_number() OVER (ORDER BY raw DESC, id) - 1 AS rank FROM f4 ORDER BY raw DESC, id LIMIT 20)"""
 
 
-@query("hybrid_search_graph", f"WITH {TEMPR_SQL} SELECT k4.id, round(raw / max(raw) OVER (), 6) AS score, sources, rank, coalesce(m.content, gr.node, '') AS text, coalesce(m.wing, '') AS wing, coalesce(gr.exp_type, '') AS exp_type FROM k4 LEFT JOIN memories m ON m.id::VARCHAR = k4.id LEFT JOIN gr ON gr.id = k4.id")
+@query("hybrid_search_graph", f"WITH {TEMPR_SQL} SELECT k4.id, round(raw / max(raw) OVER (), 6) AS score, sources, k4.rank, coalesce(m.content, gr.node, '') AS text, coalesce(m.wing, '') AS wing, coalesce(gr.exp_type, '') AS exp_type FROM k4 LEFT JOIN memories m ON m.id::VARCHAR = k4.id LEFT JOIN gr ON gr.id = k4.id")
 def _(s, d):
     """All four channels fused, with text and metadata."""
     out = fusion.rrf_fuse_text(four_channels(s, d))
