@@ -39,13 +39,15 @@ LEAST_EXACT = 5
 
 #: Scripts written without spaces between words.
 _DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: All of their letters lie here; a range is looked for faster than scripts are.
+_MAY_BE_DENSE = r"[\x{0E00}-\x{1FFF}\x{2E80}-\x{10FFFF}]"
 _APART = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def tokens_of(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    spaced = F.when(low.rlike(_DENSE), F.regexp_replace(low, rf"({_DENSE}\p{{M}}*)", " $1 ")).otherwise(low)
-    return F.array_remove(F.split(spaced, _APART), "")
+    text = F.coalesce(text, F.lit(""))
+    spaced = F.when(text.rlike(_MAY_BE_DENSE), F.regexp_replace(text, rf"({_DENSE}\p{{M}}*)", " $1 ")).otherwise(text)
+    return F.array_remove(F.split(F.lower(spaced), _APART), "")
 
 
 def _seeds_at(tokens: Column, at: Column, short: list[int]) -> Column:
@@ -60,7 +62,9 @@ def _seeds_at(tokens: Column, at: Column, short: list[int]) -> Column:
 
 def _places(rows: DataFrame, tokens: str, short: list[int]) -> DataFrame:
     """Each row of rows with each of its seeds: its columns, at, seed."""
-    placed = rows.filter(F.size(tokens) > 0).select("*", F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)).alias("at"))
+    # no filter on the tokens: it would be pushed below them and make them twice
+    every = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1))
+    placed = rows.select("*", F.explode(every).alias("at"))
     return placed.select("*", F.explode(_seeds_at(F.col(tokens), F.col("at"), short)).alias("seed")).filter("seed is not null").drop(tokens)
 
 
