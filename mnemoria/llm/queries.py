@@ -1,5 +1,5 @@
 """Queries of this subpackage, by the names that the driver knows. No oracle: SQL cannot state them;
-tests/llm holds each against a brute-force version."""
+tests/llm holds them against brute-force versions, exact round trips or held-out accuracy."""
 
 from __future__ import annotations
 
