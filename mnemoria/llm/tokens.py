@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of texts that are encoded together, about; a longer text is encoded alone.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 #: Pieces whose ids are gathered at a time.
-GATHER_PIECES = 1 << 19
+GATHER_PIECES = 1 << 18
 #: Most entries of the memos of pieces and of runs, and most bytes of the pieces in all.
 MEMO_PIECES, MEMO_RUNS, MEMO_BYTES = 2_500_000, 600_000, 80_000_000
 
@@ -190,6 +190,7 @@ class PieceEncoder:
                 self.runs = {}
             if len(self.starts) > MEMO_PIECES or self.known.nbytes > MEMO_BYTES:
                 self._empty()
+            pa.default_memory_pool().release_unused()  # else each worker keeps its largest batch
             at = to
         return np.concatenate(ids), np.concatenate(ends)
 
