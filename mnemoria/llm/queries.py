@@ -1,5 +1,5 @@
-"""Queries of this subpackage, by the names that the driver knows. No oracle: SQL cannot state them;
-tests/llm holds them against brute-force versions, exact round trips or held-out accuracy."""
+"""Queries of this subpackage, by the names that the driver knows. Where SQL cannot state one, tests/llm
+holds it against a brute-force version, an exact round trip or held-out accuracy."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import filter_audit
 from .chat import op5_chat
 from .decontam import op7_decontam
+from .filter_audit import op13_filter_audit
 from .gif import op3_gif
 from .langid import op9_langid
 from .neardup import op2_neardup
@@ -20,8 +22,8 @@ from .substrings import op4_repeats
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_neardup, op3_gif, op4_repeats, op5_chat, op6_ctw, op7_decontam, op8_tokens, op9_langid, op10_pii)}
+    return {f.__name__: f for f in (op1_pack, op2_neardup, op3_gif, op4_repeats, op5_chat, op6_ctw, op7_decontam, op8_tokens, op9_langid, op10_pii, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_filter_audit": filter_audit.SQL}
