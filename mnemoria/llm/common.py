@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch while a table is written: documents are of unbounded length, so batches
 #: hold few of them.
@@ -83,14 +84,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow by slices of some rows each; fn turns one slice into some batches."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow by slices of some rows each; fn, which takes columns by place, turns one slice into some batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), ROWS_PER_BATCH):
                 yield from fn(batch.slice(at, ROWS_PER_BATCH))
 
+    if any(set(".`") & set(c) for c in df.columns):  # mapInArrow would take such a name apart
+        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
     return df.mapInArrow(run, schema)
 
 
@@ -122,6 +125,18 @@ def _offsets(column: pa.Array) -> np.ndarray:
     return np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1] if len(wide) else np.zeros(1, np.int64)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names: a dot in a name is no struct field."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def id_bucket(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

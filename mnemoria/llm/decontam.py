@@ -9,7 +9,8 @@ The plan is the same at every size. A bitmap of FILTER_WORDS longs has a bit for
 training positions whose bit is not set cannot be hits and go no further. It has a fixed size, and a
 benchmark that fills it lets more through and loses nothing. What is left is (document, place, hash)
 alone; hits are brought down to distinct (document, item, diagonal), and only then are the texts of the
-documents that have any joined back.
+documents that have any joined back, cut into stretches: a diagonal meets the one stretch that it needs and
+never the whole text, so a repetitive text with a diagonal at each place costs its length and not the square.
 
 Tokens are lower-cased runs of letters, marks and digits; in scripts that are written without spaces,
 each letter with its marks is a token. Items of fewer tokens than the shortest mask are found word for
@@ -36,6 +37,8 @@ FILTER_WORDS = 1 << 18
 LEAST_RUN, LEAST_SHARE = 12, 0.6
 #: Shorter items count only where they are a whole document.
 LEAST_EXACT = 5
+#: Tokens of a stretch of a document, or as many as the longest item has.
+LEAST_STRETCH = 1024
 
 #: Scripts written without spaces between words.
 _DENSE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
@@ -69,12 +72,13 @@ def _places(rows: DataFrame, tokens: str, short: list[int]) -> DataFrame:
 
 
 def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
-    """items (item_id, item_tokens) -> (seed, item_id, at): spaced seeds, or the whole of a short item."""
-    spaced = _places(items.filter(F.size("item_tokens") >= SHORTEST), "item_tokens", [])
+    """items (item_id, item_tokens) -> (seed, item_id, at, n): spaced seeds, or the whole of a short item; n: its tokens."""
+    items = items.withColumn("n", F.size("item_tokens"))
+    spaced = _places(items.filter(F.col("n") >= SHORTEST), "item_tokens", [])
     for n in short:  # a longer item's start is no short item
         own = _seeds_at(F.col("item_tokens"), F.lit(0), [n])[len(MASKS)]
-        spaced = spaced.unionByName(items.filter(F.size("item_tokens") == n).select("item_id", F.lit(0).alias("at"), own.alias("seed")))
-    return spaced.select("seed", "item_id", "at").distinct()
+        spaced = spaced.unionByName(items.filter(F.col("n") == n).select("item_id", "n", F.lit(0).alias("at"), own.alias("seed")))
+    return spaced.select("seed", "item_id", "at", "n").distinct()
 
 
 def _word_of(seed: Column) -> Column:
@@ -100,6 +104,13 @@ def _best_run(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), start, step)["best"]
 
 
+def _stretches(texts: DataFrame, length: int) -> DataFrame:
+    """texts (d, t, doc_tokens) -> (d, t, stretch, tokens): twice length tokens from each multiple of length on."""
+    cut = lambda k: F.struct(k.alias("stretch"), F.slice("doc_tokens", k * length + 1, 2 * length).alias("tokens"))
+    every = F.when(F.size("doc_tokens") > 0, F.sequence(F.lit(0), F.floor((F.size("doc_tokens") - 1) / length).cast("int")))
+    return texts.select("d", "t", F.explode(F.transform(every, cut)).alias("s")).select("d", "t", "s.*")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, run, n_item_tokens, n_equal): one row for each document and item that overlap."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens_of(F.col(item_text)).alias("item_tokens"))
@@ -111,15 +122,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     places = _places(named.select("doc_id", "th", tokens_of(F.col("text")).alias("doc_tokens")), "doc_tokens", short)
     passed = places.filter(F.getbit(F.get(_bitmap(seeds), _word_of(F.col("seed"))), F.col("seed").bitwiseAND(63)) == 1)
     hits = passed.select("doc_id", "th", F.col("at").alias("doc_at"), "seed").join(seeds, "seed")
-    lines = materialize(hits.select("doc_id", "th", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct(), "lines")
+    lines = materialize(hits.select("doc_id", "th", "item_id", "n", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct(), "lines")
 
+    length = max(LEAST_STRETCH, items.agg(F.max(F.size("item_tokens"))).first()[0] or 0)
     found = lines.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
     same = lambda a, b: a["doc_id"].eqNullSafe(b["d"]) & (a["th"] == b["t"])
-    texts = named.join(found, same(named, found), "left_semi").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), tokens_of(F.col("text")).alias("doc_tokens")).dropDuplicates(["d", "t"])
-    laid = lines.join(texts, same(lines, texts)).join(items, "item_id")
+    texts = named.join(found, same(named, found), "left_semi").dropDuplicates(["doc_id", "th"])
+    parts = _stretches(texts.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), tokens_of(F.col("text")).alias("doc_tokens")), length)
+    start = F.greatest(F.col("diagonal"), F.lit(0))
+    lines_at = lines.withColumn("at", F.floor(start / length).cast("int"))
+    laid = lines_at.join(parts, same(lines_at, parts) & (lines_at["at"] == parts["stretch"]))
     # the part of the document that the item would cover on this diagonal, and the part of the item
-    part = F.slice("doc_tokens", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item_tokens") + F.least(F.col("diagonal"), F.lit(0)))
-    laid = laid.select("doc_id", "item_id", "item_tokens", "diagonal", part.alias("part"))
+    part = F.slice("tokens", start - F.col("at") * length + 1, F.col("n") + F.least(F.col("diagonal"), F.lit(0)))
+    laid = laid.select("doc_id", "item_id", "diagonal", part.alias("part")).join(items, "item_id")
     covered = F.slice("item_tokens", F.greatest(-F.col("diagonal"), F.lit(0)) + 1, F.size("part"))
     n_equal = F.size(F.filter(F.zip_with("part", covered, lambda x, y: x.eqNullSafe(y)), lambda same: same))
     scored = laid.select("doc_id", "item_id", F.size("item_tokens").alias("n"), _best_run(F.col("part"), covered).alias("run"), n_equal.alias("equal"))

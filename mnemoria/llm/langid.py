@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_map, id_bucket, read
+from .common import arrow_map, columns_of, id_bucket, read, unused
 
 #: Families of language codes.
 FAMILIES = {
@@ -162,7 +163,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
-    """The columns `keep` of docs, then the language and its score under `names`, from the text alone."""
+    """The columns `keep` of docs, in their order there, then the language and its score under `names`, from the text alone."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -176,9 +177,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], names: tuple[
                 out[k] = found
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*keep, *names])
 
-    rows = docs.select(F.col("text").alias("__text"), *keep)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
-    return arrow_map(rows, run, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
+    kept = docs.select([c for name, c in zip(docs.columns, columns_of(docs), strict=True) if name in keep])
+    keep = kept.columns
+    rows = docs.select(F.col("text").alias(unused(docs, "text_read")), *columns_of(kept))
+    return arrow_map(rows, run, StructType([*rows.schema.fields[1:], StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def held_out_rows() -> Column:
