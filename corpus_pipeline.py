@@ -5,13 +5,14 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoria.llm.common import materialize, read
+from mnemoria.llm.common import columns_of, materialize, read, unused
 from mnemoria.llm.decontam import contaminated
 from mnemoria.llm.langid import UND, held_out_rows, predict, train
 from mnemoria.llm.neardup import near_duplicates
@@ -19,11 +20,10 @@ from mnemoria.llm.packing import pack, token_pieces
 from mnemoria.llm.pii import redact
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    """The name, with underscores before it until no column has it."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name = "_" + name
-    return name
+def _ordered(df: DataFrame) -> Column:
+    """All columns as something that has an order: maps, wherever they stand, have none and count as JSON."""
+    each = [F.to_json(F.struct(c)) if re.search("map|variant", f.dataType.simpleString()) else c for c, f in zip(columns_of(df), df.schema.fields, strict=True)]
+    return F.struct(*each)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,22 +33,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     other columns are kept, whatever their names; an empty table stays empty.
     """
     model = train(docs.filter(~held_out_rows()))
-    names = tuple(_unused(docs, n) for n in ("lang_pred", "lang_score"))
-    return predict(docs, model, docs.columns, names).filter(F.col(names[0]) != UND).select(*docs.columns)
+    names = tuple(unused(docs, n) for n in ("lang_pred", "lang_score"))
+    return predict(docs, model, docs.columns, names).filter(F.col(names[0]) != UND).select(*columns_of(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each group; shingles of five words, similarity 0.8 or more.
 
     Rows of a null id belong to no group and stay. Of rows that repeat a kept id the smallest stays, by
-    all columns in order. Documents without words are their own groups. Other columns are kept.
+    all columns in order (maps as JSON). Documents without words are their own groups. Other columns are kept.
     """
     found = materialize(near_duplicates(docs).select("doc_id", "kept"), "kept")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     twice = materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))
+    once = kept.join(twice, "doc_id", "left_anti").select(*columns_of(docs))
+    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns_of(docs)), _ordered(docs)).alias("row")).select("row.*")
     return once.union(again)
 
 
@@ -59,7 +59,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     repeat an id go together; an empty benchmark drops nothing.
     """
     hits = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hits, "doc_id", "left_anti").select(*columns_of(docs))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
