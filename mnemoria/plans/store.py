@@ -167,12 +167,24 @@ def _(s, d):
     return store.read("annotations").select("id", "authority", "trust_score")
 
 
-@query("embedder_identity_check", "SELECT label, 'hashing-64' AS stored, CASE WHEN label % 2 = 0 THEN 'hashing-64' ELSE concat('other-', label::VARCHAR) END AS current, label % 2 = 0 AS same, min(len(embedding))::BIGINT AS n FROM embeddings GROUP BY label")
+@query("embedder_identity_check", "SELECT label, CASE WHEN label % 2 = 0 THEN 'hashing-64' ELSE 'hashing-32' END AS stored, 'hashing-64' AS current, label % 2 = 0 AS same, min(len(embedding))::BIGINT AS n FROM embeddings GROUP BY label")
 def _(s, d):
-    """The embedder that a table was written with against the one in use, for each label; odd labels use others."""
-    written = table(s, d, "embeddings").groupBy("label").agg(F.min(F.size("embedding")).cast("long").alias("n")).withColumn("stored", F.lit(NAME))
-    current = F.when(F.col("label") % 2 == 0, NAME).otherwise(F.concat(F.lit("other-"), F.col("label").cast("string")))
-    return written.withColumn("current", current).select("label", "stored", "current", (F.col("stored") == F.col("current")).alias("same"), "n")
+    """The embedder that a table of vectors names as its own, written with it and read back, against the one in use.
+
+    Vectors of odd labels stand in a table that an older embedder wrote.
+    """
+    v, store = table(s, d, "embeddings"), scratch(s)
+    with store.transaction() as t:
+        for name, rows, embedder in (("vectors", v.filter("label % 2 = 0"), NAME), ("vectors_before", v.filter("label % 2 <> 0"), "hashing-32")):
+            t.append(name, rows.select("vec_id", "label", "embedding"), "vec_id")
+            t.set_property(name, "embedder", embedder)
+
+    def told(name):
+        stored = store.properties(name)["embedder"]
+        by_label = store.read(name, "vec_id").groupBy("label").agg(F.min(F.size("embedding")).cast("long").alias("n"))
+        return by_label.select("label", F.lit(stored).alias("stored"), F.lit(NAME).alias("current"), F.lit(stored == NAME).alias("same"), "n")
+
+    return told("vectors").unionByName(told("vectors_before"))
 
 
 @query("store_health", "SELECT (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) FROM embeddings) AS n_vectors, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS n_missing, (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS n_orphans")

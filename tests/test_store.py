@@ -14,7 +14,7 @@ ROWS = [(k, f"text {k}", None if k % 3 else 100 * k) for k in range(40)]
 
 @pytest.fixture
 def store(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/store", buckets=4)
+    s = Store(spark, f"file://{tmp_path}/store")
     s.append("memories", spark.createDataFrame(ROWS, "id long, content string, expires_at long"))
     return s
 
@@ -30,11 +30,100 @@ def test_append_and_upsert(spark, store):
     assert store.read("memories").count() == 41
 
 
-def test_only_touched_buckets_are_rewritten(spark, store, tmp_path):
+def test_a_delete_rewrites_nothing(spark, store, tmp_path):
     before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
-    store.delete("memories", spark.createDataFrame([(5,)], "id long"))
-    kept = [p for p in before if p.exists() and p.stat().st_mtime_ns == before[p]]
-    assert 0 < len(kept) < len(before) and 5 not in _rows(store.read("memories"))
+    store.delete("memories", spark.createDataFrame([(5,), (None,), (5,), (1000,)], "id long"))
+    assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in before.items())
+    assert set(_rows(store.read("memories"))) == set(range(40)) - {5}
+    store.append("memories", spark.createDataFrame([(5, "again", None)], "id long, content string, expires_at long"))
+    assert _rows(store.read("memories"))[5] == "again"  # the delete vector is older than the row
+
+
+def test_readers_stay_on_their_version(spark, store):
+    first = store.latest()
+    pinned, lazy = store.at(first), store.read("memories")
+    store.upsert("memories", spark.createDataFrame([(1, "one", None)], "id long, content string, expires_at long"))
+    store.delete("memories", spark.createDataFrame([(2,)], "id long"))
+    old, new = {k: t for k, t, _ in ROWS}, {**{k: t for k, t, _ in ROWS if k != 2}, 1: "one"}
+    assert _rows(pinned.read("memories")) == _rows(lazy) == old and _rows(store.read("memories")) == new
+    assert store.latest() == first + 2 and _rows(store.at(first + 1).read("memories")) == {**old, 1: "one"}
+    with pytest.raises(StoreError):
+        pinned.append("memories", lazy)
+    store.compact("memories")
+    assert _rows(store.read("memories")) == new and _rows(pinned.read("memories")) == old
+    entry = store.state()["tables"]["memories"]
+    assert len(entry["adds"]) == 1 and not entry["deletes"]
+    store.vacuum()
+    assert _rows(store.read("memories")) == new
+    with pytest.raises(StoreError):
+        pinned.read("memories")
+
+
+@pytest.mark.parametrize("step", range(9))
+def test_a_failure_between_any_two_steps(spark, tmp_path, monkeypatch, step):
+    """Each write of files and of versions fails once; what a reader sees is one version or another, never a mixture."""
+    from mnemoria.sources import log, store as module
+
+    s = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda ids, word: spark.createDataFrame([(k, word) for k in ids], "id long, content string")
+    with s.transaction() as t:
+        t.append("a", rows(range(4), "old"))
+        t.append("b", rows(range(4), "old"))
+    before = s.latest()
+    calls = [0]
+
+    def failing(f):
+        def run(*args):
+            calls[0] += 1
+            if calls[0] == step + 1:
+                raise OSError("no space left")
+            return f(*args)
+
+        return run
+
+    monkeypatch.setattr(module.Transaction, "_write", failing(module.Transaction._write))
+    monkeypatch.setattr(log.Folder, "write", failing(log.Folder.write))
+    monkeypatch.setattr(log.Folder, "rename", failing(log.Folder.rename))
+
+    def change():
+        with s.transaction() as t:
+            t.upsert("a", rows([3, 9], "new"))
+            t.delete("b", rows([0], ""))
+            t.insert_new("b", rows([1, 7], "new"))
+            t.upsert("c", rows([1], "new"))
+
+    old, new = ({k: "old" for k in range(4)}, {k: "old" for k in range(4)}), ({0: "old", 1: "old", 2: "old", 3: "new", 9: "new"}, {1: "old", 2: "old", 3: "old", 7: "new"})
+    try:
+        change()
+        failed = False
+    except (StoreError, OSError):
+        failed = True
+    assert failed == (step < 7)  # five file sets, the draft of the version and its rename
+    assert (_rows(s.read("a")), _rows(s.read("b"))) == (old if failed else new) and s.exists("c") == (not failed)
+    assert s.latest() == before + (not failed)
+    if failed:
+        change()
+        assert (_rows(s.read("a")), _rows(s.read("b"))) == new
+    s.vacuum()
+    assert (_rows(s.read("a")), _rows(s.read("b"))) == new and len(list((tmp_path / "s" / "data").iterdir())) == 7
+
+
+def test_writers_at_once(spark, store):
+    """Of two writers from one version an append goes after the other, a delete fails."""
+    more = spark.createDataFrame([(100, "x", None)], "id long, content string, expires_at long")
+    one, two, three = store.transaction(), store.transaction(), store.transaction()
+    one.append("memories", more)
+    two.append("memories", more)
+    three.delete("memories", more)
+    one.commit()
+    two.commit()
+    with pytest.raises(StoreError):
+        three.commit()
+    assert store.read("memories").count() == 42
+    with store.transaction() as t:
+        t.set_property("memories", "embedder", "hashing-64")
+    store.append("memories", more)
+    assert store.properties("memories") == {"embedder": "hashing-64"}
 
 
 def test_delete_all_and_write_again(spark, store):
@@ -57,7 +146,7 @@ def test_missing_table(store):
 
 
 def test_batch_is_taken_back(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/s", buckets=2)
+    s = Store(spark, f"file://{tmp_path}/s")
     embed = lambda rows: rows.select("id", F.array(F.length("content").cast("double")).alias("embedding"))
     first = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "bb")], "id long, content string")
     s.sink_batch(first, embed)
