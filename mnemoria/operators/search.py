@@ -127,29 +127,35 @@ def ann_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return near.join(enough, "query_id", "left_semi").union(exact).select("query_id", "vec_id", "distance", "rank")
 
 
+def bm25(rows: DataFrame, n_terms: int) -> DataFrame:
+    """rows with f<i> (frequency), n<i> (documents), d, n and avgdl -> the same with bm25 and score_compat."""
+    parts = []
+    for i in range(n_terms):
+        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
+        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
+        f = F.col(f"f{i}")
+        parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avgdl"))))
+    out = rows.withColumn("bm25", F.round(reduce(lambda a, b: a + b, parts, F.lit(0.0)), 6))
+    return out.withColumn("score_compat", F.round(1 / (1 + F.col("bm25")), 6))
+
+
 def search_bm25(mem: DataFrame, terms: list[str], k: int | None = 20, where: Column | None = None) -> DataFrame:
     """Phrases as substrings over content, wing and room; (id, content, bm25, score_compat, rank).
 
     One scan makes term frequencies and lengths; document counts and the mean length are one row, which
-    is broadcast back. Terms under three characters match nothing. score_compat is 1 / (1 + bm25).
+    is broadcast back. For tables without a stored index (sources.text_index), which reads a few lists
+    instead. Terms under three characters match nothing. score_compat is 1 / (1 + bm25).
     """
     terms = [t.lower() for t in terms if len(t) >= 3]
     cols = ("content", "wing", "room")
-    length = reduce(lambda a, b: a + b, [F.greatest(F.length(c) - 2, F.lit(0)) for c in cols])
-    tf = [reduce(lambda a, b: a + b, [occurrences(F.col(c), t) for c in cols]).alias(f"f{i}") for i, t in enumerate(terms)]
+    none = F.lit(0)
+    length = reduce(lambda a, b: a + b, [F.coalesce(F.greatest(F.length(c) - 2, none), none) for c in cols])
+    tf = [reduce(lambda a, b: a + b, [F.coalesce(occurrences(F.col(c), t), none) for c in cols]).alias(f"f{i}") for i, t in enumerate(terms)]
     rows = mem.select("id", "content", "wing", "room", length.cast("double").alias("d"), *tf)
     stats = rows.agg(F.count("*").alias("n"), F.avg("d").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))])
-    scored = rows.join(F.broadcast(stats))
-    parts = []
-    for i in range(len(terms)):
-        idf = F.log((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        f = F.col(f"f{i}")
-        parts.append(idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("d") / F.col("avgdl"))))
     hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(terms))], F.lit(False))
-    hits = scored.filter(hit if where is None else hit & where)
-    out = hits.select("id", "content", F.round(reduce(lambda a, b: a + b, parts, F.lit(0.0)), 6).alias("bm25"))
-    out = out.withColumn("score_compat", F.round(1 / (1 + F.col("bm25")), 6))
+    hits = rows.join(F.broadcast(stats)).filter(hit if where is None else hit & where)
+    out = bm25(hits, len(terms)).select("id", "content", "bm25", "score_compat")
     return out if k is None else ranked(out, k, F.desc("bm25"), F.asc("id"))
 
 

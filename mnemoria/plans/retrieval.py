@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.embed import hash_embedding, l2_normalize
 from ..functions.text import trigram_similarity
 from ..operators import fusion, graph, plugins, search
+from ..sources.log import Folder
+from ..sources.store import shared_folder
 from ..sources.tables import NOW, memories, place_relations, table
+from ..sources.text_index import TextIndex
 from .knowledge import EXPAND, PLACE, SIM
 from .registry import MEM, query
 
@@ -48,9 +51,23 @@ def _query_vector(s, d):
     return table(s, d, "embeddings").filter("vec_id = 0")
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def text_index(s, d):
+    """The stored index over the memories of d: written at the first query over these files, read by all that follow."""
+    files = Folder(s, f"{d}/documents.parquet")
+    key = (s.sparkContext.applicationId, d, files.state())
+    if key not in _INDEXES:
+        index = TextIndex(s, shared_folder(s, "text-index"))
+        index.append(memories(s, d))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def channels(s, d):
     m = memories(s, d)
-    bm = search.search_bm25(m, TERMS).select(F.lit("bm25").alias("channel"), "id", "rank")
+    bm = text_index(s, d).search(TERMS).select(F.lit("bm25").alias("channel"), "id", "rank")
     sem = search.search_semantic(table(s, d, "embeddings"), _query_vector(s, d), 20).select(F.lit("semantic").alias("channel"), F.col("vec_id").alias("id"), "rank")
     tmp = search.search_temporal(m, NOW, START, END, ["there"]).select(F.lit("temporal").alias("channel"), "id", "rank")
     return bm.unionByName(sem).unionByName(tmp)
@@ -66,12 +83,12 @@ def hybrid_with_text(s, d):
 
 @query("search_bm25", f"WITH {BM20} SELECT id, rank, bm25, round(1 / (1 + bm25), 6) AS score_compat FROM bmk")
 def _(s, d):
-    return search.search_bm25(memories(s, d), TERMS).select("id", "rank", "bm25", "score_compat")
+    return text_index(s, d).search(TERMS).select("id", "rank", "bm25", "score_compat")
 
 
 @query("search_bm25_clamp", f"WITH {_bm25_sql(['tion'], '')} SELECT id, bm25 FROM bmk")
 def _(s, d):
-    return search.search_bm25(memories(s, d), ["tion"], None).select("id", "bm25")
+    return text_index(s, d).search(["tion"], None).select("id", "bm25")
 
 
 _F = "wing = 'en' AND room = 'src1'"
@@ -79,12 +96,12 @@ _F = "wing = 'en' AND room = 'src1'"
 
 @query("search_bm25_filtered", f"WITH {_bm25_sql(['thtion'], 'ORDER BY bm25 DESC, id LIMIT 20', _F)} SELECT id, rank, bm25 FROM bmk")
 def _(s, d):
-    return search.search_bm25(memories(s, d), ["thtion"], 20, (F.col("wing") == "en") & (F.col("room") == "src1")).select("id", "rank", "bm25")
+    return text_index(s, d).search(["thtion"], 20, (F.col("wing") == "en") & (F.col("room") == "src1")).select("id", "rank", "bm25")
 
 
 @query("search_fts_plain", f"WITH {_bm25_sql(['license', 'there'], 'ORDER BY bm25 DESC, id LIMIT 20')} SELECT id, rank, bm25 FROM bmk")
 def _(s, d):
-    return search.search_bm25(memories(s, d), "license there".split()).select("id", "rank", "bm25")
+    return text_index(s, d).search("license there".split()).select("id", "rank", "bm25")
 
 
 @query("search_temporal", f"WITH {MEM}, {TMP_SQL} SELECT id, rank, score FROM tmpk")

@@ -32,6 +32,10 @@ class Folder:
         path = self._path(name)
         return sorted(s.getPath().getName() for s in self._fs().listStatus(path)) if self._fs().exists(path) else []
 
+    def state(self) -> tuple:
+        """Names, sizes and times of the files: equal as long as nothing has changed. The folder may be a file."""
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in self._fs().listStatus(self._path(""))))
+
     def read(self, name: str) -> str:
         stream = self._fs().open(self._path(name))
         try:
