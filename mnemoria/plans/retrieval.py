@@ -11,6 +11,7 @@ from ..sources.log import Folder
 from ..sources.store import shared_folder
 from ..sources.tables import NOW, memories, place_relations, table
 from ..sources.text_index import TextIndex
+from ..sources.vector_index import VectorIndex
 from .knowledge import EXPAND, PLACE, SIM
 from .registry import MEM, query
 
@@ -51,20 +52,27 @@ def _query_vector(s, d):
     return table(s, d, "embeddings").filter("vec_id = 0")
 
 
-_INDEXES: dict[tuple, TextIndex] = {}
+_INDEXES: dict[tuple, TextIndex | VectorIndex] = {}
 
 
-def text_index(s, d):
-    """The stored index over the memories of d: written at the first query over these files, read by all that follow."""
-    files = Folder(s, f"{d}/documents.parquet")
-    key = (s.sparkContext.applicationId, d, files.state())
+def _index(s, d, name, kind, write):
+    """A stored index over a table of d: written at the first query over these files, read by all that follow."""
+    key = (s.sparkContext.applicationId, d, name, Folder(s, f"{d}/{name}.parquet").state())
     if key not in _INDEXES:
-        index = TextIndex(s, shared_folder(s, "text-index"))
-        index.append(memories(s, d))
+        index = kind(s, shared_folder(s, f"index-{name}"))
+        write(index)
         _INDEXES[key] = index
     return _INDEXES[key]
 
 
+def text_index(s, d):
+    return _index(s, d, "documents", TextIndex, lambda i: i.append(memories(s, d)))
+
+
+def vector_index(s, d):
+    return _index(s, d, "embeddings", VectorIndex, lambda i: i.build(table(s, d, "embeddings")))
+
+
 def channels(s, d):
     m = memories(s, d)
     bm = text_index(s, d).search(TERMS).select(F.lit("bm25").alias("channel"), "id", "rank")
@@ -146,6 +154,13 @@ def _(s, d):
     return search.ann_knn(v, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
 
 
+@query("ann_index", None)
+def _(s, d):
+    """The ten nearest of the stated query set through the stored index, which looks into as many lists as it has measured."""
+    v = table(s, d, "embeddings")
+    return vector_index(s, d).search(v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+
+
 @query("embed_text", "SELECT doc_id AS id, 64::BIGINT AS n, CASE WHEN regexp_matches(text, '[^ \t\n\r]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents")
 def _(s, d):
     """The length of each embedding and its norm: 1, or 0 for a text without words."""
