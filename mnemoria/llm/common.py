@@ -66,9 +66,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     atexit.register(_delete, spark, path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_to = path
+    if _open:
+        _open[-1].append(written)
     return written
 
 
+#: Tables materialized in each `cleared` block that has not ended.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def cleared(kept: list[DataFrame]) -> Iterator[None]:
+    """Delete the tables that are materialized inside, at the end; not those in kept by then."""
+    own: list[DataFrame] = []
+    _open.append(own)
+    try:
+        yield
+    finally:
+        _open.pop()
+        forget(*[t for t in own if not any(t is k for k in kept)])
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for t in tables:

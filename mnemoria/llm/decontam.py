@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import columns_of, materialize, read
 
 #: Places of a span that count, in each mask.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8), (0, 1, 3, 4, 7, 9))
@@ -81,18 +81,35 @@ def benchmark_seeds(items: DataFrame, short: list[int]) -> DataFrame:
     return spaced.select("seed", "item_id", "at", "n").distinct()
 
 
-def _word_of(seed: Column) -> Column:
+def word_of(seed: Column) -> Column:
     return F.shiftrightunsigned(seed, 64 - FILTER_WORDS.bit_length() + 1).cast("int")
 
 
-def _bitmap(seeds: DataFrame) -> Column:
+def bitmap(seeds: DataFrame) -> Column:
     """FILTER_WORDS longs, with a bit for each seed, as a scalar subquery."""
-    words = seeds.groupBy(_word_of(F.col("seed")).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63 as int)))").alias("word"))
+    words = seeds.groupBy(word_of(F.col("seed")).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63 as int)))").alias("word"))
     every = seeds.sparkSession.range(FILTER_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("id")).join(words, "id", "left")
     ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("long")).alias("word"))))
     return every.agg(F.transform(ordered, lambda x: x["word"]).alias("words")).scalar()
 
 
+def may_be_in(words: Column, seed: Column) -> Column:
+    """Whether the seed's bit is set: true for all seeds of the bitmap, and for few others while it is sparse."""
+    return F.getbit(F.get(words, word_of(seed)), seed.bitwiseAND(63)) == 1
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in ids (id_col alone, a written table); rows of a null id stay.
+
+    Rows whose bit is not set in a bitmap of the ids stay at once. Only the others, few while the ids are few
+    millions, are shuffled to be joined; texts that stay do not move.
+    """
+    seed = F.xxhash64(F.col(id_col))
+    maybe = may_be_in(bitmap(ids.select(F.xxhash64(id_col).alias("seed"))), seed)
+    looked_up = docs.filter(maybe).join(ids, id_col, "left_anti").select(*columns_of(docs))
+    return docs.filter(~maybe).union(looked_up)
+
+
 def _best_run(a: Column, b: Column) -> Column:
     """The largest sum of a stretch of the aligned tokens: 1 for equal, -1 for different."""
     start = F.struct(F.lit(0).alias("here"), F.lit(0).alias("best"))
@@ -120,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     places = _places(named.select("doc_id", "th", tokens_of(F.col("text")).alias("doc_tokens")), "doc_tokens", short)
-    passed = places.filter(F.getbit(F.get(_bitmap(seeds), _word_of(F.col("seed"))), F.col("seed").bitwiseAND(63)) == 1)
+    passed = places.filter(may_be_in(bitmap(seeds), F.col("seed")))
     hits = passed.select("doc_id", "th", F.col("at").alias("doc_at"), "seed").join(seeds, "seed")
     lines = materialize(hits.select("doc_id", "th", "item_id", "n", (F.col("doc_at") - F.col("at")).alias("diagonal")).distinct(), "lines")
 

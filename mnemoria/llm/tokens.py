@@ -27,7 +27,7 @@ BATCH_BYTES = 8_000_000
 #: Pieces whose ids are gathered at a time.
 GATHER_PIECES = 1 << 18
 #: Most entries of the memos of pieces and of runs, and most bytes of the pieces in all.
-MEMO_PIECES, MEMO_RUNS, MEMO_BYTES = 2_500_000, 600_000, 80_000_000
+MEMO_PIECES, MEMO_RUNS, MEMO_BYTES = 500_000, 125_000, 20_000_000
 
 #: How byte-level vocabularies write a byte. Printable Latin-1 bytes stand for themselves,
 #: the others for the characters from 256 on, in order.

@@ -56,3 +56,26 @@ def test_a_long_repetitive_text(spark):
     got = decontam.contaminated(spark.createDataFrame([(1, "na " * 200_000), (2, "words of another kind")], "doc_id long, text string"), spark.createDataFrame([(5, "na " * 40)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["run"]) for r in got] == [(1, 5, 40)]
     assert time.perf_counter() - start < 120
+
+
+def test_without(spark, monkeypatch):
+    rows = [(None if k % 50 == 7 else k, f"t{k}", k) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long")
+    for gone in ([], [3, 299, 5000], list(range(0, 300, 2))):
+        ids = spark.createDataFrame([(k,) for k in gone], "doc_id long")
+        want = sorted((str(r[0]), r[1]) for r in rows if r[0] not in set(gone))
+        for words in (1 << 18, 2):  # two words are soon full: all rows are looked up then
+            monkeypatch.setattr(decontam, "FILTER_WORDS", words)
+            assert sorted((str(r[0]), r[1]) for r in decontam.without(docs, ids).collect()) == want
+
+
+def test_cleared_tables_go(spark):
+    from mnemoria.llm.common import cleared, materialize
+
+    kept = []
+    with cleared(kept):
+        one, two = materialize(spark.range(3), "one"), materialize(spark.range(4), "two")
+        kept.append(two)
+    assert two.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(one._written_to).count()
