@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoria.llm.common import columns_of, materialize, read, unused
-from mnemoria.llm.decontam import contaminated
+from mnemoria.llm.common import cleared, columns_of, materialize, read, unused
+from mnemoria.llm.decontam import contaminated, without
 from mnemoria.llm.langid import UND, held_out_rows, predict, train
 from mnemoria.llm.neardup import near_duplicates
 from mnemoria.llm.packing import pack, token_pieces
@@ -43,13 +43,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of a null id belong to no group and stay. Of rows that repeat a kept id the smallest stays, by
     all columns in order (maps as JSON). Documents without words are their own groups. Other columns are kept.
     """
-    found = materialize(near_duplicates(docs).select("doc_id", "kept"), "kept")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    twice = materialize(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))
-    once = kept.join(twice, "doc_id", "left_anti").select(*columns_of(docs))
-    again = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns_of(docs)), _ordered(docs)).alias("row")).select("row.*")
-    return once.union(again)
+    kept: list[DataFrame] = []
+    with cleared(kept):
+        found = materialize(near_duplicates(docs).select("doc_id", "kept").filter("doc_id is not null"), "found")
+        gone = materialize(found.filter("not kept").select("doc_id").distinct(), "gone")
+        twice = materialize(found.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "twice")
+        kept += [gone, twice]
+    rows = without(docs, gone)
+    if twice.isEmpty():
+        return rows
+    again = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns_of(docs)), _ordered(docs)).alias("row")).select("row.*")
+    return without(rows, twice).union(again)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +62,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows of a null id cannot be named and stay; documents without text overlap with nothing; rows that
     repeat an id go together; an empty benchmark drops nothing.
     """
-    hits = contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*columns_of(docs))
+    kept: list[DataFrame] = []
+    with cleared(kept):
+        hits = materialize(contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").filter("doc_id is not null").distinct(), "hits")
+        kept.append(hits)
+    return without(docs, hits)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
