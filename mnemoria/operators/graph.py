@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import setjoin
+
 #: Predicates that say little, and those of causes.
 WEAK = ["co_occurs_with", "related_to"]
 CAUSAL = ["cause", "effect", "prevent", "enable"]
@@ -65,15 +67,13 @@ def relation_accumulate(rows: DataFrame) -> DataFrame:
     return rows.groupBy("subject", "predicate", "object").agg(F.sum("weight").alias("weight"))
 
 
+def _sets(rel: DataFrame) -> DataFrame:
+    return undirected(rel).select("entity", F.col("other").alias("mid"))
+
+
 def similar_entities(rel: DataFrame, k: int = 5) -> DataFrame:
     """(entity, other, jaccard, rank) by the Jaccard index of neighbour sets, from shared neighbours."""
-    n = undirected(rel).select("entity", F.col("other").alias("mid")).distinct()
-    degree = n.groupBy("entity").agg(F.count("*").alias("degree"))
-    both = n.join(n.withColumnRenamed("entity", "other"), "mid").filter("entity <> other").groupBy("entity", "other").agg(F.count("*").alias("shared"))
-    d2 = degree.select(F.col("entity").alias("other"), F.col("degree").alias("degree2"))
-    out = both.join(degree, "entity").join(d2, "other").select("entity", "other", F.round(F.col("shared") / (F.col("degree") + F.col("degree2") - F.col("shared")), 6).alias("jaccard"))
-    w = Window.partitionBy("entity").orderBy(F.desc("jaccard"), "other")
-    return out.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
+    return setjoin.top_jaccard(_sets(rel), k)
 
 
 def graph_expand(rel: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
@@ -95,10 +95,8 @@ def graph_expand(rel: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
 
 def consolidate_link(rel: DataFrame, least: int = 2) -> DataFrame:
     """Unordered pairs that are not adjacent but share at least two neighbours: (a, b, n_common)."""
-    n = undirected(rel).select("entity", F.col("other").alias("mid")).distinct()
-    pairs = n.withColumnRenamed("entity", "a").join(n.withColumnRenamed("entity", "b"), "mid").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common")).filter(F.col("n_common") >= least)
     adjacent = undirected(rel).select(F.col("entity").alias("a"), F.col("other").alias("b")).distinct()
-    return pairs.join(adjacent, ["a", "b"], "left_anti")
+    return setjoin.common_pairs(_sets(rel), least).join(adjacent, ["a", "b"], "left_anti")
 
 
 def redirect(rel: DataFrame, mapping: DataFrame) -> DataFrame:
