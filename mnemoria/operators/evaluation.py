@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,3 +95,11 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def nugget_clamp(c):
     return F.when(c >= 0.75, 1.0).when(c >= 0.25, 0.5).otherwise(0.0)
+
+
+def flatten_rubric(rubric: Column) -> Column:
+    """The texts of a rubric in JSON: a list, a text, or an object with a list under `items`; else empty."""
+    whole = F.concat(F.lit('{"x":'), rubric, F.lit("}"))
+    many = F.when(rubric.rlike(r"^\s*\["), F.from_json(rubric, "array<string>")).when(rubric.rlike(r"^\s*\{"), F.from_json(F.get_json_object(rubric, "$.items"), "array<string>"))
+    one = F.when(rubric.rlike(r'^\s*"'), F.array(F.get_json_object(whole, "$.x")))
+    return F.coalesce(many, one, F.array().cast("array<string>"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import GARBAGE
+from ..functions.text import words
 from . import setjoin
 
 #: Predicates that say little, and those of causes.
@@ -43,6 +45,23 @@ def relation_delete_pair(rel: DataFrame, pairs: DataFrame) -> DataFrame:
     return rel.join(p, ["subject", "object"], "left_anti").select(*rel.columns)
 
 
+def is_noise(name: Column, garbage: list[str] = GARBAGE) -> Column:
+    """Whether a name is no entity: listed, short, a number with letters, a setting, a count, or three plain words at most."""
+    number = F.regexp_replace(name, "[.:]", "").rlike(r"^\p{Nd}+$")
+    return (
+        name.isin(garbage)
+        | (F.length(name) < 2)
+        | (name.rlike(r"^\p{Nd}") & ~number)
+        | name.rlike("[=:条个种位]")
+        | (name.rlike(r"^[\p{L}\p{N}_\s\-.+()\[\]/]+$") & (F.size(words(name)) <= 3))
+    )
+
+
+def noisy_entities(entities: DataFrame, keep: DataFrame, garbage: list[str] = GARBAGE) -> DataFrame:
+    """The names (name) of entities that are noise and are not in keep (name); a null name is none."""
+    return entities.filter(is_noise(F.col("name"), garbage)).select("name").distinct().join(keep, "name", "left_anti")
+
+
 def merge_types(mentions: DataFrame) -> DataFrame:
     """mentions (name, type) -> (name, type, n_types): the most frequent type, the last by name of equals."""
     c = mentions.groupBy("name", "type").agg(F.count("*").alias("n"))

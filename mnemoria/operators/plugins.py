@@ -45,6 +45,45 @@ def parsed(answer: Column, schema: str) -> Column:
     return F.from_json(F.regexp_replace(F.trim(answer), r"^```[a-z]*\n|\n```$", ""), schema)
 
 
+# --- extraction
+
+EXTRACTED = (
+    "entities array<struct<name:string,type:string>>, relations array<struct<subject:string,predicate:string,object:string>>, "
+    "summary string, time_range struct<start:string,end:string>, fact_type string, confidence double, authority string, trust_score double"
+)
+#: What a model is asked for.
+EXTRACT = (
+    "Extract from the messages below and answer in JSON: entities (name, type: person, org, location or product), relations (subject, predicate, object), "
+    "time_range (start, end), summary (150 characters at most), fact_type (observation, experience, world, opinion or causation), confidence (0 to 1).\n"
+)
+
+
+def llm_extract(mem: DataFrame, model: LanguageModel) -> DataFrame:
+    """(id, n_entities, summary, fact_type, confidence, authority, trust_score, entities, relations, time_range, by).
+
+    by is `model`, or `rules` for a row whose answer fails or is no JSON object: it takes its annotations from
+    the rules, and only such rows are extracted by rules. What an answer leaves out gets its default, an
+    empty summary the head of the text. A null text is asked as an empty one.
+    """
+    text = F.coalesce("content", F.lit(""))
+    asked = mem.select("id", text.alias("content")).withColumn("answer", ask(model, F.concat(F.lit(EXTRACT), F.to_json(F.array(text)))))
+    plain = F.trim(F.regexp_replace(F.trim("answer"), r"^```[^\n]*\n|```$", ""))
+    asked = asked.withColumn("said", F.when(F.json_object_keys(plain).isNotNull(), F.from_json(plain, EXTRACTED)))
+    head = ingest.summary_head(F.col("content"))
+    kind = F.coalesce("said.fact_type", F.lit("observation"))
+    n = F.coalesce(F.size("said.entities"), F.lit(0))
+    none = lambda name: F.coalesce(f"said.{name}", F.array().cast(dict(asked.select("said.*").dtypes)[name])).alias(name)
+    rest = [none("entities"), none("relations"), F.col("said.time_range").alias("time_range")]
+    answered = asked.filter("said is not null").select(
+        "id", n.cast("long").alias("n_entities"), F.coalesce(F.nullif("said.summary", F.lit("")), head).alias("summary"), kind.alias("fact_type"), F.coalesce("said.confidence", F.lit(0.7)).alias("confidence"),
+        F.coalesce("said.authority", ingest.authority(F.col("content"), kind, n)).alias("authority"), F.coalesce("said.trust_score", ingest.trust_score(kind, n, F.length("content"))).alias("trust_score"), *rest, F.lit("model").alias("by"),
+    )
+    ruled = ingest.annotate(asked.filter("said is null")).select(
+        "id", F.col("n_entities").cast("long").alias("n_entities"), head.alias("summary"), "fact_type", F.lit(None).cast("double").alias("confidence"), "authority", "trust_score", *rest, F.lit("rules").alias("by"),
+    )
+    return answered.unionByName(ruled)
+
+
 # --- rerankers: (candidates (id, text, rrf_score, n_sources), query) -> (id, score)
 
 Reranker = Callable[[DataFrame, str], DataFrame]

@@ -46,10 +46,6 @@ HAN_ENTITIES = [
     (2, "王五", "person", 1, 0.5), (2, "上海市", "location", 1, 0.3), (3, "赵局长", "person", 1, 0.45),
     (4, "刘洋", "person", 1, 0.3), (4, "了杭州市", "location", 1, 0.3), (5, "腾讯公司", "org", 2, 0.3), (7, "周杰", "person", 4, 0.75),
 ]
-CLEANED = [
-    (1, "我们在上海市", "location", "上海市"), (2, "用户参加了数据平台", "product", "数据平台"), (3, "张三说", "person", "张三"), (4, "刘洋也", "person", "刘洋"),
-    (5, "方案", "person", ""), (6, "智能管理系统", "product", "智能管理系统"), (7, "我们的人民医院", "org", "人民医院"), (8, "John Smith", "person", "John Smith"),
-]
 
 
 def _han(s):
@@ -67,19 +63,6 @@ def _(s, d):
     return entities.extract_entities(texts, "id", "content").select("id", "name", "type", "freq")
 
 
-@query("entity_clean", f"SELECT id, cleaned FROM {_values(CLEANED)} v(id, name, type, cleaned)")
-def _(s, d):
-    rows = s.createDataFrame([r[:3] for r in CLEANED], "id long, name string, type string")
-    return rows.select("id", entities.clean_name(F.col("name"), F.col("type")).alias("cleaned"))
-
-
-@query("entity_score", f"SELECT id, name, confidence::DOUBLE AS confidence FROM {_values((r[0], r[1], r[4]) for r in HAN_ENTITIES)} v(id, name, confidence)")
-def _(s, d):
-    """Signals of Han texts; entity_score_en has those of the documents."""
-    e = entities.extract_entities(_han(s), "id", "content").join(_han(s), "id")
-    return e.select("id", "name", entities.entity_score(F.col("name"), F.col("type"), F.col("freq"), F.col("content")).alias("confidence"))
-
-
 @query("garbage_entity_filter", f"WITH {ENT_SQL} SELECT count(*) AS n FROM ent WHERE name NOT IN ({_B})")
 def _(s, d):
     bad = s.createDataFrame([(g,) for g in names.GARBAGE], "name string")
@@ -245,18 +228,3 @@ def _(s, d):
     e = table(s, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "signup", F.col("ts").cast("string")).otherwise("no date").alias("anchor"))
     t = F.unix_timestamp(F.try_to_timestamp("anchor"))
     return e.select("user_id", t.alias("at")).filter("at is not null").groupBy("user_id").agg(F.min("at").alias("anchor"))
-
-
-@query("kg_noise_predicate", "SELECT DISTINCT p_name AS name, (length(p_name) < 2 OR regexp_matches(p_name, '^[0-9]') OR contains(p_name, '=') OR contains(p_name, ':')) AS noise FROM part")
-def _(s, d):
-    n = F.col("name")
-    noise = (F.length(n) < 2) | n.rlike("^[0-9]") | n.contains("=") | n.contains(":")
-    return table(s, d, "part").select(F.col("p_name").alias("name")).distinct().select("name", noise.alias("noise"))
-
-
-@query("llm_extract_defaults", "SELECT * FROM (VALUES (1, 'x', 'observation'), (2, 'y', 'world'), (3, '', 'observation')) v(id, summary, fact_type)")
-def _(s, d):
-    """A model's JSON: fences stripped, parsed, defaults for what is missing or broken."""
-    rows = s.createDataFrame([(1, '```json\n{"summary": "x"}\n```'), (2, '{"summary": "y", "fact_type": "world"}'), (3, "broken {")], "id int, raw string")
-    plain = F.regexp_replace("raw", r"^```[a-z]*\n|\n```$", "")
-    return rows.select("id", F.from_json(plain, "summary string, fact_type string").alias("x")).select("id", F.coalesce("x.summary", F.lit("")).alias("summary"), F.coalesce("x.fact_type", F.lit("observation")).alias("fact_type"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annotation, knowledge, measures, reflection, retrieval, store  # noqa: F401  they register their queries
+from . import annotation, knowledge, measures, reflection, retrieval, rules, store  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, Query
 
 

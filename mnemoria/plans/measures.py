@@ -95,14 +95,6 @@ def _(s, d):
     return m.select(F.explode(F.map_entries("m")).alias("e")).select(F.col("e.key").alias("type"), F.explode("e.value").alias("question"))
 
 
-@query("rubric_flatten", "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (2, 'c'), (3, 'd')) v(id, rubric)")
-def _(s, d):
-    """Three layouts of a rubric: a list, a string, an object with a list."""
-    rows = s.createDataFrame([(1, '["a", "b"]'), (2, '"c"'), (3, '{"items": ["d"]}')], "id int, j string")
-    as_list = F.coalesce(F.from_json(F.when(F.col("j").startswith("["), F.col("j")), "array<string>"), F.from_json(F.get_json_object("j", "$.items"), "array<string>"), F.array(F.regexp_replace("j", '"', "")))
-    return rows.select("id", F.explode(as_list).alias("rubric"))
-
-
 @query("chronological_context", "SELECT source, md5(string_agg(concat('[', strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%d'), '] ', substr(text, 1, 40)), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1")
 def _(s, d):
     line = F.concat(F.lit("["), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd"), F.lit("] "), F.substring("content", 1, 40))

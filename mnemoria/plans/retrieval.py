@@ -315,16 +315,6 @@ def _classified(s):
     return s.createDataFrame(list(enumerate(TEXTS)), "query_id int, text string").select("query_id", fusion.query_classify(F.col("text")).alias("class"))
 
 
-@query("query_classify", f"WITH {CLASS_SQL} SELECT query_id, class FROM cl")
-def _(s, d):
-    return _classified(s)
-
-
-@query("adaptive_weights", f"WITH {AW_SQL} SELECT * FROM aw")
-def _(s, d):
-    return _classified(s).select("query_id", "class", *[F.round(fusion.adaptive_weight(F.col("class"), c), 6).alias(f"w_{c}") for c in ("semantic", "bm25", "graph", "temporal")])
-
-
 @query("hybrid_adaptive", f"WITH {CH_SQL}, {AW_SQL}, f AS (SELECT query_id, id, round(sum((CASE channel WHEN 'semantic' THEN w_semantic WHEN 'bm25' THEN w_bm25 ELSE w_temporal END) / (30 + rank + 1)), 12) AS raw FROM ch, aw GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) - 1 AS rank FROM f QUALIFY rank < 10) SELECT query_id, id, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM k")
 def _(s, d):
     cl = _classified(s)
