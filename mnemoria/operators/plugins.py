@@ -59,9 +59,9 @@ EXTRACT = (
 
 
 def llm_extract(mem: DataFrame, model: LanguageModel) -> DataFrame:
-    """(id, n_entities, summary, fact_type, confidence, authority, trust_score, entities, relations, time_range, by).
+    """(id, n_entities, summary, fact_type, confidence, authority, trust_score, entities, relations, time_range, made_by).
 
-    by is `model`, or `rules` for a row whose answer fails or is no JSON object: it takes its annotations from
+    made_by is `model`, or `rules` for a row whose answer fails or is no JSON object: it takes its annotations from
     the rules, and only such rows are extracted by rules. What an answer leaves out gets its default, an
     empty summary the head of the text. A null text is asked as an empty one.
     """
@@ -76,10 +76,10 @@ def llm_extract(mem: DataFrame, model: LanguageModel) -> DataFrame:
     rest = [none("entities"), none("relations"), F.col("said.time_range").alias("time_range")]
     answered = asked.filter("said is not null").select(
         "id", n.cast("long").alias("n_entities"), F.coalesce(F.nullif("said.summary", F.lit("")), head).alias("summary"), kind.alias("fact_type"), F.coalesce("said.confidence", F.lit(0.7)).alias("confidence"),
-        F.coalesce("said.authority", ingest.authority(F.col("content"), kind, n)).alias("authority"), F.coalesce("said.trust_score", ingest.trust_score(kind, n, F.length("content"))).alias("trust_score"), *rest, F.lit("model").alias("by"),
+        F.coalesce("said.authority", ingest.authority(F.col("content"), kind, n)).alias("authority"), F.coalesce("said.trust_score", ingest.trust_score(kind, n, F.length("content"))).alias("trust_score"), *rest, F.lit("model").alias("made_by"),
     )
     ruled = ingest.annotate(asked.filter("said is null")).select(
-        "id", F.col("n_entities").cast("long").alias("n_entities"), head.alias("summary"), "fact_type", F.lit(None).cast("double").alias("confidence"), "authority", "trust_score", *rest, F.lit("rules").alias("by"),
+        "id", F.col("n_entities").cast("long").alias("n_entities"), head.alias("summary"), "fact_type", F.lit(None).cast("double").alias("confidence"), "authority", "trust_score", *rest, F.lit("rules").alias("made_by"),
     )
     return answered.unionByName(ruled)
 

@@ -174,11 +174,11 @@ _HEAD = "CASE WHEN length(text) <= 200 THEN text WHEN 200 - instr(reverse(substr
 CASE m WHEN 1 THEN 'world' WHEN 3 THEN 'observation' WHEN 4 THEN 'opinion' ELSE fact_type END AS fact_type, CASE WHEN m IN (0, 2) THEN NULL WHEN m = 4 THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence,
 CASE WHEN m IN (0, 2) OR authority = 'critical' THEN authority WHEN m = 4 THEN 'high' ELSE 'medium' END AS authority,
 CASE WHEN m IN (0, 2) THEN trust_score ELSE round(greatest(0.1::DOUBLE, least(1.0::DOUBLE, (CASE m WHEN 1 THEN 0.9 WHEN 3 THEN 0.7 ELSE 0.5 END)::DOUBLE + (CASE m WHEN 4 THEN 3 * 0.03::DOUBLE ELSE 0.0 END)::DOUBLE + (CASE WHEN length(text) BETWEEN 50 AND 500 THEN 0.1 WHEN length(text) < 20 THEN -0.15 WHEN length(text) > 2000 THEN -0.05 ELSE 0.0 END)::DOUBLE)), 2) END AS trust_score,
-CASE WHEN m IN (0, 2) THEN 'rules' ELSE 'model' END AS by FROM x""")
+CASE WHEN m IN (0, 2) THEN 'rules' ELSE 'model' END AS made_by FROM x""")
 def _(s, d):
     """Extraction through the seam for models, with defaults and with rules where the model fails."""
     out = plugins.llm_extract(memories(s, d), _rule_model)
-    return out.select("id", "n_entities", "summary", "fact_type", "confidence", "authority", "trust_score", "by")
+    return out.select("id", "n_entities", "summary", "fact_type", "confidence", "authority", "trust_score", "made_by")
 
 
 @query("rubric_flatten", "SELECT doc_id AS id, unnest(CASE doc_id % 3 WHEN 0 THEN [text, lang] WHEN 1 THEN [text] ELSE [source, text] END) AS rubric FROM documents")
