@@ -13,6 +13,7 @@ from ..functions import names
 from ..functions.text import sentences
 from ..operators import entities, fusion, graph, plugins
 from ..operators.evaluation import flatten_rubric
+from ..operators.matching import match_names
 from ..operators.setjoin import common_pairs, top_jaccard
 from ..sources.tables import memories, place_relations, table
 from .annotation import ANN_SQL, ENT_SQL
@@ -206,3 +207,16 @@ def _(s, d):
 def _(s, d):
     """The five suppliers most alike by their orders."""
     return top_jaccard(_supplied(s, d), 5)
+
+
+_WORD = "[a-zà-ÿ]{7,}"
+_DICT = f"dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_WORD}')) AS name FROM benchmark UNION SELECT s_name FROM supplier UNION SELECT n_name FROM nation)"
+
+
+@query("entity_match_texts", f"WITH {_DICT}, p AS (SELECT string_agg(lower(name), '|' ORDER BY length(name) DESC, name) AS p FROM dict), m AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(concat({_pick_sql(['Nation_1', 'SUPPLIER#000000001', 'nation_12'], 'doc_id')}, ' ', text)), p)) AS name FROM documents, p) SELECT id, name, count(*) AS n FROM m GROUP BY 1, 2")
+def _(s, d):
+    """Long words of the benchmark, suppliers and nations in all documents, by one automaton."""
+    words = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_WORD})"))).alias("name"))
+    dictionary = words.union(table(s, d, "supplier").select("s_name")).union(table(s, d, "nation").select("n_name"))
+    texts = memories(s, d).select("id", F.concat(_pick(["Nation_1", "SUPPLIER#000000001", "nation_12"], F.col("id")), F.lit(" "), F.col("content")).alias("text"))
+    return match_names(texts, dictionary).groupBy("id", F.lower("name").alias("name")).agg(F.count("*").alias("n"))
