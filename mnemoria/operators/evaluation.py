@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from . import blocks
 
 
 def retrieval_metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -47,50 +47,40 @@ def inversions(ranks: np.ndarray) -> int:
     return total
 
 
-def _tied(*keys: np.ndarray) -> int:
-    """Pairs that are equal in all keys."""
-    if not len(keys[0]):
-        return 0
-    n = np.unique(np.stack(keys, axis=1), axis=0, return_counts=True)[1].astype(np.int64)
-    return int((n * (n - 1) // 2).sum())
-
+def _tied_pairs(rows: DataFrame, by: list[str], keys: list[str], name: str) -> DataFrame:
+    """(by..., name): pairs of rows with known and equal keys."""
+    known = rows.dropna(subset=keys) if keys else rows
+    n = known.groupBy(*by, *keys).agg(F.count("*").cast("decimal(19,0)").alias("n"))
+    return n.groupBy(*by).agg((F.sum(F.col("n") * (F.col("n") - 1)) / 2).cast("double").alias(name))
 
-def _tau(p: np.ndarray, r: np.ndarray) -> float:
-    """tau-b of two orders; masked places differ from none, as nulls in SQL."""
-    p, r = np.ma.asarray(p), np.ma.asarray(r)
-    pairs = lambda n: n * (n - 1) // 2
-    known_p, known_r = (x.compressed() for x in (p, r))
-    n_p, n_r = (pairs(len(x)) - _tied(x) for x in (known_p, known_r))
-    if not n_p or not n_r:
-        return 0.0
-    both = ~(np.ma.getmaskarray(p) | np.ma.getmaskarray(r))
-    p, r = (np.unique(np.asarray(x[both]), return_inverse=True)[1].astype(np.int64) for x in (p, r))
-    discordant = inversions(p[np.lexsort((p, r))])  # equal r are in the order of p: no inversion
-    untied = pairs(len(p)) - _tied(p) - _tied(r) + _tied(p, r)
-    return (untied - 2 * discordant) / (math.sqrt(n_p) * math.sqrt(n_r))
 
+def kendall_tau_b(rows: DataFrame, by: list[str], block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """rows (by..., item, p, r): tau-b of two orders by numbers; fewer than two items give 0.
 
-def kendall_tau_b(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows (by..., item, p, r): tau-b of two orders; fewer than two items give 0.
-
-    Items are distinct within a group. A group meets in one task, as two arrays of numbers; no pairs are made.
+    Items are distinct within a group. A null place differs from none and is ordered with none. Ties are
+    counted by value and pairs that the orders see differently in blocks, so a group may have any size.
     """
-    keys = rows.select(*by).schema
-
-    def run(group: pa.Table) -> pa.Table:
-        p, r = (np.ma.array(c.fill_null(0).to_numpy(), mask=c.is_null().to_numpy()) for c in (group["p"], group["r"]))
-        return pa.table({**{k: group[k].slice(0, 1) for k in by}, "tau": pa.array([_tau(p, r)])})
-
-    out = T.StructType([*keys.fields, T.StructField("tau", T.DoubleType())])
-    return rows.select(*by, "p", "r").groupBy(*by).applyInArrow(run, out).withColumn("tau", F.round("tau", 6))
-
-
-def exact_percentiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    both = rows.select(*by, "p", "r").dropna(subset=["p", "r"])
+    of_p, of_r = rows.select(*by, "p").dropna(subset=["p"]), rows.select(*by, "r").dropna(subset=["r"])
+    parts = [
+        _tied_pairs(of_p, by, [], "all_p"), _tied_pairs(of_p, by, ["p"], "tied_p"), _tied_pairs(of_r, by, [], "all_r"), _tied_pairs(of_r, by, ["r"], "tied_r"),
+        _tied_pairs(both, by, [], "pairs"), _tied_pairs(both, by, ["p"], "same_p"), _tied_pairs(both, by, ["r"], "same_r"), _tied_pairs(both, by, ["p", "r"], "same"),
+        blocks.discordant(both, by, block_rows), rows.select(*by).distinct(),
+    ]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = [c for c in every.columns if c not in by]
+    t = every.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names])
+    n_p, n_r = F.col("all_p") - F.col("tied_p"), F.col("all_r") - F.col("tied_r")
+    score = F.col("pairs") - F.col("same_p") - F.col("same_r") + F.col("same") - 2 * F.col("d")
+    return t.select(*by, F.round(F.when((n_p > 0) & (n_r > 0), score / (F.sqrt(n_p) * F.sqrt(n_r))).otherwise(0.0), 6).alias("tau"))
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """(by..., mean, p50, p95): the values at places n // 2 and int(.95 n) of the sorted list."""
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by))
-    at = rows.withColumn("k", F.row_number().over(w) - 1).withColumn("n", n)
-    return at.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col(value))).alias("p50"), F.max(F.when(F.col("k") == F.floor(F.col("n") * 0.95), F.col(value))).alias("p95"))
+    places = {"p50": F.floor(F.col("n") / 2), "p95": F.floor(F.col("n") * 0.95)}
+    mean = rows.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"))
+    every = mean.unionByName(blocks.nth_values(rows, by, value, places, block_rows), allowMissingColumns=True)
+    return every.groupBy(*by).agg(*[F.max(c).alias(c) for c in ("mean", "p50", "p95")])
 
 
 def nugget_clamp(c):

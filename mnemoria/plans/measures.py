@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
+from ..operators.blocks import running_count
 from ..sources.tables import memories, table
 from .registry import query
 from .retrieval import KNN_SQL, knn_run
@@ -58,22 +58,16 @@ def _(s, d):
     return each.union(c.groupBy("cutoff").agg(F.lit("all").alias("type"), F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean")))
 
 
-_TAU = "t AS (SELECT lang, doc_id AS item, n_chars AS p, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents QUALIFY r <= 30)"
+_TAU = "t AS (SELECT lang, doc_id AS item, n_chars AS p, doc_id AS r FROM documents)"
 
 
-@query("kendall_tau_b", f"WITH {_TAU} SELECT a.lang, round(sum(sign(a.p - b.p) * sign(a.r - b.r)) / sqrt(count(*) FILTER (a.p <> b.p)::DOUBLE * count(*) FILTER (a.r <> b.r)), 6) AS tau FROM t a JOIN t b ON a.lang = b.lang AND a.item < b.item GROUP BY 1")
-def _(s, d):
-    """The first 30 documents of a language are the list whose orders are compared."""
-    t = table(s, d, "documents").select("lang", F.col("doc_id").alias("item"), F.col("n_chars").alias("p"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).alias("r")).filter("r <= 30")
-    return ev.kendall_tau_b(t, ["lang"])
-
+_TAU_SQL = f"WITH {_TAU} SELECT a.lang, round(sum(sign(a.p - b.p) * sign(a.r - b.r)) / sqrt(count(*) FILTER (a.p <> b.p)::DOUBLE * count(*) FILTER (a.r <> b.r)), 6) AS tau FROM t a JOIN t b ON a.lang = b.lang AND a.item < b.item GROUP BY 1"
 
-_TAU_ALL = "t AS (SELECT lang, doc_id AS item, n_chars AS p, doc_id AS r FROM documents)"
 
-
-@query("kendall_tau_b_all", f"WITH {_TAU_ALL} SELECT a.lang, round(sum(sign(a.p - b.p) * sign(a.r - b.r)) / sqrt(count(*) FILTER (a.p <> b.p)::DOUBLE * count(*) FILTER (a.r <> b.r)), 6) AS tau FROM t a JOIN t b ON a.lang = b.lang AND a.item < b.item GROUP BY 1")
+@query("kendall_tau_b", _TAU_SQL)
+@query("kendall_tau_b_all", _TAU_SQL)
 def _(s, d):
-    """All documents of a language; kendall_tau_b is cut to 30 as its SQL is."""
+    """The orders by length and by id of all documents of a language."""
     return ev.kendall_tau_b(table(s, d, "documents").select("lang", F.col("doc_id").alias("item"), F.col("n_chars").alias("p"), F.col("doc_id").alias("r")), ["lang"])
 
 
@@ -95,15 +89,16 @@ def _(s, d):
     return m.select(F.explode(F.map_entries("m")).alias("e")).select(F.col("e.key").alias("type"), F.explode("e.value").alias("question"))
 
 
-@query("chronological_context", "SELECT source, md5(string_agg(concat('[', strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%d'), '] ', substr(text, 1, 40)), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1")
+@query("chronological_context", "SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, concat('[', strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%d'), '] ', text) AS line FROM documents")
 def _(s, d):
-    line = F.concat(F.lit("["), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd"), F.lit("] "), F.substring("content", 1, 40))
-    return memories(s, d).groupBy(F.col("room").alias("source")).agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"]), "\n").cast("binary")).alias("h"))
+    """The dated lines of each source with their places, whole texts."""
+    line = F.concat(F.lit("["), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd"), F.lit("] "), F.coalesce("content", F.lit("")))
+    return running_count(memories(s, d).select(F.col("room").alias("source"), "id", line.alias("line")), ["source"], "id", "place").select("source", "place", "line")
 
 
 @query("chronological_context_whole", "SELECT source, md5(string_agg(md5(concat('[', strftime(make_timestamp((1704067200 + doc_id * 3600) * 1000000), '%Y-%m-%d'), '] ', text)), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1")
 def _(s, d):
-    """Whole texts, each line as its hash so that a source stays small; chronological_context is cut as its SQL is."""
+    """One hash for each source, over its lines' hashes in order."""
     line = F.concat(F.lit("["), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd"), F.lit("] "), F.coalesce("content", F.lit("")))
     hashed = memories(s, d).select(F.col("room").alias("source"), F.struct("id", F.md5(line.cast("binary")).alias("l")).alias("x"))
     return hashed.groupBy("source").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["l"]), "\n").cast("binary")).alias("h"))
