@@ -47,19 +47,27 @@ def block_of(value: float, bounds: list[float]) -> int:
     return 2 * k + (0 if k and bounds[k - 1] == value else 1)
 
 
-def running_count(rows: DataFrame, by: list[str], order: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """rows with `name`, the place (from 0) of each in its group by an ascending number that is unique in the group."""
-    cut = rows.withColumn("_block", block(F.col(order), quantiles(rows, order, block_rows)))
-    sums = cut.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+def running_sum(rows: DataFrame, by: list[str], order: str, weight: Column, name: str, bounds: list[float]) -> DataFrame:
+    """rows with `name`, the sum of the weights that stand before each in its group, by an ascending number that is unique in it.
+
+    bounds are `quantiles` of that number. A null number stands first.
+    """
+    cut = rows.withColumn("_block", block(F.col(order), bounds)).withColumn("_weight", weight)
+    sums = cut.groupBy(*by, "_block").agg(F.sum("_weight").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_block").alias("_of"), before.alias("_before"))
     same = F.col("_block") == F.col("_of")
     for i, b in enumerate(by):
         same &= F.col(b).eqNullSafe(F.col(f"_by{i}"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order)) - 1
+    inside = F.sum("_weight").over(Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_weight")
     return cut.withColumn("_inside", inside).join(sums, same).withColumn(name, F.col("_before") + F.col("_inside")).select(*rows.columns, name)
 
 
+def running_count(rows: DataFrame, by: list[str], order: str, name: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """rows with `name`, the place (from 0) of each in its group by an ascending number that is unique in it."""
+    return running_sum(rows, by, order, F.lit(1), name, quantiles(rows, order, block_rows))
+
+
 def nth_values(rows: DataFrame, by: list[str], value: str, places: dict[str, Column], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(by..., a column for each place): the value at a place (from 0, of `n` rows) of each group's sorted values, nulls first.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,10 +117,35 @@ def retain_every_n(rows: DataFrame, n: int = 2) -> DataFrame:
 
 
 def scene_summary(rows: DataFrame, most: int = 5000) -> DataFrame:
-    """(scene, id, summary) -> (scene, summary): texts appended in order unless already contained."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("id", "summary"))), lambda x: x["summary"])
-
-    def step(acc: Column, text: Column) -> Column:
-        return F.when(acc.contains(text), acc).when(acc == "", F.substring(text, 1, most)).otherwise(F.substring(F.concat(acc, F.lit("\n"), text), 1, most))
-
-    return rows.groupBy("scene").agg(ordered.alias("parts")).select("scene", F.aggregate("parts", F.lit(""), step).alias("summary"))
+    """(scene, id, summary) -> (scene, summary): texts appended in order unless already contained.
+
+    Equal texts count once, by their first id. A scene's texts then stream by in order and only its summary is
+    held; once it is full, no text is looked at. A null text adds nothing.
+    """
+    kind = rows.schema["scene"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, text, out, kept = None, None, [], pa.string()
+
+        def made() -> pa.RecordBatch:
+            ready = pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], kept), pa.array([t for _, t in out], pa.string())], ["scene", "summary"])
+            out.clear()
+            return ready
+
+        for batch in batches:
+            kept = batch.schema.field(0).type
+            for scene, summary in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if text is None or scene != at:
+                    if text is not None:
+                        out.append((at, text))
+                    at, text = scene, ""
+                if summary and len(text) < most and summary not in text:
+                    text = (f"{text}\n{summary}" if text else summary)[:most]
+            yield made()
+        if text is not None:
+            out.append((at, text))
+            yield made()
+
+    once = rows.groupBy("scene", "summary").agg(F.min("id").alias("id"))
+    ordered = once.repartition("scene").sortWithinPartitions("scene", "id", "summary").select("scene", "summary")
+    return ordered.mapInArrow(run, f"scene {kind}, summary string")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_density, sentences, stability_signal, summary_tokens
+from . import blocks
 
 #: Topics by pattern, in this order.
 TOPICS = [
@@ -23,7 +24,7 @@ def compress_select(mem: DataFrame, now: int, days: int = 7, least: int = 3, lim
     return old.join(big, (old.wing.eqNullSafe(big.wing)) & (old.room.eqNullSafe(big.room))).select(old["*"], "n")
 
 
-def summarize(rows: DataFrame, by: list[str], shortest: int, weights: tuple[float, float, float], signal: Column, top: int, most: int) -> DataFrame:
+def summarize(rows: DataFrame, by: list[str], shortest: int, weights: tuple[float, float, float], signal: Column, top: int, most: int, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
     """Extractive summary of rows (by..., id, content): (by..., summary, n_sent, signal of the best five).
 
     Sentences are scored by smoothed tf-idf within the group, place and a signal; the best ones are
@@ -32,7 +33,7 @@ def summarize(rows: DataFrame, by: list[str], shortest: int, weights: tuple[floa
     s = rows.select(*by, "id", F.posexplode(sentences(F.col("content"))).alias("k", "s")).filter(F.length("s") >= shortest)
     # the number of a sentence in its group: rows of the group before it, then its place in the row
     per = s.groupBy(*by, "id").agg(F.count("*").alias("m"))
-    before = per.select(*by, "id", (F.sum("m").over(Window.partitionBy(*by).orderBy("id")) - F.col("m")).alias("before"))
+    before = blocks.running_sum(per, by, "id", F.col("m"), "before", blocks.quantiles(rows, "id", block_rows)).drop("m")
     total = per.groupBy(*by).agg(F.sum("m").alias("n"))
     s = s.withColumn("k", F.row_number().over(Window.partitionBy(*by, "id").orderBy("k")) - 1).join(before, [*by, "id"]).withColumn("i", F.col("before") + F.col("k")).join(total, by)
     tok = s.select(*by, "i", "n", F.explode(summary_tokens(F.col("s"))).alias("term")).groupBy(*by, "i", "n", "term").agg(F.count("*").alias("tf"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mnemoria.operators import blocks, evaluation
+from mnemoria.operators import blocks, evaluation, ingest, jobs
 
 
 def _values(seed, n, most):
@@ -74,3 +74,33 @@ def test_empty(spark):
     none = spark.createDataFrame([], "g string, item long, p long, r long")
     assert evaluation.kendall_tau_b(none, ["g"]).collect() == [] and evaluation.exact_percentiles(none, ["g"], "p").collect() == []
     assert blocks.running_count(none, ["g"], "item", "place").collect() == []
+
+
+def test_summaries_in_blocks(spark):
+    r = random.Random(8)
+    text = lambda: ". ".join(" ".join(r.choice("alpha beta gamma delta kappa".split()) for _ in range(r.randint(1, 9))) for _ in range(r.randint(0, 5)))
+    rows = spark.createDataFrame([("hot" if k % 4 else "g", k * 7, text()) for k in range(300)], "g string, id long, content string")
+    run = lambda n: sorted(map(tuple, jobs.summarize(rows, ["g"], 5, (0.5, 0.2, 0.3), F.lit(0.5), 10, 300, n).collect()))
+    assert len(run(10**6)) == 2 and run(20) == run(10**6)
+
+
+def _appended(parts, most):
+    out = ""
+    for x in parts:
+        if x and x not in out:
+            out = (f"{out}\n{x}" if out else x)[:most]
+    return out
+
+
+def test_scene_summary(spark):
+    r = random.Random(9)
+    scenes = {s: [r.choice([None, "", "ab", "b", "张三", f"text {r.randint(0, 30)}", "x" * 40]) for _ in range(n)] for s, n in (("a", 90), (None, 40), ("short", 1), ("z", 3))}
+    rows = spark.createDataFrame([(s, k, x) for s, xs in scenes.items() for k, x in enumerate(xs)], "scene string, id long, summary string")
+    assert {x["scene"]: x["summary"] for x in ingest.scene_summary(rows, 120).collect()} == {s: _appended(xs, 120) for s, xs in scenes.items()}
+    assert ingest.scene_summary(rows.limit(0)).collect() == []
+
+
+def test_scene_of_a_million(spark):
+    rows = spark.range(10**6).select(F.lit("s").alias("scene"), "id", F.concat(F.lit("summary "), "id").alias("summary"))
+    (got,) = ingest.scene_summary(rows).collect()
+    assert got["summary"] == _appended([f"summary {k}" for k in range(900)], 5000)
