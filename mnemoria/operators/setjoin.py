@@ -110,11 +110,15 @@ def top_jaccard(sets: DataFrame, k: int, hub: int = HUB) -> DataFrame:
     whoever is not among a class's first k + 1 has k others before it.
     """
     hub = max(hub, k + 1)  # a hub must be held by more than k others
-    p = _profiles(_elements(sets), hub)
+    e = _elements(sets)
+    # without any hub, its part of the plan would be work on empty tables
+    hubs = not e.filter(F.col("freq") > hub).isEmpty()
+    p = _profiles(e, hub) if hubs else e.groupBy("entity").agg(F.count("*").alias("size"), F.array().alias("hubs"))
     q = p.select(F.col("entity").alias("other"), F.col("size").alias("size2"), F.col("hubs").alias("hubs2"))
-    common = F.col("shared") + F.size(F.array_intersect("hubs", "hubs2"))
-    rare = rare_pairs(sets, hub).join(p, "entity").join(q, "other").select("entity", "other", F.round(_jaccard(common, F.col("size"), F.col("size2")), 6).alias("jaccard"))
-    both = rare.union(_by_hubs(p, k)).groupBy("entity", "other").agg(F.max("jaccard").alias("jaccard"))
+    common = F.col("shared") + F.size(F.array_intersect("hubs", "hubs2")) if hubs else F.col("shared")
+    both = rare_pairs(sets, hub).join(p, "entity").join(q, "other").select("entity", "other", F.round(_jaccard(common, F.col("size"), F.col("size2")), 6).alias("jaccard"))
+    if hubs:
+        both = both.union(_by_hubs(p, k)).groupBy("entity", "other").agg(F.max("jaccard").alias("jaccard"))
     w = Window.partitionBy("entity").orderBy(F.desc("jaccard"), "other")
     return both.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("entity", "other", "jaccard", (F.col("n") - 1).cast("long").alias("rank"))
 
