@@ -1,10 +1,12 @@
 """Embedders: functions from a batch of texts to vectors, run as Arrow UDFs.
 
 The default hashes words to signed places and normalises; `embedder` wraps any other model the same way.
+Words are what stands between blanks, tabs and line ends, as in functions.text.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
@@ -15,14 +17,18 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 64
 NAME = f"hashing-{DIMENSIONS}"
+WORD = re.compile(rb"[^ \t\n\r]+")
 
 
 def hashing(texts: list[str]) -> np.ndarray:
-    """One vector of length 1 for each text; zeros for a text without words."""
+    """One vector of length 1 for each text; zeros for a text without words. Where all words cancel out, the first stands for all."""
     out = np.zeros((len(texts), DIMENSIONS))
     for row, text in zip(out, texts, strict=True):
-        h = np.fromiter((zlib.crc32(w) for w in text.lower().encode().split()), np.int64)
-        np.add.at(row, h % DIMENSIONS, 1 - 2 * (h // DIMENSIONS % 2))
+        h = np.fromiter((zlib.crc32(w) for w in WORD.findall(text.lower().encode())), np.int64)
+        sign = 1 - 2 * (h // DIMENSIONS % 2)
+        np.add.at(row, h % DIMENSIONS, sign)
+        if len(h) and not row.any():
+            row[h[0] % DIMENSIONS] = sign[0]
     return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
 
 

@@ -66,3 +66,17 @@ def test_context_has_whole_texts(spark, tmp_path):
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert a["s1"] == md5("\n".join(map(md5, ["[2024-01-01] " + "x" * 500 + "end", "[2024-01-01] short"])))
     assert a["s1"] != b["s1"] and a["s2"] == b["s2"]
+
+
+def test_embeddings_of_words_that_cancel_out(spark):
+    import zlib
+
+    import numpy as np
+
+    from mnemoria.functions.embed import DIMENSIONS, hashing
+
+    place = lambda w: (zlib.crc32(w.encode()) % DIMENSIONS, zlib.crc32(w.encode()) // DIMENSIONS % 2)
+    words, first = [f"w{k}" for k in range(1000)], place("w0")
+    other = next(w for w in words if place(w) == (first[0], 1 - first[1]))
+    norms = np.linalg.norm(hashing([f"w0 {other}", "w0", "", " \n", "\x0b"]), axis=1)
+    assert norms.round(9).tolist() == [1, 1, 0, 0, 1]
