@@ -213,8 +213,10 @@ def four_channels(s, d):
     """Semantic, BM25, graph and temporal rows with their texts and metadata; ids as text."""
     m = memories(s, d)
     kept = F.create_map(F.lit("wing"), "wing", F.lit("room"), "room")
-    text = m.select("id", F.col("content").alias("text"), kept.alias("metadata"))
-    rows = channels(s, d).join(text, "id", "left").select("channel", F.col("id").cast("string").alias("id"), "rank", F.coalesce("text", F.lit("")).alias("text"), "metadata")
+    each = channels(s, d)
+    # few rows look up their texts; an outer join with all texts would shuffle these
+    text = m.select("id", F.col("content").alias("text"), kept.alias("metadata")).join(F.broadcast(each.select("id").distinct()), "id")
+    rows = each.join(text, "id", "left").select("channel", F.col("id").cast("string").alias("id"), "rank", F.coalesce("text", F.lit("")).alias("text"), "metadata")
     g = graph_channel(s, d).select(F.lit("graph").alias("channel"), "id", "rank", F.col("node").alias("text"), F.create_map(F.lit("exp_type"), "exp_type").alias("metadata"))
     return rows.unionByName(g)
 

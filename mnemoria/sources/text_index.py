@@ -2,7 +2,8 @@
 
 A segment is the index of the rows of one append. It has posting lists, cut by the trigram into PARTS folders
 and sorted in each, and a narrow table of documents (id, length, what filters need). A list is a row for each
-block of documents that a task read together: the ids, the columns and the positions of one trigram in them.
+block of documents that a task read together: the places of one trigram in the block's texts laid end to end,
+as differences in bytes of seven bits. Where each text begins is one more row of a block, in a folder of its own.
 Trigrams are numbers, three code points of 21 bits, so nothing is hashed and nothing is confused.
 
 A phrase is looked up by the trigrams at every third place and at its end: the scan is cut to their folders
@@ -38,7 +39,9 @@ PARTS = 61
 BLOCK_ROWS, BLOCK_CHARS = 2048, 4_000_000
 FIELDS = ("content", "wing", "room")
 _BITS = 21
-POSTINGS = "part int, gram long, block long, ids array<long>, fields array<tinyint>, counts array<int>, positions array<int>"
+#: In place of a trigram, for the ids of a block and the beginnings of their texts; in folder PARTS.
+NO_GRAM = -1
+POSTINGS = "part int, gram long, block long, places binary"
 
 
 def grams_at(text: str) -> np.ndarray:
@@ -57,31 +60,54 @@ def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
 
 
+def packed(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending lists, which begin at starts in values -> their bytes, and where each list's begin (and the end).
+
+    A list is its first value and then differences, seven bits a byte, the high bit set where more follow.
+    """
+    d = np.diff(values, prepend=0)
+    d[starts] = values[starts]
+    n = np.ones(len(d), np.int64)
+    for bits in range(7, 64, 7):
+        more = d >> bits > 0
+        if not more.any():
+            break
+        n += more
+    ends = np.cumsum(n)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(n.max(initial=0))):
+        has = n > k
+        out[ends[has] - n[has] + k] = d[has] >> 7 * k & 127 | (n[has] > k + 1) * 128
+    return out, np.append((ends - n)[starts], len(out))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """One list of `packed`."""
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b < 128)
+    first = np.append(0, ends[:-1] + 1)
+    at = np.arange(len(b)) - np.repeat(first, ends - first + 1)
+    return np.cumsum(np.add.reduceat((b & 127).astype(np.int64) << 7 * at, first))
+
+
 def block_postings(ids: list[int], texts: list[tuple[str | None, ...]], block: int) -> pa.RecordBatch:
     """The posting lists of some documents; texts has the columns of each."""
-    owners, grams, places = [], [], []
-    for k, columns in enumerate(texts):
-        for f, text in enumerate(columns):
-            g = grams_at(text or "")
-            owners.append(np.full(len(g), k * len(FIELDS) + f))
-            grams.append(g)
-            places.append(np.arange(len(g), dtype=np.int32))
-    owner, gram, place = (np.concatenate(x) for x in (owners, grams, places))
-    order = np.argsort(gram, kind="stable")  # within a trigram by document, column and place
-    owner, gram, place = owner[order], gram[order], place[order]
-    new_gram = np.diff(gram, prepend=-1) != 0
-    first = np.flatnonzero(new_gram | (np.diff(owner, prepend=-1) != 0))  # of each trigram and column of a document
-    entry, counts = owner[first], np.diff(first, append=len(owner)).astype(np.int32)
-    starts = np.flatnonzero(new_gram)
-    entry_ends, place_ends = np.append(np.searchsorted(first, starts[1:]), len(first)), np.append(starts[1:], len(gram))
-    if not len(starts):
-        entry_ends = place_ends = np.zeros(0, np.int64)
-    known = gram[starts]
-    columns = [
-        pa.array((known % PARTS).astype(np.int32)), pa.array(known), pa.array(np.full(len(known), block)), _lists(entry_ends, np.asarray(ids, np.int64)[entry // len(FIELDS)]),
-        _lists(entry_ends, (entry % len(FIELDS)).astype(np.int8)), _lists(entry_ends, counts), _lists(place_ends, place),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["part", "gram", "block", "ids", "fields", "counts", "positions"])
+    grams = [grams_at(text or "") for columns in texts for text in columns]
+    sizes = np.array([len(g) for g in grams], np.int64)
+    begins = np.cumsum(sizes + 3) - sizes - 3  # two letters have no trigram, and a gap keeps phrases apart
+    gram = np.concatenate(grams)
+    place = np.arange(len(gram)) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+    order = np.argsort(gram, kind="stable")  # within a trigram by place
+    gram, place = gram[order], place[order]
+    starts = np.flatnonzero(np.diff(gram, prepend=-1))
+    data, at = packed(place, starts)
+    owners = np.frombuffer(np.asarray(ids, np.int64).tobytes() + begins.tobytes(), np.uint8)
+    known = np.append(gram[starts], NO_GRAM)
+    at = np.append(at, len(data) + len(owners))
+    lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(known), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.concatenate([data, owners]))])
+    folder = np.append(gram[starts] % PARTS, PARTS)
+    columns = [pa.array(folder.astype(np.int32)), pa.array(known), pa.array(np.full(len(known), block)), lists.cast(pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "gram", "block", "places"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -124,17 +150,17 @@ def _counter(terms: list[str]):
     covers = [cover(t) for t in terms]
 
     def run(t: pa.Table) -> pa.Table:
-        every = np.unique(t.column("ids").combine_chunks().flatten().to_numpy())
-        at = {}
-        for gram, ids, fields, counts, positions in zip(*(t.column(c) for c in ("gram", "ids", "fields", "counts", "positions")), strict=True):
-            owner = np.searchsorted(every, ids.values.to_numpy()) * len(FIELDS) + fields.values.to_numpy()
-            at[gram.as_py()] = np.sort(np.repeat(owner.astype(np.int64) << 32, counts.values.to_numpy()) + positions.values.to_numpy())
-        f = np.zeros((len(every), len(terms)), np.int32)
+        at = dict(zip(t.column("gram").to_pylist(), t.column("places").to_pylist(), strict=True))
+        owners = np.frombuffer(at.pop(NO_GRAM), np.int64)
+        n = len(owners) // (1 + len(FIELDS))
+        every, begins = owners[:n], owners[n:]
+        at = {gram: unpacked(data) for gram, data in at.items()}
+        f = np.zeros((n, len(terms)), np.int32)
         for k, (term, places) in enumerate(zip(terms, covers, strict=True)):
             if all(g in at for _, g in places):
-                starts = reduce(np.intersect1d, [at[g] - offset for offset, g in places])
-                owners = apart(starts, len(term)) >> 32
-                np.add.at(f[:, k], owners // len(FIELDS), 1)
+                starts = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), [at[g] - offset for offset, g in places])
+                columns = np.searchsorted(begins, apart(starts, len(term)), "right") - 1
+                np.add.at(f[:, k], columns // len(FIELDS), 1)
         hit = np.flatnonzero(f.any(axis=1))
         return pa.table({"id": every[hit], "f": _lists(np.arange(1, len(hit) + 1) * len(terms), f[hit].ravel())})
 
@@ -194,12 +220,14 @@ class TextIndex:
         last = gone.groupBy("id").agg(F.max("until").alias("until"))
         return docs.join(last, "id", "left").filter("until is null or until < segment").drop("until")
 
+    def _lists(self, wanted: Column) -> DataFrame:
+        lists = [self.spark.read.schema(POSTINGS).parquet(f"{self.root}/{p}/postings").filter(wanted).withColumn("segment", F.lit(n)) for p, n in self._state()["segments"]]
+        return reduce(DataFrame.unionByName, lists)
+
     def postings(self, terms: list[str]) -> DataFrame:
         """The posting lists that phrases need, from their folders only."""
         grams = sorted({g for t in terms for _, g in cover(t)})
-        wanted = F.col("part").isin(sorted({g % PARTS for g in grams})) & F.col("gram").isin(grams)
-        lists = [self.spark.read.schema(POSTINGS).parquet(f"{self.root}/{p}/postings").filter(wanted).withColumn("segment", F.lit(n)) for p, n in self._state()["segments"]]
-        return reduce(DataFrame.unionByName, lists)
+        return self._lists(F.col("part").isin(sorted({g % PARTS for g in grams})) & F.col("gram").isin(grams))
 
     def frequencies(self, terms: list[str]) -> DataFrame:
         """(segment, id, f): how often each phrase stands in each document that has one of them."""
@@ -209,7 +237,8 @@ class TextIndex:
             out = count(t)
             return out.append_column("segment", pa.array([key[0].as_py()] * len(out), pa.int32()))
 
-        return self.postings(terms).groupBy("segment", "block").applyInArrow(run, "id long, f array<int>, segment int")
+        lists = self.postings(terms).union(self._lists(F.col("part") == PARTS))
+        return lists.groupBy("segment", "block").applyInArrow(run, "id long, f array<int>, segment int")
 
     def search(self, terms: list[str], k: int | None = 20, where: Column | None = None) -> DataFrame:
         """As search.search_bm25, without the texts: (id, bm25, score_compat, rank if k, columns for filters)."""

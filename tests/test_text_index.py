@@ -91,3 +91,16 @@ def test_apart():
 
     assert text_index.apart(np.array([0, 1, 2, 3, 7, 8]), 3).tolist() == [0, 3, 7]
     assert text_index.apart(np.array([0, 3, 6]), 3).tolist() == [0, 3, 6]
+
+
+def test_lists_are_packed():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    lists = [np.unique(rng.integers(0, 10**top, 50)) for top in (1, 3, 6, 9, 14)] + [np.array([0]), np.array([127, 128, 2**40])]
+    starts = np.cumsum([0, *map(len, lists)])[:-1]
+    data, at = text_index.packed(np.concatenate(lists), starts)
+    assert all((text_index.unpacked(data[a:b].tobytes()) == x).all() for a, b, x in zip(at[:-1], at[1:], lists, strict=True))
+    text = " ".join(rng.choice(["license", "there", "tion", "memory", "plan"], 50_000))
+    rows = text_index.block_postings([1], [(text, "en", "src1")], 0)
+    assert rows.nbytes < 3 * len(text)  # 12 bytes a letter and more before
