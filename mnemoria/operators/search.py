@@ -90,40 +90,86 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return few.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
 
 
+def _hashed(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """(ids, matrix, hashes): vectors in blocks of some rows with their buckets, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                m, h = (np.array(part.column(k).to_pylist(), np.float64).reshape(part.num_rows, -1) for k in (1, 2))
+                ids = part.column(0).cast(pa.int64()).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, m, h)], ["ids", "matrix", "hashes"])
+
+    return df.select(id_col, "embedding", "hashes").mapInArrow(run, "ids binary, matrix binary, hashes binary")
+
+
 def ann_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For each query its k nearest by Euclidean distance among the vectors that share one of four buckets.
 
     Buckets are of random projections. There is no radius: on unit vectors the order is that of the
-    cosine. A query with fewer than k candidates is compared with all vectors.
+    cosine. A query with fewer than k candidates is compared with all vectors. Blocks of vectors meet blocks of
+    queries, as in knn; rows are ordered by their buckets first, so blocks that share none are left out, and a
+    pair that shares a bucket is an element of a matrix, never a row.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     tables = 4
-    v = vectors.select("vec_id", "embedding", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    known = F.col("embedding").isNotNull()
+    v = vectors.filter(known & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("features", array_to_vector("embedding"))
+    q = queries.filter(known & F.col("query_id").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("features", array_to_vector("embedding"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=1.0, numHashTables=tables, seed=7).fit(v)
-    hashes = F.array(*[vector_to_array(F.col("hashes")[i])[0] for i in range(tables)])
-    square = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, x: t + x)
-    distance = F.round(F.sqrt(square), 6).alias("distance")
+    buckets = F.array(*[vector_to_array(F.col("hashes")[i])[0] for i in range(tables)])
 
-    def nearest(pairs: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    def blocks(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+        return _hashed(model.transform(df).select(id_col, "embedding", buckets.alias("hashes")).sortWithinPartitions("hashes"), id_col, rows)
+
+    right = blocks(q, "query_id", QUERY_BLOCK).withColumn("qb", F.row_number().over(Window.orderBy("ids")))  # few rows of many queries
+    n = right.agg(F.count("*")).scalar()
+    left = blocks(v, "vec_id", VECTOR_BLOCK).select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), n.cast("int")))).alias("qb"))
+    pairs = left.join(right.toDF("query_ids", "query_matrix", "query_hashes", "qb"), "qb").select("ids", "matrix", "hashes", "query_ids", "query_matrix", "query_hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, m, h, query_ids, qm, qh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
+                m, h, qm, qh = (np.frombuffer(x).reshape(len(of), -1) for x, of in ((m, ids), (h, ids), (qm, query_ids), (qh, query_ids)))
+                met = np.zeros((len(query_ids), len(ids)), bool)
+                for t in range(tables):
+                    for bucket in np.intersect1d(h[:, t], qh[:, t]):
+                        met[np.ix_(qh[:, t] == bucket, h[:, t] == bucket)] = True
+                if not met.any():
+                    continue
+                square = np.einsum("ij,ij->i", qm, qm)[:, None] - 2 * (qm @ m.T) + np.einsum("ij,ij->i", m, m)
+                square[~met] = np.inf
+                # some more than the k nearest by products, whose rounding depends on the lengths; then exactly
+                last = np.partition(square, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1, None]
+                slack = 1e-12 * (np.einsum("ij,ij->i", qm, qm)[:, None] + np.einsum("ij,ij->i", m, m).max()) + 2e-6 * np.sqrt(np.maximum(last, 0)) + 1e-12
+                at, near = np.nonzero(met & (square <= last + slack))
+                exact = np.concatenate([np.sqrt(((qm[at[i : i + 65536]] - m[near[i : i + 65536]]) ** 2).sum(axis=1)) for i in range(0, len(at), 65536)])
+                exact = np.round(exact, 6)
+                order = np.lexsort((ids[near], exact, at))
+                at, near, exact = at[order], near[order], exact[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                few = place < k
+                found = [query_ids[at[few]], ids[near[few]], exact[few]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "distance"])
+
+    def nearest(few: DataFrame) -> DataFrame:
         part = Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy("distance", "vec_id")
-        few = pairs.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).drop("r")
+        few = few.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k).drop("r")
+        w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         return few.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).filter(F.col("rank") < k)
 
-    left = model.transform(v).select("vec_id", "embedding", hashes.alias("hv")).select("*", F.posexplode("hv").alias("t", "bucket"))
-    right = model.transform(q).select("query_id", "q", hashes.alias("hq")).select("*", F.posexplode("hq").alias("t", "bucket"))
-    # a pair counts in the first table that it shares: vectors are not shuffled to find it again
-    first = F.array_position(F.zip_with("hv", "hq", lambda a, b: a == b), True) == F.col("t") + 1
-    near = nearest(left.join(small(right), ["t", "bucket"]).filter(first).select("query_id", "vec_id", distance))
+    near = nearest(pairs.mapInArrow(run, "query_id long, vec_id long, distance double"))
     enough = near.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
     short = queries.select("query_id", F.col("embedding").alias("q")).join(enough, "query_id", "left_anti")
     # on unit vectors the cosine gives the same order; the few queries that lack candidates go against all
     exact = knn(vectors, short.select("query_id", F.col("q").alias("embedding")), k)
-    pairs = exact.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
-    exact = nearest(pairs.select("query_id", "vec_id", distance))
+    square = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda t, x: t + x)
+    found = exact.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
+    exact = nearest(found.select("query_id", "vec_id", F.round(F.sqrt(square), 6).alias("distance")))
     return near.join(enough, "query_id", "left_semi").union(exact).select("query_id", "vec_id", "distance", "rank")
 
 

@@ -80,3 +80,16 @@ def test_embeddings_of_words_that_cancel_out(spark):
     other = next(w for w in words if place(w) == (first[0], 1 - first[1]))
     norms = np.linalg.norm(hashing([f"w0 {other}", "w0", "", " \n", "\x0b"]), axis=1)
     assert norms.round(9).tolist() == [1, 1, 0, 0, 1]
+
+
+def test_hashed_pairs_are_never_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = np.concatenate([rng.normal(size=(300, 8)), np.full((40, 8), 100.0), np.full((40, 8), 100.001)])
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "vec_id long, embedding array<double>").repartition(3)
+    got = search.ann_knn(v, v.filter("vec_id in (300, 345)").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "bucket" not in plan and "query_matrix" in plan
+    want = {q: sorted((round(float(np.linalg.norm(m[q] - x)), 6), k) for k, x in enumerate(m))[:10] for q in (300, 345)}
+    assert {(r["query_id"], r["distance"], r["vec_id"]) for r in got.collect()} == {(q, *x) for q, xs in want.items() for x in xs}
