@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,13 +83,21 @@ def sentences(c: Column) -> Column:
 
 def summary_tokens(c: Column) -> Column:
     """Lower-case words, then single CJK characters, then CJK bigrams."""
-    chars = cjk_chars(c)
-    pairs = F.when(F.size(chars) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words(F.lower(c)), chars, pairs)
+    own = words(F.lower(c))
+
+    def with_pairs(chars: Column) -> Column:
+        pairs = F.when(F.size(chars) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(chars, pairs)
+
+    # the letters are found once, and not looked for pair by pair
+    return F.when(c.rlike(CJK), F.concat(own, F.get(F.transform(F.array(cjk_chars(c)), with_pairs), 0))).otherwise(own)
 
 
 def _signals(c: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [F.regexp_count(c, F.lit(p)) for p in patterns])
+    """Matches of all patterns; those whose every match holds a Han letter are tried where there is one."""
+    count = lambda ps: reduce(lambda a, b: a + b, [F.regexp_count(c, F.lit(p)) for p in ps], F.lit(0))
+    han = [p for p in patterns if all(re.search(CJK, part) for part in p.split("|"))]
+    return count([p for p in patterns if p not in han]) + F.when(c.rlike(CJK) | c.isNull(), count(han)).otherwise(0)
 
 
 def entity_density(c: Column) -> Column:

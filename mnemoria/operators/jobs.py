@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_density, sentences, stability_signal, summary_tokens
+from ..functions.text import CJK, entity_density, sentences, stability_signal, summary_tokens
 from . import blocks
+from .search import small
 
 #: Topics by pattern, in this order.
 TOPICS = [
@@ -24,27 +25,47 @@ def compress_select(mem: DataFrame, now: int, days: int = 7, least: int = 3, lim
     return old.join(big, (old.wing.eqNullSafe(big.wing)) & (old.room.eqNullSafe(big.room))).select(old["*"], "n")
 
 
-def summarize(rows: DataFrame, by: list[str], shortest: int, weights: tuple[float, float, float], signal: Column, top: int, most: int, block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+#: Terms whose weights go to every task; rarer ones are joined.
+MOST_TERMS = 500_000
+
+
+def summarize(rows: DataFrame, by: list[str], shortest: int, weights: tuple[float, float, float], signal: Column, top: int, most: int, block_rows: int = blocks.BLOCK_ROWS, most_terms: int = MOST_TERMS) -> DataFrame:
     """Extractive summary of rows (by..., id, content): (by..., summary, n_sent, signal of the best five).
 
     Sentences are scored by smoothed tf-idf within the group, place and a signal; the best ones are
-    joined in their order and cut.
+    joined in their order and cut. Ids are unique in a group. Texts and words are read where they are: numbers
+    of sentences, counts of terms and scores are what tasks exchange, and of terms beyond the most_terms
+    most frequent the words themselves. The counts and the best sentences' places are computed at once.
     """
-    s = rows.select(*by, "id", F.posexplode(sentences(F.col("content"))).alias("k", "s")).filter(F.length("s") >= shortest)
+    cut = F.filter(sentences(F.col("content")), lambda s: F.length(s) >= shortest)
+    # filters that the planner finds would cut the texts again, so it gets none to move: outer explodes, filters after them
+    per = rows.select(*by, "id", F.size(cut).alias("m")).localCheckpoint().filter("m > 0")
     # the number of a sentence in its group: rows of the group before it, then its place in the row
-    per = s.groupBy(*by, "id").agg(F.count("*").alias("m"))
-    before = blocks.running_sum(per, by, "id", F.col("m"), "before", blocks.quantiles(rows, "id", block_rows)).drop("m")
+    before = blocks.running_sum(per, by, "id", F.col("m"), "before", blocks.quantiles(per, "id", block_rows)).drop("m")
     total = per.groupBy(*by).agg(F.sum("m").alias("n"))
-    s = s.withColumn("k", F.row_number().over(Window.partitionBy(*by, "id").orderBy("k")) - 1).join(before, [*by, "id"]).withColumn("i", F.col("before") + F.col("k")).join(total, by)
-    tok = s.select(*by, "i", "n", F.explode(summary_tokens(F.col("s"))).alias("term")).groupBy(*by, "i", "n", "term").agg(F.count("*").alias("tf"))
-    df = tok.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    score = tok.join(df, [*by, "term"]).groupBy(*by, "i").agg((F.sum(F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)) / F.sum("tf")).alias("tfidf"))
+    s = rows.select(*by, "id", F.posexplode_outer(cut).alias("k", "s")).filter("s is not null")
+    tokens = summary_tokens(F.col("s"))
+    terms = s.select(*by, F.explode_outer(F.array_distinct(tokens)).alias("term")).filter("term is not null").groupBy(*by, "term").agg(F.count("*").alias("df")).localCheckpoint()
+    idf = terms.join(total, by).select(*by, "term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    n_terms = terms.count()
+    least = 0 if n_terms <= most_terms else terms.approxQuantile("df", [1 - most_terms / n_terms], 1e-4)[0]
+    often = F.broadcast(idf.filter(F.col("df") > least).drop("df"))
+    # in two steps: beside explode the signal would be worked out for each word
+    tok = s.select(*by, "id", "k", signal.alias("signal"), tokens.alias("terms")).select(*by, "id", "k", "signal", F.explode_outer("terms").alias("term")).filter("term is not null")
+    sentence = [*by, "id", "k"]
+    known = [F.sum("idf").alias("weight"), F.count("*").alias("tokens"), F.max("signal").alias("signal")]
+    each = tok.join(often, [*by, "term"]).groupBy(*sentence).agg(*known)
+    if least:
+        rare = tok.join(often, [*by, "term"], "left_anti").join(idf.filter(F.col("df") <= least), [*by, "term"]).groupBy(*sentence).agg(*known)
+        each = each.union(rare).groupBy(*sentence).agg(F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens"), F.max("signal").alias("signal"))
     a, b, c = weights
-    full = s.join(score, [*by, "i"], "left").withColumn("signal", signal).withColumn("score", F.round(a * F.coalesce("tfidf", F.lit(0.0)) + b * (1 - 0.3 * F.col("i") / F.col("n")) + c * F.col("signal"), 9))
+    full = each.join(before, [*by, "id"]).join(total, by).withColumn("i", F.col("before") + F.col("k"))
+    full = full.withColumn("score", F.round(a * F.col("weight") / F.col("tokens") + b * (1 - 0.3 * F.col("i") / F.col("n")) + c * F.col("signal"), 9))
     w = Window.partitionBy(*by).orderBy(F.desc("score"), "i")
-    best = full.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
+    best = full.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select(*sentence, "i", "n", "r", "signal").localCheckpoint()
+    said = rows.join(small(best), [*by, "id"]).select(*by, "i", "n", "r", "signal", F.get(cut, F.col("k")).alias("s"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "；")
-    out = best.groupBy(*by).agg(joined.alias("j"), F.max("n").alias("n_sent"), F.avg(F.when(F.col("r") <= 5, F.col("signal"))).alias("signal"))
+    out = said.groupBy(*by).agg(joined.alias("j"), F.max("n").alias("n_sent"), F.avg(F.when(F.col("r") <= 5, F.col("signal"))).alias("signal"))
     return out.select(*by, F.when(F.length("j") > most, F.concat(F.substring("j", 1, most - 3), F.lit("..."))).otherwise(F.col("j")).alias("summary"), "n_sent", F.round("signal", 6).alias("signal"))
 
 
@@ -54,9 +75,11 @@ def extractive_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def persona_topic(c: Column) -> Column:
     out = F.coalesce(F.nullif(F.substring(F.regexp_extract(c, "([一-鿿]{4,})", 1), 1, 10), F.lit("")), F.lit("general"))
+    every = [p for pattern, _ in TOPICS for p in pattern.split("|")]
     for pattern, topic in reversed(TOPICS):
         out = F.when(c.rlike(pattern), topic).otherwise(out)
-    return out
+    # one scan for Han letters and the Latin names tells whether any topic needs to be tried
+    return F.when(c.rlike("|".join([CJK, *(p for p in every if p.isascii())])) | c.isNull(), out).otherwise("general")
 
 
 def persona_distill(rows: DataFrame) -> DataFrame:

@@ -104,3 +104,12 @@ def test_scene_of_a_million(spark):
     rows = spark.range(10**6).select(F.lit("s").alias("scene"), "id", F.concat(F.lit("summary "), "id").alias("summary"))
     (got,) = ingest.scene_summary(rows).collect()
     assert got["summary"] == _appended([f"summary {k}" for k in range(900)], 5000)
+
+
+def test_summaries_exchange_no_texts(spark):
+    rows = spark.createDataFrame([(f"g{k % 3}", k, f"the word{k % 7} and rare{k} 中文字. plain text {k}! again 今天 {k * k}") for k in range(60)], "g string, id long, content string")
+    run = lambda **kw: jobs.summarize(rows, ["g"], 5, (0.5, 0.2, 0.3), F.length("s") / 100, 10, 300, **kw)
+    plan = run()._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "explode" not in plan.lower()  # sentences and words were counted before, in tasks of their own
+    few = sorted(map(tuple, run(most_terms=3).collect()))  # most words are joined
+    assert len(few) == 3 and few == sorted(map(tuple, run().collect()))
