@@ -143,8 +143,8 @@ def repair_mojibake(c: Column, passes: int = 3) -> Column:
 
         return F.when(text.rlike(MOJIBAKE), F.aggregate(runs, text, fix)).otherwise(text)
 
-    for _ in range(passes):
-        c = one(c)
+    for _ in range(passes):  # each on the one before's text, which is made once and not for each use
+        c = F.get(F.transform(F.array(c), one), 0)
     return c
 
 

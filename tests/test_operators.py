@@ -99,3 +99,8 @@ def test_pql():
     assert pql.parse("status") == {"action": "status"}
     with pytest.raises(StoreError):
         pql.parse("DROP all")
+
+
+def test_mojibake_passes_share_their_texts(spark):
+    plan = spark.range(1).select(text.repair_mojibake(F.concat(F.col("id").cast("string"), F.lit("x"))).alias("t"))._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("concat(") == 1
