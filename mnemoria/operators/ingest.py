@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .entities import MOST_ENTITIES, entity_score, extract_entities
+from .entities import MOST_ENTITIES, entity_score, extract_entities, has_han
 
 __all__ = ["entity_score", "extract_entities"]
 
@@ -35,17 +35,27 @@ def dedup_exact(df: DataFrame, content: str, *order: str) -> DataFrame:
 
 
 def fact_type(c: Column) -> Column:
-    """The class with the most keywords, the first of equals; none: observation."""
-    n = {k: reduce(lambda a, b: a + b, [F.when(c.contains(w), 1).otherwise(0) for w in ws]) for k, ws in FACT_TYPES.items()}
-    most = F.greatest(*n.values())
-    out = F.lit("causation")
-    for k in reversed(list(FACT_TYPES)[:-1]):
-        out = F.when(n[k] == most, k).otherwise(out)
-    return out
+    """The class with the most keywords, the first of equals; none: observation.
+
+    Every keyword has a Han letter, so texts without one are not searched.
+    """
+    counts = F.array(*[reduce(lambda a, b: a + b, [F.when(c.contains(w), 1).otherwise(0) for w in ws]) for ws in FACT_TYPES.values()])
+    kinds = F.array(*[F.lit(k) for k in FACT_TYPES])
+    # the counts are made once, and not for each use
+    most = F.get(F.transform(F.array(counts), lambda n: F.get(kinds, (F.array_position(n, F.array_max(n)) - 1).cast("int"))), 0)
+    return F.when(has_han(c), most).otherwise("observation")
+
+
+def first_person(c: Column) -> Column:
+    """Whether a text speaks of its author; like all of these phrases, such a text has Han letters."""
+    return F.when(has_han(c), reduce(lambda a, b: a | b, [c.contains(p) for p in FIRST_PERSON])).otherwise(False)
 
 
 def authority(c: Column, kind: Column, n_entities: Column) -> Column:
-    own = reduce(lambda a, b: a | b, [c.contains(p) for p in FIRST_PERSON])
+    return _authority(first_person(c), kind, n_entities)
+
+
+def _authority(own: Column, kind: Column, n_entities: Column) -> Column:
     return (
         F.when(own, "critical")
         .when(((kind == "world") & (n_entities >= 1)) | (n_entities >= 3) | (kind == "experience"), "high")
@@ -72,12 +82,16 @@ def summary_head(c: Column, most: int = 200) -> Column:
 
 
 def annotate(mem: DataFrame) -> DataFrame:
-    """memories with scene (first entity or general), n_entities, fact_type, authority, trust_score."""
+    """memories with scene (first entity or general), n_entities, fact_type, authority, trust_score.
+
+    What a text alone tells is worked out where it is read: before the join, which need not carry it, and
+    once, where a filter over the result would repeat it for each of its uses.
+    """
     e = extract_entities(mem, "id", "content").groupBy("id").agg(F.least(F.lit(MOST_ENTITIES), F.count("*")).alias("n_entities"), F.min_by("name", "pos").alias("first"))
-    out = mem.join(e, "id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
-    out = out.withColumn("fact_type", fact_type(F.col("content")))
-    out = out.withColumn("authority", authority(F.col("content"), F.col("fact_type"), F.col("n_entities")))
-    return out.withColumn("trust_score", trust_score(F.col("fact_type"), F.col("n_entities"), F.length("content"))).withColumn("scene", F.coalesce("first", F.lit("general"))).drop("first")
+    c = F.col("content")
+    out = mem.withColumns({"fact_type": fact_type(c), "_own": first_person(c), "_chars": F.length(c)}).join(e, "id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+    out = out.withColumn("authority", _authority(F.col("_own"), F.col("fact_type"), F.col("n_entities")))
+    return out.withColumn("trust_score", trust_score(F.col("fact_type"), F.col("n_entities"), F.col("_chars"))).withColumn("scene", F.coalesce("first", F.lit("general"))).drop("first", "_own", "_chars")
 
 
 def registry_count(mentions: DataFrame, threshold: int = 3) -> DataFrame:

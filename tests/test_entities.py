@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from mnemoria.functions import names
-from mnemoria.operators import entities
+from mnemoria.operators import entities, ingest
 
 HAN = re.compile(names.HAN)
 
@@ -84,3 +84,20 @@ def test_score(spark):
     assert [r["score"] for r in got[:5]] == [0.9, 0.45, 0.33, 0.5, 0.3]
     assert got[0]["signals"] == ["高频(3x)", "对话标记", "动作上下文", "代词邻近", "中文姓氏"]
     assert got[1]["signals"] == ["中文姓氏", "头衔后缀"] and got[3]["signals"] == ["对话标记", "英文全名"]
+
+
+def test_annotations_of_texts(spark):
+    """Classes and first person by counts in Python; what a text alone tells is written once in the filtered plan."""
+    words = [w for ws in ingest.FACT_TYPES.values() for w in ws] + ingest.FIRST_PERSON
+    assert all(HAN.search(w) for w in words)  # so a text without Han letters need not be searched
+    rng = random.Random(6)
+    texts = ["".join(rng.choice([*words, "NASA ", "John", "。", "x"]) for _ in range(rng.randint(0, 6))) for _ in range(400)] + ["", None, "plain", "John Smith"]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, content string").withColumn("created_at", F.col("id"))
+    for r in ingest.annotate(df).collect():
+        n = [sum(w in (r["content"] or "") for w in ws) for ws in ingest.FACT_TYPES.values()]
+        assert r["fact_type"] == list(ingest.FACT_TYPES)[n.index(max(n))], r
+        assert (r["authority"] == "critical") == any(p in (r["content"] or "") for p in ingest.FIRST_PERSON), r
+    kept = ingest.annotate(df).filter(F.col("authority").isin("critical", "high") & (F.col("trust_score") >= 0.7)).select("id", "authority", "trust_score")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join")]
+    assert plan.count("Contains(content") == len(words) and "Contains(" not in above and "content" not in above
