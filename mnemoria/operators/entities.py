@@ -108,13 +108,30 @@ def extract_entities(df: DataFrame, id_col: str, text_col: str, garbage: list[st
     return kept.groupBy("id", F.lower("name").alias("key")).agg(F.min(F.struct("at", "name", "type")).alias("f"), F.count("*").alias("freq")).select("id", "f.name", "f.type", "freq", F.col("f.at").cast("long").alias("pos"))
 
 
-def _signals(name: Column, kind: Column, freq: Column, text: Column) -> list[tuple[Column, Column, float]]:
-    """(label, whether, weight) in the order of the specification."""
+def _has_colon(c: Column) -> Column:
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in names.DIALOGUE[:2]])
+
+
+def before_colons(text: Column) -> Column:
+    """What stands before each colon of a text, back to the colon before it; of a text without one, nothing."""
+    pieces = _let(F.split(text, f"[{''.join(names.DIALOGUE[:2])}]"), lambda p: F.slice(p, 1, F.size(p) - 1))
+    return F.when(_has_colon(text), pieces).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
+def _signals(name: Column, kind: Column, freq: Column, text: Column, han: Column | None = None, spoken: Column | None = None) -> list[tuple[Column, Column, float]]:
+    """(label, whether, weight) in the order of the specification.
+
+    han and spoken are has_han and before_colons of the text where they are known already; a text of neither
+    Han letters nor colons may then be null.
+    """
 
     def followed(words: list[str]) -> Column:
         return reduce(lambda a, b: a | b, [text.contains(F.concat(name, F.lit(w))) for w in words])
 
-    person, han = kind == "person", has_han(text)
+    person, han = kind == "person", has_han(text) if han is None else han
+    colon = followed(names.DIALOGUE[:2])
+    if spoken is not None:  # not the text for each of its names; a name with a colon in it ends no piece
+        colon = F.when(_has_colon(name), colon).otherwise(F.exists(spoken, lambda p: p.endswith(name)))
     at = F.position(name, text)
     before = F.coalesce(F.length(F.regexp_extract(F.substring(text, F.lit(1), at - 1), "(?s)^(.*)\n", 1)), F.lit(0))
     has_line = F.instr(F.substring(text, F.lit(1), at - 1), "\n") > 0
@@ -126,7 +143,7 @@ def _signals(name: Column, kind: Column, freq: Column, text: Column) -> list[tup
     return [
         (F.concat(F.lit("高频("), freq.cast("string"), F.lit("x)")), freq >= 3, 0.15),
         (F.concat(F.lit("中频("), freq.cast("string"), F.lit("x)")), freq == 2, 0.08),
-        (F.lit("对话标记"), person & F.when(han, followed(names.DIALOGUE)).otherwise(followed(names.DIALOGUE[:2])), 0.2),
+        (F.lit("对话标记"), person & F.when(han, followed(names.DIALOGUE)).otherwise(colon), 0.2),
         (F.lit("动作上下文"), person & han & followed(names.ACTIONS), 0.15),
         (F.lit("代词邻近"), person & han & (at > 0) & window.rlike(f"[{''.join(names.PRONOUNS)}]"), 0.1),
         (F.lit("中文姓氏"), person & name.rlike(f"^[{names.SURNAMES}]"), 0.1),
@@ -136,13 +153,26 @@ def _signals(name: Column, kind: Column, freq: Column, text: Column) -> list[tup
     ]
 
 
-def entity_score(name: Column, kind: Column, freq: Column, text: Column) -> Column:
+def entity_score(name: Column, kind: Column, freq: Column, text: Column, han: Column | None = None, spoken: Column | None = None) -> Column:
     """Confidence of an entity by its signals, 0.3 to 0.99."""
     base = F.when(kind == "person", 0.2).when(kind.isin("org", "location"), 0.15).otherwise(0.1)
-    score = reduce(lambda a, s: a + F.when(s[1], s[2]).otherwise(0.0), _signals(name, kind, freq, text), F.lit(0.0))
+    score = reduce(lambda a, s: a + F.when(s[1], s[2]).otherwise(0.0), _signals(name, kind, freq, text, han, spoken), F.lit(0.0))
     return F.round(F.greatest(F.lit(0.3), F.least(F.lit(0.99), score + base)), 2)
 
 
+def score_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, name, type, freq, pos, confidence): the entities of texts with their scores.
+
+    Han letters and colons are looked for once in a text, not once for each of its names, whose number grows
+    with it; texts with neither go no further.
+    """
+    t = F.col(text_col)
+    texts = df.select(F.col(id_col).alias("id"), has_han(t).alias("han"), before_colons(t).alias("spoken"), F.when(has_han(t) | _has_colon(t), t).alias("text"))
+    e = extract_entities(df, id_col, text_col).join(texts, "id")
+    score = entity_score(F.col("name"), F.col("type"), F.col("freq"), F.col("text"), F.col("han"), F.col("spoken"))
+    return e.select("id", "name", "type", "freq", "pos", score.alias("confidence"))
+
+
 def entity_signals(name: Column, kind: Column, freq: Column, text: Column) -> Column:
     """The labels of the first five signals."""
     return F.slice(F.array_compact(F.array(*[F.when(on, label) for label, on, _ in _signals(name, kind, freq, text)])), 1, 5)

@@ -26,9 +26,7 @@ def _(s, d):
 @query("entity_score_en", f"""WITH {ENT_SQL} SELECT id, name, round(greatest(0.3::DOUBLE, least(0.99::DOUBLE, (CASE WHEN freq >= 3 THEN 0.15 WHEN freq >= 2 THEN 0.08 ELSE 0.0 END)::DOUBLE + (CASE WHEN type = 'person' AND contains(text, concat(name, ':')) THEN 0.2 ELSE 0.0 END)::DOUBLE
 + (CASE type WHEN 'person' THEN 0.2 ELSE 0.15 END)::DOUBLE + (CASE WHEN type = 'person' AND contains(name, ' ') THEN 0.1 ELSE 0.0 END)::DOUBLE + (CASE WHEN type = 'org' AND upper(name) = name THEN 0.1 ELSE 0.0 END)::DOUBLE)), 2) AS confidence FROM ent JOIN documents ON doc_id = id""")
 def _(s, d):
-    m = memories(s, d)
-    e = ingest.extract_entities(m, "id", "content").join(m.select("id", "content"), "id")
-    return e.select("id", "name", ingest.entity_score(F.col("name"), F.col("type"), F.col("freq"), F.col("content")).alias("confidence"))
+    return entities.score_entities(memories(s, d), "id", "content").select("id", "name", "confidence")
 
 
 #: Literal texts, and the entities that the patterns, filters and cleaning leave of them: (name, type, freq, confidence).

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemoria.functions import names
 from mnemoria.operators import entities, ingest
+from mnemoria.plans.catalog import queries as annotation_queries
 
 HAN = re.compile(names.HAN)
 
@@ -101,3 +102,21 @@ def test_annotations_of_texts(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert plan.count("Contains(content") == len(words) and "Contains(" not in above and "content" not in above
+
+
+def test_scores_of_texts(spark):
+    """Scores of extracted names equal those over the whole text; no text goes to its names' rows unless they need it."""
+    rng = random.Random(7)
+    parts = ["John", "John Smith", "Smith", ":", "：", " ", "\n", "NASA", "张三", "说", "他", "测试", "。", "Mary:", "xNASA:"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(600)] + ["", ":", "：：", "John:", ":John", None]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, content string")
+    whole = entities.extract_entities(df, "id", "content").join(df, "id").select("id", "name", entities.entity_score(*[F.col(c) for c in ("name", "type", "freq", "content")]).alias("confidence"))
+    out = entities.score_entities(df, "id", "content").select("id", "name", "confidence")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, whole.collect()))
+    for rows in (out, annotation_queries()["entity_score_en"](spark, "/root/testdata/sf0.001")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert names.HAN not in plan[: plan.index("Join")]
+    odd = spark.createDataFrame([("a:b", "a:b: c"), ("a:b", "a:b c"), ("", "x:"), ("", "x")], "name string, text string")
+    n, t = F.col("name"), F.col("text")
+    args = n, F.lit("person"), F.lit(1), t
+    assert odd.filter(entities.entity_score(*args) != entities.entity_score(*args, entities.has_han(t), entities.before_colons(t))).count() == 0
