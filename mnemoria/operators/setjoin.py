@@ -3,7 +3,8 @@
 An element that more than `hub` sets hold is a hub. Pairs that share another element come from its short
 list of sets. Pairs that share hubs alone have a similarity that only their hubs and sizes decide, so
 entities of equal hubs and size form a class, and classes are compared in their place. Rows with a null
-end are no elements; repeated rows count once.
+end are no elements; repeated rows count once. Without any hub, an element's sets are one short list, and
+all that is exchanged are these lists, the pairs in them and the few best of each.
 """
 
 from __future__ import annotations
@@ -13,13 +14,37 @@ from pyspark.sql import functions as F
 
 #: Sets that may hold an element before it counts as a hub.
 HUB = 256
+#: Sets whose sizes are broadcast; sizes of more are joined as the planner chooses.
+MOST_SIZES = 1_000_000
+#: Parts that a set's pairs are dealt out to, so that those of a large set do not meet in one task.
+PARTS = 16
 #: More than what rounding to six places can lift a similarity by.
 SLACK = 1.1e-6
 
 
+def _known(sets: DataFrame) -> DataFrame:
+    return sets.select("entity", "mid").filter("entity is not null and mid is not null")
+
+
+def has_hub(sets: DataFrame, hub: int) -> bool:
+    """Whether more than `hub` sets hold an element; different ones are counted only where rows may be as many."""
+    often = lambda rows: not rows.groupBy("mid").agg(F.count("*").alias("n")).filter(F.col("n") > hub).isEmpty()
+    return often(_known(sets)) and often(_known(sets).distinct())
+
+
+def _held(sets: DataFrame) -> DataFrame:
+    """(mid, held): the different sets of each element; for sets without a hub, so none is long."""
+    return _known(sets).groupBy("mid").agg(F.collect_set("entity").alias("held"))
+
+
+def _list_pairs(held: DataFrame) -> DataFrame:
+    """(entity, other) once for each element that both hold, both ways and with themselves."""
+    return held.select(F.explode("held").alias("entity"), "held").select("entity", F.explode("held").alias("other"))
+
+
 def _elements(sets: DataFrame) -> DataFrame:
     """(entity, mid, freq): freq is the number of sets that hold mid."""
-    n = sets.select("entity", "mid").filter("entity is not null and mid is not null").distinct()
+    n = _known(sets).distinct()
     return n.join(n.groupBy("mid").agg(F.count("*").alias("freq")), "mid").select("entity", "mid", "freq")
 
 
@@ -103,6 +128,19 @@ def _by_hubs(profiles: DataFrame, k: int) -> DataFrame:
     return members.join(top, "cls").filter("entity <> other").select("entity", "other", "jaccard")
 
 
+def _top_without_hub(sets: DataFrame, k: int) -> DataFrame:
+    """`top_jaccard` of sets without a hub: a set's pairs are counted, scored and cut where they are dealt to, part by part."""
+    held = _held(sets)
+    size = held.select(F.explode("held").alias("entity")).groupBy("entity").agg(F.count("*").alias("size"))
+    few = _known(sets).select("entity").distinct().limit(MOST_SIZES + 1).count() <= MOST_SIZES
+    size, size2 = (F.broadcast(x) if few else x for x in (size, size.toDF("other", "size2")))
+    dealt = _list_pairs(held).filter("entity <> other").withColumn("part", F.pmod(F.xxhash64("other"), F.lit(PARTS))).repartition("entity", "part")
+    both = dealt.groupBy("entity", "part", "other").agg(F.count("*").alias("shared")).join(size, "entity").join(size2, "other")
+    both = both.select("entity", "part", "other", F.round(_jaccard(F.col("shared"), F.col("size"), F.col("size2")), 6).alias("jaccard"))
+    best = Window.partitionBy("entity", "part").orderBy(F.desc("jaccard"), "other")
+    return both.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("entity", "other", "jaccard")
+
+
 def top_jaccard(sets: DataFrame, k: int, hub: int = HUB) -> DataFrame:
     """(entity, other, jaccard, rank): the k most similar sets of each that share an element, ties by name.
 
@@ -110,26 +148,28 @@ def top_jaccard(sets: DataFrame, k: int, hub: int = HUB) -> DataFrame:
     whoever is not among a class's first k + 1 has k others before it.
     """
     hub = max(hub, k + 1)  # a hub must be held by more than k others
-    e = _elements(sets)
-    # without any hub, its part of the plan would be work on empty tables
-    hubs = not e.filter(F.col("freq") > hub).isEmpty()
-    p = _profiles(e, hub) if hubs else e.groupBy("entity").agg(F.count("*").alias("size"), F.array().alias("hubs"))
-    q = p.select(F.col("entity").alias("other"), F.col("size").alias("size2"), F.col("hubs").alias("hubs2"))
-    common = F.col("shared") + F.size(F.array_intersect("hubs", "hubs2")) if hubs else F.col("shared")
-    both = rare_pairs(sets, hub).join(p, "entity").join(q, "other").select("entity", "other", F.round(_jaccard(common, F.col("size"), F.col("size2")), 6).alias("jaccard"))
-    if hubs:
+    if has_hub(sets, hub):
+        p = _profiles(_elements(sets), hub)
+        q = p.select(F.col("entity").alias("other"), F.col("size").alias("size2"), F.col("hubs").alias("hubs2"))
+        common = F.col("shared") + F.size(F.array_intersect("hubs", "hubs2"))
+        both = rare_pairs(sets, hub).join(p, "entity").join(q, "other").select("entity", "other", F.round(_jaccard(common, F.col("size"), F.col("size2")), 6).alias("jaccard"))
         both = both.union(_by_hubs(p, k)).groupBy("entity", "other").agg(F.max("jaccard").alias("jaccard"))
+    else:
+        both = _top_without_hub(sets, k)
     w = Window.partitionBy("entity").orderBy(F.desc("jaccard"), "other")
     return both.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("entity", "other", "jaccard", (F.col("n") - 1).cast("long").alias("rank"))
 
 
-def common_pairs(sets: DataFrame, least: int) -> DataFrame:
+def common_pairs(sets: DataFrame, least: int, hub: int = HUB) -> DataFrame:
     """(a, b, n_common) of all pairs a < b that share at least `least` elements.
 
-    In one order of all elements, rarest first, such a pair shares one that is not among the last least - 1
+    Without a hub the pairs of each element's short list are counted. Else, in one order of all elements, rarest first, such a pair shares one that is not among the last least - 1
     of either set; so a hub that ends its sets joins nothing. Of two sets the one whose head ends
     first has all that is left to count in its tail, which is looked up in the other set.
     """
+    if not has_hub(sets, hub):
+        pairs = _list_pairs(_held(sets)).toDF("a", "b").filter("a < b")
+        return pairs.groupBy("a", "b").agg(F.count("*").alias("n_common")).filter(F.col("n_common") >= least)
     order = Window.partitionBy("entity").orderBy("freq", "mid")
     n = _elements(sets).withColumn("at", F.row_number().over(order))
     size = n.groupBy("entity").agg(F.count("*").alias("size"))

@@ -42,6 +42,48 @@ def test_common_pairs(spark, seed, least):
     assert got == {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least}
 
 
+@pytest.mark.parametrize(("seed", "hub"), [(6, 6), (7, 1000)])
+def test_with_and_without_hubs(spark, monkeypatch, seed, hub):
+    """Both ways of both joins, and sizes that are too many to broadcast."""
+    sets = _random_sets(seed, 80, 20)
+    rows = spark.createDataFrame(_rows(sets) * 3 + [(None, "m1"), ("e001", None)], "entity string, mid string")
+    assert setjoin.has_hub(rows, hub) == (hub == 6)
+    got = {tuple(r) for r in setjoin.common_pairs(rows, 2, hub).collect()}
+    assert got == {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2}
+    monkeypatch.setattr(setjoin, "MOST_SIZES", 3)
+    assert {tuple(r) for r in setjoin.top_jaccard(rows, 5, hub).select("entity", "other", "jaccard", "rank").collect()} == _best(sets, 5)
+
+
+def _stages(spark):
+    kept = spark.sparkContext._jsc.sc().statusStore().store().view(spark._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper")).iterator()
+    while kept.hasNext():
+        yield kept.next().info()
+
+
+def _exchanged(spark, make):
+    """(rows, records written to shuffles) of what make() returns."""
+    start = max([-1, *(x.stageId() for x in _stages(spark))])
+    n = len(make().collect())
+    return n, sum(x.shuffleWriteRecords() for x in _stages(spark) if x.stageId() > start)
+
+
+def test_exchanges_without_hubs(spark):
+    """20,000 orders of four suppliers, where sizes are too many for the planner to broadcast: pairs are exchanged once."""
+    i, j = F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")
+    rows = spark.range(20_000).select(i, j).select(F.pmod(F.xxhash64("id", "j"), F.lit(1000)).alias("entity"), i.alias("mid"))
+    sets = {}
+    for e, m in rows.collect():
+        sets.setdefault(e, set()).add(m)
+    pairs = sum(len(sets[a] & sets[b]) for a in sets for b in sets if a != b)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        n, best = _exchanged(spark, lambda: setjoin.top_jaccard(rows, 5))
+        _, common = _exchanged(spark, lambda: setjoin.common_pairs(rows, 2))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert n == 5000 and best < 1.6 * pairs and common < 0.8 * pairs
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "entity string, mid string")
     assert not setjoin.top_jaccard(none, 5).count() and not setjoin.common_pairs(none, 2).count()
