@@ -42,6 +42,8 @@ def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
 
 #: Vectors and queries of a block, in knn.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Queries of a block whose scores are held at once.
+QUERIES_AT_ONCE = 128
 
 
 def _blocks(df: DataFrame, id_col: str, rows: int) -> DataFrame:
@@ -74,13 +76,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, matrix, query_ids, query_matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, query_ids = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
-                scores = np.frombuffer(query_matrix).reshape(len(query_ids), -1) @ np.frombuffer(matrix).reshape(len(ids), -1).T
-                scores = np.round(np.maximum(0.0, scores), 6)
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
-                found = [query_ids.repeat(best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+            for row in range(batch.num_rows):  # read where they lie: a batch's blocks are not copied, and few queries' scores are held
+                ids, matrix, query_ids, query_matrix = (np.frombuffer(c[row].as_buffer(), t) for c, t in zip(batch.columns, (np.int64, np.float64) * 2, strict=True))
+                vectors_t, asked = matrix.reshape(len(ids), -1).T, query_matrix.reshape(len(query_ids), -1)
+                for at in range(0, len(query_ids), QUERIES_AT_ONCE):
+                    few_ids = query_ids[at : at + QUERIES_AT_ONCE]
+                    scores = np.round(np.maximum(0.0, asked[at : at + QUERIES_AT_ONCE] @ vectors_t), 6)
+                    best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :k]
+                    found = [few_ids.repeat(best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, axis=1).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     few = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     # a cut for each salt keeps a query's rows from meeting in one task before they are few

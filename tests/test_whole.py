@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mnemoria.operators import evaluation, search
@@ -93,3 +94,16 @@ def test_hashed_pairs_are_never_rows(spark):
     assert "bucket" not in plan and "query_matrix" in plan
     want = {q: sorted((round(float(np.linalg.norm(m[q] - x)), 6), k) for k, x in enumerate(m))[:10] for q in (300, 345)}
     assert {(r["query_id"], r["distance"], r["vec_id"]) for r in got.collect()} == {(q, *x) for q, xs in want.items() for x in xs}
+
+
+def test_knn_by_few_queries(spark, monkeypatch):
+    """Queries of a block that are scored a few at a time give what all at once give."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(90, 8))
+    v = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(m)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 4)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in search.knn(v, v.filter("vec_id < 31").withColumnRenamed("vec_id", "query_id"), 5).collect()}
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = np.round(np.maximum(0.0, u[:31] @ u.T), 6)
+    for q in range(31):
+        assert [got[q, r] for r in range(5)] == list(np.lexsort((np.arange(90), -scores[q]))[:5])
